@@ -105,7 +105,7 @@ def chain(base: str, stages: list[dict[str, str]], prefix: str = "st") -> tuple[
 
 TRADES = """trades AS (
  SELECT l_suppkey AS scode, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS p, * FROM lineitem)"""
-_K = "l_orderkey {0}, l_linenumber {0}, l_partkey {0}, l_quantity {0}, l_extendedprice {0}, l_discount {0}, l_tax {0}"
+_K = "(l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey % 1000000 {0}"
 BARS = f"""{TRADES}, bars AS MATERIALIZED (
  SELECT scode, date, first(p * (1 - l_discount / 2) ORDER BY {_K.format('ASC')}) AS open,
   max(p * (1 + l_tax)) AS high, min(p * (1 - l_discount)) AS low,

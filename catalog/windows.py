@@ -94,8 +94,8 @@ def rci_sql(x: str, n: int) -> str:
 
 for _n in (9, 26, 52):
     _lst, _val = rci_sql("close", _n)
-    simple(f"rank_correlation_{_n}", "W-15", {f"rci{_n}": ((lambda n=_n: R.rci("close", "rn", n)), _val)},
-           stage=[RN, {"v": ((lambda: F.lit(None)), _lst)}])
+    simple(f"rank_correlation_{_n}", "W-15", {f"rci{_n}": ((lambda n=_n: R.rci_value("v", "rn", n)), _val)},
+           stage=[RN, {"v": ((lambda n=_n: R.rci_points("close", "rn", n)), _lst)}])
 
 STREAK_SQL = q.with_(q.BARS) + f""", s0 AS (SELECT scode, date, sign(close - {q.lag('close')}) AS sg FROM bars),
 s1 AS (SELECT *, CASE WHEN coalesce(sg, 0) = coalesce({q.lag('sg')}, 0) THEN 0 ELSE 1 END AS chg FROM s0),
@@ -144,11 +144,16 @@ indicators AS MATERIALIZED (SELECT ib.scode, ib.date, macd, signal, rsi9, rsi14,
 IND = ["macd", "signal", "rsi9", "rsi14", "atr5", "atr14", "atr20", "adx14"]
 
 
-@query("recursive_smoothing", "W-16", "WITH RECURSIVE " + q.BARS + ", " + INDICATOR_CTES
-       + f" SELECT scode, date, {q.cols(IND)} FROM indicators")
-def _(spark, d):
-    df = rec.with_indicators(_bars(spark, d))
-    return S.rounded(df.select("scode", "date", *[F.col(f"_{c}").alias(c) for c in IND]))
+def _smoothing(name, block):
+    @query(name, "W-16", "WITH RECURSIVE " + q.BARS + ", " + INDICATOR_CTES
+           + f" SELECT scode, date, {q.cols(IND, 4)} FROM indicators")
+    def _(spark, d):
+        df = rec.with_indicators(_bars(spark, d), block=block)
+        return S.rounded(df.select("scode", "date", *[F.col(f"_{c}").alias(c) for c in IND]), 4)
+
+
+_smoothing("recursive_smoothing", rec.BLOCK)
+_smoothing("recursive_smoothing_short_blocks", 300)   # several blocks per stock: exercises the carry
 
 
 @query("cumulative_product", "W-18", q.with_(q.TRADES, q.TOPIX_RAW)

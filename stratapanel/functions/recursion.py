@@ -1,82 +1,76 @@
-"""Recursive smoothing: values that depend on the previous output value.
+"""Recursive smoothing (EMA and Wilder averages) as a linear filter over windows.
 
-A recursion is no window aggregate, so each series (bounded by the calendar)
-is collected once, ordered by date, and folded with ``aggregate`` on the JVM.
-Seed rule for every smoother: the first output is the plain mean of the first
-n non-null inputs; earlier outputs are null. A null input gives a null output
-and leaves the state unchanged.
+y[t] = y[t-1] + alpha (x[t] - y[t-1]) is no window aggregate, but its closed form
+is: with d = 1 - alpha, y[t] = sum over i <= t of d^(t-i) z[i], where z holds the
+seed once and alpha x[i] afterwards. A running sum of z[i] d^(-i), scaled by
+d^t, gives y without collecting a series, calling Python or folding arrays.
+
+d^(-i) would overflow on long series, so rows are cut into blocks of ``BLOCK``
+rows: the running sum restarts in each block and the last value of the previous
+block is added with its decay. Older blocks carry a weight below d^BLOCK
+(under 1e-40 for every smoother here), which double precision cannot see.
+
+Seed rule: the first output is the plain mean of the first n non-null inputs;
+earlier outputs are null. Inputs may be null only before their first value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scalars import div
 
-DARR = "array<double>"
-
-
-CHUNK = 24   # appending copies the array: chunks keep the copies short
-
-
-def smooth(xs: Column, n: int, alpha: float) -> Column:
-    """array<double> -> array<double>: y[t] = y[t-1] + alpha (x[t] - y[t-1]).
-
-    An outer fold over chunks hands (count, level) from chunk to chunk, an inner
-    fold walks one chunk; work grows linearly with the series for practical lengths.
-    """
-    nothing = F.array(F.lit(None).cast("double"))
-
-    def state(k, y, out):
-        return F.struct(k.alias("k"), y.alias("y"), out.alias("out"))
-
-    def step(s, x):
-        k = s["k"] + F.lit(1)
-        total = s["y"] + x
-        seed = total / F.lit(float(n))
-        moved = s["y"] + F.lit(alpha) * (x - s["y"])
-        return (
-            F.when(x.isNull(), state(s["k"], s["y"], F.concat(s["out"], nothing)))
-            .when(k > n, state(k, moved, F.concat(s["out"], F.array(moved))))
-            .when(k == n, state(k, seed, F.concat(s["out"], F.array(seed))))
-            .otherwise(state(k, total, F.concat(s["out"], nothing)))
-        )
+BLOCK = 2000   # rows; decay >= 0.8 keeps d^-BLOCK below 1e200
 
-    empty = F.array().cast(DARR)
 
-    def walk(done, chunk):
-        last = F.element_at(done, -1)
-        return F.concat(done, F.array(F.aggregate(chunk, state(last["k"], last["y"], empty), step)))
+def ema(out: str, x: str, n: int) -> tuple[str, str, int, float]:
+    return out, x, n, 2.0 / (n + 1)
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - F.lit(1)) / F.lit(CHUNK)).cast("int")),
-                         lambda i: F.slice(xs, i * F.lit(CHUNK) + F.lit(1), F.lit(CHUNK)))
-    start = F.array(state(F.lit(0), F.lit(0.0), empty))
-    return F.aggregate(chunks, start, walk, lambda done: F.flatten(F.transform(done, lambda r: r["out"])))
 
+def wilder(out: str, x: str, n: int) -> tuple[str, str, int, float]:
+    return out, x, n, 1.0 / n
 
-def ema(xs: Column, n: int) -> Column:
-    return smooth(xs, n, 2.0 / (n + 1))
 
+def with_blocks(df: DataFrame, key: str, ts: str, block: int = BLOCK) -> DataFrame:
+    """Row position columns: block number ``_blk`` and place inside the block ``_j``."""
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(ts)) - F.lit(1)
+    df = df.withColumn("_rn0", rn)
+    return df.select("*", F.floor(F.col("_rn0") / F.lit(block)).cast("int").alias("_blk"),
+                     (F.col("_rn0") % F.lit(block)).cast("double").alias("_j")).drop("_rn0")
 
-def wilder(xs: Column, n: int) -> Column:
-    return smooth(xs, n, 1.0 / n)
 
+def smooth(df: DataFrame, specs: Iterable[tuple[str, str, int, float]], key: str, ts: str,
+           block: int = BLOCK) -> DataFrame:
+    """Add one smoothed column per (output, input, n, alpha); needs ``with_blocks``."""
+    specs = list(specs)
+    line = Window.partitionBy(key).orderBy("_blk", ts)
+    inside = Window.partitionBy(key, "_blk").orderBy(ts)
+    upto, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
+    j, xs = F.col("_j"), list(dict.fromkeys(x for _, x, _, _ in specs))
 
-def smoothed_series(df: DataFrame, key: str, ts: str, inputs: list[str],
-                    levels: list[dict[str, Column]], outputs: list[str]) -> DataFrame:
-    """(key, ts, outputs...) with ``outputs`` computed over whole ordered series.
-
-    ``inputs`` become array columns of the same names; each dict of ``levels``
-    adds array columns that may refer to earlier ones.
-    """
-    rows = F.sort_array(F.collect_list(F.struct(ts, *inputs)))
-    g = df.groupBy(key).agg(rows.alias("_rows"))
-    g = g.select(key, *[F.col(f"_rows.{c}").alias(c) for c in [ts, *inputs]])
-    for level in levels:
-        g = g.withColumns(level)
-    zipped = F.arrays_zip(*[F.col(c) for c in [ts, *outputs]])
-    return g.select(key, F.inline(zipped))
+    seen = {f"_k_{x}": F.count(x).over(upto) for x in xs} | {f"_a_{x}": F.avg(x).over(upto) for x in xs}
+    df = df.withColumns(seen)
+    scaled = {}
+    for out, x, n, alpha in specs:
+        k = F.col(f"_k_{x}")
+        z = F.when(k > n, F.lit(alpha) * F.col(x)).when((k == n) & F.col(x).isNotNull(), F.col(f"_a_{x}"))
+        scaled[f"_z_{out}"] = F.coalesce(z, F.lit(0.0)) * F.pow(F.lit(1.0 - alpha), -j)
+    df = df.withColumns(scaled)
+    df = df.withColumns({f"_s_{o}": F.sum(f"_z_{o}").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+                         for o, *_ in specs})
+    df = df.withColumns({f"_s_{o}": F.col(f"_s_{o}") * F.pow(F.lit(1.0 - a), j) for o, _, _, a in specs})
+    ends = {f"_e_{o}": F.last(F.when(j == block - 1, F.col(f"_s_{o}")), ignorenulls=True).over(before)
+            for o, *_ in specs}
+    df = df.withColumns(ends)
+    result = {}
+    for out, x, n, alpha in specs:
+        y = F.col(f"_s_{out}") + F.coalesce(F.col(f"_e_{out}") * F.pow(F.lit(1.0 - alpha), j + F.lit(1.0)), F.lit(0.0))
+        result[out] = F.when((F.col(f"_k_{x}") >= n) & F.col(x).isNotNull(), y)
+    helpers = [*seen, *scaled, *[f"_s_{o}" for o, *_ in specs], *ends]
+    return df.withColumns(result).drop(*helpers)
 
 
 def directional_inputs(high: Column, low: Column, close: Column, prev_high: Column,
@@ -94,33 +88,28 @@ def directional_inputs(high: Column, low: Column, close: Column, prev_high: Colu
     }
 
 
-def indicator_levels() -> tuple[list[dict[str, Column]], list[str]]:
-    """Array levels for the MACD, RSI, ATR and ADX families."""
-    c = F.col
-    zip2 = F.zip_with
-    first = {
-        "_e12": ema(c("close"), 12), "_e26": ema(c("close"), 26),
-        "_atr5": wilder(c("_tr"), 5), "_atr14": wilder(c("_tr"), 14), "_atr20": wilder(c("_tr"), 20),
-        "_g9": wilder(c("_gain"), 9), "_l9": wilder(c("_loss"), 9),
-        "_g14": wilder(c("_gain"), 14), "_l14": wilder(c("_loss"), 14),
-        "_p14": wilder(c("_pdm"), 14), "_m14": wilder(c("_mdm"), 14),
-    }
-    second = {
-        "_macd": zip2(c("_e12"), c("_e26"), lambda a, b: a - b),
-        "_rsi9": zip2(c("_g9"), c("_l9"), lambda g, l: F.lit(100.0) * div(g, g + l)),
-        "_rsi14": zip2(c("_g14"), c("_l14"), lambda g, l: F.lit(100.0) * div(g, g + l)),
-        "_dx": zip2(c("_p14"), c("_m14"), lambda p, m: F.lit(100.0) * div(F.abs(p - m), p + m)),
-    }
-    third = {"_signal": ema(c("_macd"), 9), "_adx14": wilder(c("_dx"), 14)}
-    return [first, second, third], ["_macd", "_signal", "_rsi9", "_rsi14", "_atr5", "_atr14", "_atr20", "_adx14"]
+def with_indicators(bars: DataFrame, key: str = "scode", ts: str = "date", block: int = BLOCK) -> DataFrame:
+    """``bars`` plus _macd, _signal, _rsi9, _rsi14, _atr5, _atr14, _atr20 and _adx14.
 
-
-def with_indicators(bars: DataFrame, key: str = "scode", ts: str = "date") -> DataFrame:
-    """(key, ts, _macd, _signal, _rsi9, _rsi14, _atr5, _atr14, _atr20, _adx14), one exchange on ``key``."""
-    from .rolling import lag, series
-    w = series(key, ts)
+    Every bar must have a close. All windows share the partitioning by ``key``.
+    """
     c = F.col
-    moves = directional_inputs(c("high"), c("low"), c("close"), lag("high", 1, w), lag("low", 1, w), lag("close", 1, w))
-    levels, outputs = indicator_levels()
-    base = bars.select(key, ts, "close", *[m.alias(n) for n, m in moves.items()])
-    return smoothed_series(base, key, ts, ["close", *moves], levels, outputs)
+    w = Window.partitionBy(key).orderBy(ts)
+    prev = {f"_prev_{x}": F.lag(x).over(w) for x in ("high", "low", "close")}
+    df = with_blocks(bars.withColumns(prev), key, ts, block)
+    moves = directional_inputs(c("high"), c("low"), c("close"), *[c(p) for p in prev])
+    df = df.withColumns(moves)
+    df = smooth(df, [
+        ema("_e12", "close", 12), ema("_e26", "close", 26),
+        wilder("_atr5", "_tr", 5), wilder("_atr14", "_tr", 14), wilder("_atr20", "_tr", 20),
+        wilder("_g9", "_gain", 9), wilder("_l9", "_loss", 9), wilder("_g14", "_gain", 14), wilder("_l14", "_loss", 14),
+        wilder("_p14", "_pdm", 14), wilder("_m14", "_mdm", 14)], key, ts, block)
+    hundred = F.lit(100.0)
+    df = df.withColumns({
+        "_macd": c("_e12") - c("_e26"),
+        "_rsi9": hundred * div("_g9", c("_g9") + c("_l9")),
+        "_rsi14": hundred * div("_g14", c("_g14") + c("_l14")),
+        "_dx": hundred * div(F.abs(c("_p14") - c("_m14")), c("_p14") + c("_m14")),
+    })
+    df = smooth(df, [ema("_signal", "_macd", 9), wilder("_adx14", "_dx", 14)], key, ts, block)
+    return df.drop(*prev, *moves, "_blk", "_j", "_e12", "_e26", "_g9", "_l9", "_g14", "_l14", "_p14", "_m14", "_dx")

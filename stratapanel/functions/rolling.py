@@ -23,89 +23,86 @@ def series(by=KEY, order=TS) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
 
 
-SERIES = series()
-
-
-def over(agg: Column, n: int, w: WindowSpec = SERIES) -> Column:
+def over(agg: Column, n: int, w: WindowSpec | None = None) -> Column:
     """Aggregate over the last n rows, partial frames included."""
-    return agg.over(w.rowsBetween(-(n - 1), 0))
+    return agg.over((w or series()).rowsBetween(-(n - 1), 0))
 
 
-def roll(agg, x: Column | str, n: int, w: WindowSpec = SERIES) -> Column:
+def roll(agg, x: Column | str, n: int, w: WindowSpec | None = None) -> Column:
     """Aggregate over the last n rows; null until the frame holds n non-null values."""
-    x, fr = col(x), w.rowsBetween(-(n - 1), 0)
+    x, fr = col(x), (w or series()).rowsBetween(-(n - 1), 0)
     return F.when(F.count(x).over(fr) >= n, agg(x).over(fr))
 
 
-def ahead(agg, x: Column | str, h: int, w: WindowSpec = SERIES) -> Column:
+def ahead(agg, x: Column | str, h: int, w: WindowSpec | None = None) -> Column:
     """Aggregate over rows t+1 .. t+h; null unless all h values are present."""
-    x, fr = col(x), w.rowsBetween(1, h)
+    x, fr = col(x), (w or series()).rowsBetween(1, h)
     return F.when(F.count(x).over(fr) >= h, agg(x).over(fr))
 
 
-def lag(x, k: int = 1, w: WindowSpec = SERIES) -> Column:
-    return F.lag(col(x), k).over(w)
+def lag(x, k: int = 1, w: WindowSpec | None = None) -> Column:
+    return F.lag(col(x), k).over(w or series())
 
 
-def lead(x, k: int = 1, w: WindowSpec = SERIES) -> Column:
-    return F.lead(col(x), k).over(w)
+def lead(x, k: int = 1, w: WindowSpec | None = None) -> Column:
+    return F.lead(col(x), k).over(w or series())
 
 
-def diff(x, k: int = 1, w: WindowSpec = SERIES) -> Column:
+def diff(x, k: int = 1, w: WindowSpec | None = None) -> Column:
     return col(x) - lag(x, k, w)
 
 
-def ffill(x, w: WindowSpec = SERIES) -> Column:
-    return F.last(col(x), ignorenulls=True).over(w.rowsBetween(FIRST, 0))
+def ffill(x, w: WindowSpec | None = None) -> Column:
+    return F.last(col(x), ignorenulls=True).over((w or series()).rowsBetween(FIRST, 0))
 
 
-def pct_change(x_filled, k: int = 1, w: WindowSpec = SERIES) -> Column:
+def pct_change(x_filled, k: int = 1, w: WindowSpec | None = None) -> Column:
     """x / x[t-k] - 1. Pass a forward-filled column where gaps must be padded."""
     return div(x_filled, lag(x_filled, k, w)) - F.lit(1.0)
 
 
-def roll_std0(x, n: int, w: WindowSpec = SERIES) -> Column:
+def roll_std0(x, n: int, w: WindowSpec | None = None) -> Column:
     return roll(F.stddev_pop, x, n, w)
 
 
-def roll_beta(y, x, n: int, w: WindowSpec = SERIES) -> Column:
+def roll_beta(y, x, n: int, w: WindowSpec | None = None) -> Column:
     """cov(y, x) / var(x) over the last n rows; pairs must be complete."""
-    y, x, fr = col(y), col(x), w.rowsBetween(-(n - 1), 0)
+    y, x, fr = col(y), col(x), (w or series()).rowsBetween(-(n - 1), 0)
     pairs = F.count(F.when(y.isNotNull() & x.isNotNull(), F.lit(1))).over(fr)
     full_x = F.count(x).over(fr)
     return F.when((pairs >= n) & (full_x >= n), div(F.covar_samp(y, x).over(fr), F.var_samp(x).over(fr)))
 
 
-def roll_skew(x, n: int, w: WindowSpec = SERIES) -> Column:
+def roll_skew(x, n: int, w: WindowSpec | None = None) -> Column:
     """Bias-corrected skewness G1 (Spark's ``skewness`` is the population g1)."""
     g1 = roll(F.skewness, x, n, w)
     return F.nanvl(g1, F.lit(None).cast("double")) * F.lit((n * (n - 1)) ** 0.5 / (n - 2))
 
 
-def roll_kurt(x, n: int, w: WindowSpec = SERIES) -> Column:
+def roll_kurt(x, n: int, w: WindowSpec | None = None) -> Column:
     """Bias-corrected excess kurtosis G2 (Spark's ``kurtosis`` is the population g2)."""
     g2 = F.nanvl(roll(F.kurtosis, x, n, w), F.lit(None).cast("double"))
     return (g2 * F.lit(float(n + 1)) + F.lit(6.0)) * F.lit((n - 1) / ((n - 2) * (n - 3)))
 
 
-def roll_median(x, n: int, w: WindowSpec = SERIES) -> Column:
+def roll_median(x, n: int, w: WindowSpec | None = None) -> Column:
     """Exact median of the last n values (``median`` itself takes no row frame)."""
-    x, fr = col(x), w.rowsBetween(-(n - 1), 0)
+    x, fr = col(x), (w or series()).rowsBetween(-(n - 1), 0)
     s = F.sort_array(F.collect_list(x).over(fr))
     mid = (F.element_at(s, (n + 1) // 2) + F.element_at(s, n // 2 + 1)) / F.lit(2.0)
     return F.when(F.count(x).over(fr) >= n, mid)
 
 
-def roll_growth(r, n: int, w: WindowSpec = SERIES) -> Column:
+def roll_growth(r, n: int, w: WindowSpec | None = None) -> Column:
     """prod(1 + r) over the last n rows."""
     return roll(F.product, F.lit(1.0) + col(r), n, w)
 
 
-def row_no(w: WindowSpec = SERIES) -> Column:
-    return F.row_number().over(w)
+def row_no(w: WindowSpec | None = None) -> Column:
+    return F.row_number().over(w or series())
 
 
-def with_streak(df: DataFrame, change: str, name: str, w: WindowSpec = SERIES) -> DataFrame:
+def with_streak(df: DataFrame, change: str, name: str, w: WindowSpec | None = None) -> DataFrame:
     """Signed length of the current run of equal signs of ``change`` (0 while flat or unknown).
 
     A run ends where the sign differs from the previous row's; the row's place
@@ -113,50 +110,53 @@ def with_streak(df: DataFrame, change: str, name: str, w: WindowSpec = SERIES) -
     so the scan keeps the series' partition and order.
     """
     df = df.withColumns({"_sg": F.coalesce(F.signum(col(change)), F.lit(0.0)), "_pos": row_no(w)})
-    starts = F.when(~F.col("_sg").eqNullSafe(F.lag("_sg").over(w)), F.col("_pos"))
+    starts = F.when(~F.col("_sg").eqNullSafe(F.lag("_sg").over(w or series())), F.col("_pos"))
     df = df.withColumn("_start", starts)
-    begin = F.last("_start", ignorenulls=True).over(w.rowsBetween(FIRST, 0))
+    begin = F.last("_start", ignorenulls=True).over((w or series()).rowsBetween(FIRST, 0))
     df = df.withColumn(name, F.col("_sg") * (F.col("_pos") - begin + F.lit(1)))
     return df.drop("_sg", "_pos", "_start")
 
 
-def rci(x, rn, n: int, w: WindowSpec = SERIES) -> Column:
+def rci_points(x, rn, n: int, w: WindowSpec | None = None) -> Column:
+    """The last n (price, row number) pairs in price order; null until n prices exist.
+
+    Keep the result as a column of its own before ``rci_value`` reads it.
+    """
+    x, rn, fr = col(x), col(rn), (w or series()).rowsBetween(-(n - 1), 0)
+    pairs = F.collect_list(F.struct(x.alias("v"), rn.cast("double").alias("p"))).over(fr)
+    return F.when(F.count(x).over(fr) >= n, F.sort_array(pairs))
+
+
+def rci_value(points, rn, n: int) -> Column:
     """Rank correlation index between time order and price order, -100 .. 100.
 
-    ``rn`` is the row number inside the series. The frame is sorted once and
-    walked once (n log n per row instead of comparing all pairs). Without equal
+    One walk over the sorted frame instead of comparing all pairs. Without equal
     prices the place in the sorted frame is the rank. With ties, equal prices
     form runs that share the average rank, and
     sum(d^2) = sum(pos^2) + sum(rank^2) - 2 sum(pos * rank) comes from run totals.
     """
-    x, rn, fr = col(x), col(rn), w.rowsBetween(-(n - 1), 0)
-    points = F.sort_array(F.collect_list(F.struct(x.alias("v"), rn.cast("double").alias("p"))).over(fr))
+    points, rn = col(points), col(rn)
+    shift = rn.cast("double") - F.lit(float(n))
 
     def closed(s):
         rank = s["start"] + (s["size"] + F.lit(1.0)) / F.lit(2.0)
         return s["acc"] + s["size"] * rank * rank - F.lit(2.0) * rank * s["pos"]
 
     def step(s, e):
-        same = e["v"] == s["v"]
+        pos = e["p"] - shift
         grow = F.struct(s["v"].alias("v"), s["start"].alias("start"), (s["size"] + F.lit(1.0)).alias("size"),
-                        (s["pos"] + e["p"]).alias("pos"), s["acc"].alias("acc"))
+                        (s["pos"] + pos).alias("pos"), s["acc"].alias("acc"))
         fresh = F.struct(e["v"].alias("v"), (s["start"] + s["size"]).alias("start"), F.lit(1.0).alias("size"),
-                         e["p"].alias("pos"), closed(s).alias("acc"))
-        return F.when(same, grow).otherwise(fresh)
-
-    start = F.struct(F.lit(float("-inf")).alias("v"), F.lit(0.0).alias("start"), F.lit(0.0).alias("size"),
-                     F.lit(0.0).alias("pos"), F.lit(0.0).alias("acc"))
-    # positions enter as absolute row numbers; a common shift of all positions by s adds
-    # 2*s*sum(rank) = s*n*(n+1) to acc, which is removed here
-    acc = F.aggregate(points, start, step, closed)
-    shift = rn.cast("double") - F.lit(float(n))
-    sum_sq = F.lit(n * (n + 1) * (2 * n + 1) / 6.0)
-    d2_ties = sum_sq + acc + shift * F.lit(float(n * (n + 1)))
+                         pos.alias("pos"), closed(s).alias("acc"))
+        return F.when(e["v"] == s["v"], grow).otherwise(fresh)
+
+    empty = F.struct(F.lit(float("-inf")).alias("v"), *[F.lit(0.0).alias(c) for c in ("start", "size", "pos", "acc")])
+    with_ties = F.lit(n * (n + 1) * (2 * n + 1) / 6.0) + F.aggregate(points, empty, step, closed)
 
     def gap(p, i):
         d = p - shift - i - F.lit(1)
         return d * d
 
-    d2_plain = F.aggregate(F.transform(points["p"], gap), F.lit(0.0), lambda a, d: a + d)
-    d2 = F.when(F.size(F.array_distinct(points["v"])) == n, d2_plain).otherwise(d2_ties)
-    return F.when(F.count(x).over(fr) >= n, (F.lit(1.0) - F.lit(6.0) * d2 / F.lit(float(n * (n * n - 1)))) * F.lit(100.0))
+    plain = F.aggregate(F.transform(points["p"], gap), F.lit(0.0), lambda a, d: a + d)
+    d2 = F.when(F.size(F.array_distinct(points["v"])) == n, plain).otherwise(with_ties)
+    return F.when(points.isNotNull(), (F.lit(1.0) - F.lit(6.0) * d2 / F.lit(float(n * (n * n - 1)))) * F.lit(100.0))

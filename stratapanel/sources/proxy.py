@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import div
 
-TRADE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+TRADE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 # Market segment names given to the proxy stocks, by nation key modulo 8
 MARKETS = ["プライム", "東証 1部", "JQグロース", "スタンダード", "マザーズ", "東証二部", "TOKYO PRO MARKET", "その他"]
@@ -29,13 +29,14 @@ class Proxy:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     def trades(self) -> DataFrame:
+        # one long orders the trades of a day, so open/close stay in a hash aggregate
+        seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey") % 1_000_000
         return self.table("lineitem").select(
             F.col("l_suppkey").alias("scode"), F.col("l_shipdate").cast("date").alias("date"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), *TRADE_KEY,
-            "l_returnflag", "l_linestatus")
+            (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), seq.alias("seq"), *TRADE_COLS)
 
     def bars(self) -> DataFrame:
-        p, key = F.col("p"), F.struct(*TRADE_KEY)
+        p, key = F.col("p"), F.col("seq")
         return self.trades().groupBy("scode", "date").agg(
             F.min_by(p * (F.lit(1) - F.col("l_discount") / 2), key).alias("open"),
             F.max(p * (F.lit(1) + F.col("l_tax"))).alias("high"),
