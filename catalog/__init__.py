@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows"]
+MODULES = ["windows", "scans"]
 
 
 def load():

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, div
-from .groups import fits_window, with_group_aggs
+from .groups import fits_window, join_back, with_group_aggs
+from .ranking import order_statistics
 
 SECTOR = ["date", "sector33_code"]
 
@@ -29,3 +30,17 @@ def sector_z(df: DataFrame, names: list[str], keys: list[str] = SECTOR, windowed
         z = div(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))
         out[f"{c}_sector_z"] = F.when(flat, F.lit(0.0)).otherwise(clip(z, -bound, bound))
     return df.withColumns(out).drop(*aggs)
+
+
+def fill_group_median(df: DataFrame, names: list[str], keys: list[str] = SECTOR,
+                      windowed: bool | None = None) -> DataFrame:
+    """Null values take the exact median of their group."""
+    if windowed is None:
+        windowed = fits_window(df, keys)
+    if windowed:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({c: F.coalesce(F.col(c), F.median(c).over(w)) for c in names})
+    for c in names:
+        med = order_statistics(df, c, keys, [0.5]).select(*keys, F.col("q").alias("_median"))
+        df = join_back(df, med, keys).withColumn(c, F.coalesce(F.col(c), F.col("_median"))).drop("_median")
+    return df

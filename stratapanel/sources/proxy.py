@@ -125,3 +125,62 @@ class Proxy:
             F.max("value").alias("hi"), F.min("value").alias("lo"))
         return daily.select("scode", "date", F.round(div("value", F.lit(250.0)), 4).alias("score"), "label",
                             lead("value", 1, series()).alias("target"), "hi", "lo")
+
+    # -- raw vendor shapes, for the loader functions ---------------------------------------
+
+    @staticmethod
+    def code4(key: Column) -> Column:
+        return F.lpad(key.cast("string"), 4, "0")
+
+    def raw(self, name: str) -> DataFrame:
+        """Reader over vendor-shaped tables: prices, listings, code_list, topix, n225, ..."""
+        c = F.col
+        if name == "prices":
+            m = self.markets()
+            d = self.bars().join(m, "scode")
+            return d.withColumns({"mcode": F.when(c("scode") % 10 == 9, F.lit("N")).otherwise(F.lit("T")),
+                                  "scode": self.code4(c("scode"))})
+        if name == "listings":
+            return self.table("supplier").select(
+                F.concat(self.code4(c("s_suppkey")), F.lit("0")).alias("Code"),
+                F.when(c("s_nationkey") % 11 != 0, c("s_nationkey").cast("string")).alias("Sector33Code"))
+        if name == "code_list":
+            d = self.table("supplier").join(self.table("nation"), c("s_nationkey") == c("n_nationkey"))
+            return d.select(self.code4(c("s_suppkey")).alias("scode"), c("s_name").alias("sname"),
+                            self.market_name(c("s_nationkey")).alias("market"), c("s_acctbal").alias("close"),
+                            c("n_name").alias("gyoshu"))
+        if name == "topix":
+            return self.index_topix()
+        if name == "n225":
+            return self.index_n225()
+        if name == "investor_types":
+            return self.investor_types()
+        if name == "margin_interest":
+            return self.margin_weekly().withColumn("Code", F.concat(self.code4(c("scode")), F.lit("0"))).drop("scode")
+        if name == "short_ratio":
+            return self.short_ratio()
+        if name == "financials":
+            from .loaders import FINANCIAL_COLUMNS
+            d = self.financials_raw()
+            return d.select(F.concat(self.code4(c("scode")), F.lit("0")).alias("Code"),
+                            *[c(n).alias(v) for v, n in FINANCIAL_COLUMNS.items()])
+        if name == "sector_return":
+            from ..plans.panel import sector_index
+            return sector_index(self.bars().select("scode", "date", "close"), self.symbols())
+        raise KeyError(name)
+
+    # -- logical inputs with the numeric stock key ------------------------------------------
+
+    def financials(self) -> DataFrame:
+        from .loaders import clean_financials
+        return clean_financials(self.financials_raw())
+
+    def margin(self) -> DataFrame:
+        zero = F.lit(0.0)
+        return self.margin_weekly().select(
+            "date", "scode", F.coalesce("LongVol", zero).alias("long_margin_trade_balance_share"),
+            F.coalesce("ShrtVol", zero).alias("short_margin_trade_balance_share"))
+
+    def shorts(self) -> DataFrame:
+        from .loaders import short_selling_ratio
+        return short_selling_ratio(self.raw, "1900-01-01")
