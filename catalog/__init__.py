@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows", "scans"]
+MODULES = ["windows", "scans", "features"]
 
 
 def load():
