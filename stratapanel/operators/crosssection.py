@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, div
+from ..functions import rolling as R
+from ..functions.scalars import clip, div, probit
 from .groups import fits_window, join_back, with_group_aggs
-from .ranking import order_statistics
+from .ranking import average_ranks, drop_ranks, long_ranks, order_statistics, pct_rank
 
 SECTOR = ["date", "sector33_code"]
 
@@ -44,3 +45,81 @@ def fill_group_median(df: DataFrame, names: list[str], keys: list[str] = SECTOR,
         med = order_statistics(df, c, keys, [0.5]).select(*keys, F.col("q").alias("_median"))
         df = join_back(df, med, keys).withColumn(c, F.coalesce(F.col(c), F.col("_median"))).drop("_median")
     return df
+
+
+# Columns the rank transform leaves alone
+RANK_EXCLUDED = {
+    "scode", "date", "close", "Entry_Price", "Future_High_Tac", "Future_Low_Tac", "Future_Close_Tac",
+    "Future_High_Str", "Future_Low_Str", "Future_Close_Str", "target_tac_rank", "target_tac_gauss_rank",
+    "target_tac_vol_scaled_residual", "target_tac_smoothed_return", "target_tac_linear_residual",
+    "target_tac_tb_strategy_a", "target_tac_tb_strategy_b", "target_tac_tb_strategy_c", "target_str_risk_adj",
+    "target_str_consistency", "target_str_vol_scale", "target_str_triple_barrier", "target_str_rank",
+    "target_str_peer_alpha", "target_ret_5", "target_ret_60", "Sector_Return_Future", "market_vol_change",
+    "market_segment", "overseas_flow_trend", "flow_accel", "Month", "DayOfMonth", "DayOfWeek", "Sin_DayOfWeek",
+    "Cos_DayOfWeek", "Is_Gotobi", "Is_Month_End", "Is_Quarter_End", "Quarter", "time_idx", "sector33_code",
+    "Sector_Momentum_5d", "sector_return", "sector_short_sell_ratio", "Volume_Log", "Abnormal_Volume",
+    "Volume_Change", "Volume_Slope_5", "Log_Trading_Cap", "log_vol_change", "Vol_Ratio_5d", "Vol_Spike_Count_20",
+    "EPS_Actual", "is_missing_eps", "log_days_since_pub", "log_market_cap", "turnover_ratio",
+}
+# Columns scored against their sector, and those that also stay as they are
+Z_COLUMNS = [
+    "accruals", "eps_growth_yoy", "equity_ratio", "log_pbr", "log_pcfr", "earnings_yield", "div_yield",
+    "operating_profit_growth_yoy", "op_margin", "roa", "roe", "sales_growth_yoy", "revision_rate", "progress_rate",
+    "ATR_Ratio", "ma_dev_25", "ma_dev_75", "ma_dev_200", "Return_20d", "Return_6m", "Return_12m", "RSI_14",
+    "high_52w_dist", "downside_dev_60", "volatility_60", "margin_ratio", "margin_buy_impact",
+]
+Z_KEPT = ["Return_20d", "RSI_14", "ATR_Ratio", "margin_buy_impact", "margin_ratio", "sales_growth_yoy"]
+MEDIAN_FILLED = ["EPS_Actual", "turnover_ratio", "log_market_cap"]
+CLIP = 1e-6
+
+
+def rank_columns(df: DataFrame) -> list[str]:
+    """Numeric columns to transform; market-wide columns are recognised by prefix."""
+    numeric = ("double", "float", "integer", "long", "short", "byte")
+    return [f.name for f in df.schema.fields if f.dataType.typeName() in numeric
+            and f.name not in RANK_EXCLUDED and not f.name.startswith("Market_")]
+
+
+def sector_relative(df: DataFrame, horizon: int = 5) -> DataFrame:
+    """Sector momentum, relative returns and relative strength; rolling per stock."""
+    return df.withColumns({
+        "Sector_Momentum_5d": R.roll(F.avg, "sector_return", 5),
+        "Sector_Rel": div("close", "sector_return"),
+        "Rel_Sector_Return_1d": F.col("Log_Return") - F.col("sector_return"),
+        "Rel_Sector_Return_5d": R.roll(F.sum, "Log_Return", 5) - R.roll(F.sum, "sector_return", 5),
+        "sector_rel_strength_60": R.roll_growth("sector_return", 60) - R.roll_growth("Market_Return", 60),
+        "sector_short_sell_ratio": F.col("selling_volume_ratio"),
+        "Sector_Return_Future": R.ahead(F.sum, "sector_return", horizon),
+    })
+
+
+def z_features(df: DataFrame, windowed: bool | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``<name>_sector_z`` for the listed columns that exist; originals dropped unless kept."""
+    names = [c for c in (columns or Z_COLUMNS) if c in df.columns]
+    return sector_z(df, names, windowed=windowed).drop(*[c for c in names if c not in Z_KEPT])
+
+
+def gauss_rank_features(df: DataFrame, names: list[str], mask: Column, windowed: bool | None = None,
+                        batch: int = 40, keys: tuple[str, str] = ("scode", "date"),
+                        spacing: int | None = None) -> DataFrame:
+    """Replace columns by normal scores of their rank among the day's broad universe.
+
+    Rows outside the universe take the stock's last score, or 0 before the first.
+    """
+    stock, day = keys
+    if windowed is None:
+        windowed = fits_window(df, [day])
+    masked = {f"_m_{c}": F.when(mask, F.col(c).cast("double")) for c in names}
+    tmp = list(masked)
+    df = df.withColumns(masked)
+    if windowed:
+        for i in range(0, len(tmp), batch):
+            df = average_ranks(df, tmp[i:i + batch], [day], windowed=True)
+    else:
+        t = long_ranks(df, tmp, [day], list(keys), **({"spacing": spacing} if spacing else {}))
+        df = join_back(df, t, list(keys))
+    df = df.withColumns({m: clip(pct_rank(m), CLIP, 1 - CLIP) for m in tmp})
+    df = df.withColumns({m: probit(m) for m in tmp})
+    w = R.series(stock, day)
+    out = df.withColumns({c: F.coalesce(R.ffill(m, w), F.lit(0.0)) for c, m in zip(names, tmp)})
+    return drop_ranks(out, tmp).drop(*tmp)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
-from ..functions.scalars import clip, div, finite, flag, symmetric_growth, zero_to_null
+from ..functions.scalars import clip, div, flag, symmetric_growth, zero_to_null
 
 EPS = 1e-6
 YEAR_ROWS = 240
@@ -52,7 +52,7 @@ class FeatureSet:
 
     def apply(self, df: DataFrame, keep_helpers: bool = False) -> DataFrame:
         for level in self.levels:
-            df = df.withColumns({n: (x if n.startswith("_") else x) for n, x in level.items()})
+            df = df.withColumns(level)
         return df if keep_helpers else df.drop(*self.helpers)
 
 
