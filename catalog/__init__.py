@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows", "scans", "features", "crosssection"]
+MODULES = ["windows", "scans", "features", "crosssection", "training"]
 
 
 def load():

@@ -156,9 +156,9 @@ SHORTS = """shorts_raw AS (SELECT date, sector33_code AS S33,
 shorts AS MATERIALIZED (SELECT date, S33 AS sector33_code, (coalesce(ShrtWithResVa, 0) + coalesce(ShrtNoResVa, 0)) / nullif(coalesce(SellExShortVa, 0), 0) AS selling_volume_ratio FROM shorts_raw)"""
 SECTOR_RETURN = f"""secret0 AS (SELECT scode, date, {pct('close')} AS ret FROM bars),
 sector_return AS MATERIALIZED (SELECT date, sector33_code, avg(ret) AS sector_return FROM secret0 JOIN symbols USING (scode) GROUP BY date, sector33_code)"""
-SCORED = """daily AS (SELECT user_id AS scode, CAST(ts AS DATE) AS date, avg(value) AS value, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS label,
+SCORED = f"""daily AS (SELECT user_id AS scode, CAST(ts AS DATE) AS date, avg(value) AS value, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS label,
   max(value) AS hi, min(value) AS lo FROM events GROUP BY 1, 2),
-scored AS MATERIALIZED (SELECT scode, date, round(value / 250.0::DOUBLE, 4) AS score, label, lead(value) OVER (PARTITION BY scode ORDER BY date) AS target, hi, lo FROM daily)"""
+scored AS MATERIALIZED (SELECT scode, date, {r('value / 250.0::DOUBLE', 4)} AS score, label, lead(value) OVER (PARTITION BY scode ORDER BY date) AS target, hi, lo FROM daily)"""
 
 
 def with_(*ctes: str) -> str:

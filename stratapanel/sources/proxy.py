@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import div
+from ..functions.scalars import div, snap
 
 TRADE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
@@ -123,7 +123,7 @@ class Proxy:
             F.col("user_id").alias("scode"), F.col("ts").cast("date").alias("date")).agg(
             F.avg("value").alias("value"), F.max((F.col("event_type") == "purchase").cast("int")).alias("label"),
             F.max("value").alias("hi"), F.min("value").alias("lo"))
-        return daily.select("scode", "date", F.round(div("value", F.lit(250.0)), 4).alias("score"), "label",
+        return daily.select("scode", "date", snap(div("value", F.lit(250.0)), 4).alias("score"), "label",
                             lead("value", 1, series()).alias("target"), "hi", "lo")
 
     # -- raw vendor shapes, for the loader functions ---------------------------------------
