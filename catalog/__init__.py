@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows", "scans", "features", "crosssection", "training"]
+MODULES = ["windows", "scans", "features", "crosssection", "training", "reports"]
 
 
 def load():

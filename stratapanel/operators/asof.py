@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def latest_per_key(right: DataFrame, by: list[str], ts: str, values: list[str],
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str,
               values: list[str], tie: list[str] | None = None, left_unique: bool = False,
               right_unique: bool = False, keep_right_ts: str | None = None,
-              block: str | None = None) -> DataFrame:
+              block: str | None = None, bounded: bool = False) -> DataFrame:
     """Each left row gets ``values`` of the latest right row with right_ts <= left_ts.
 
     Both sides are tagged, united and scanned once per key in time order; right
@@ -27,7 +29,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     a sector with a third of all panel rows then contributes one row per day,
     and the result is joined back on (by, ts). ``block`` (a ``date_trunc`` unit)
     also cuts long keys into time blocks: the scan runs per (key, block) and a
-    small carry table hands the last value over to the next blocks.
+    small carry table hands the last value over to the next blocks. ``bounded``
+    states that distinct (by, ts) pairs are few by construction (sectors x days):
+    the reduced result is then broadcast.
     """
     payload = [*values, *([keep_right_ts] if keep_right_ts else [])]
     if keep_right_ts:
@@ -62,7 +66,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
         *by, "_l.*", *[F.col(f"_v.{c}").alias(c) for c in payload])
     if left_unique:
         return found.select(*left.columns, *payload)
-    return join_back(left, found, [*by, left_ts])
+    return join_back(left, F.broadcast(found) if bounded else found, [*by, left_ts])
 
 
 def calendar(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
@@ -80,3 +84,33 @@ def densify(events: DataFrame, ts: str, values: list[str], start: str, end: str
     hi = F.to_date(F.lit(end)) if end else F.greatest(F.max(ts), lo)
     days = calendar(events, ts, lo, hi)
     return asof_join(days, events, [], ts, ts, values, right_unique=True, left_unique=True)
+
+
+@dataclass
+class Side:
+    """One right-hand table of ``asof_joins``: unique per (by, ts)."""
+    df: DataFrame
+    ts: str
+    values: list[str]
+    keep_ts: str | None = None
+
+
+def asof_joins(left: DataFrame, by: list[str], left_ts: str, sides: list[Side]) -> DataFrame:
+    """Several backward as-of joins on the same key with one exchange and one scan.
+
+    ``left`` must be unique per (by, left_ts). The result stays partitioned by
+    ``by``, so per-key windows that follow need no further exchange.
+    """
+    rest = [c for c in left.columns if c not in by and c != left_ts]
+    u = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(len(sides)).alias("_side"), F.struct(left_ts, *rest).alias("_l"))
+    for i, s in enumerate(sides):
+        cols = [F.col(v) for v in s.values] + ([F.col(s.ts).alias(s.keep_ts)] if s.keep_ts else [])
+        r = s.df.where(F.col(s.ts).isNotNull()).select(
+            *by, F.col(s.ts).alias("_ts"), F.lit(i).alias("_side"), F.struct(*cols).alias(f"_r{i}"))
+        u = u.unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    u = u.select(*by, "_side", "_l", *[F.last(f"_r{i}", ignorenulls=True).over(w).alias(f"_v{i}") for i in range(len(sides))])
+    out = []
+    for i, s in enumerate(sides):
+        out += [F.col(f"_v{i}.{v}").alias(v) for v in [*s.values, *([s.keep_ts] if s.keep_ts else [])]]
+    return u.where(F.col("_side") == len(sides)).select(*by, "_l.*", *out)

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.recursion import with_indicators
 from ..functions.rolling import pct_change
-from ..operators.asof import asof_join
+from ..operators.asof import Side, asof_join, asof_joins
+from ..operators.features import TARGET_HELPERS, feature_set
+from ..operators.targets import target_set
+from ..operators.universe import Thresholds, intrinsic_metrics
+from ..sources import loaders as L
 from ..sources.loaders import FINANCIAL_VALUES
 
+MARGIN_VALUES = ["long_margin_trade_balance_share", "short_margin_trade_balance_share"]
+
 BROADCAST_ROWS = 1_000_000   # narrow dimension rows that may be copied to every executor
 
 
@@ -42,24 +49,56 @@ class Inputs:
 
 def min_history(df: DataFrame, rows: int = 250) -> DataFrame:
     """Keep stocks with at least ``rows`` rows."""
-    from pyspark.sql import Window
     n = F.count(F.lit(1)).over(Window.partitionBy("scode"))
     return df.withColumn("_rows", n).where(F.col("_rows") >= rows).drop("_rows")
 
 
 def join_inputs(i: Inputs) -> DataFrame:
-    """Equi joins on stock and date, then as-of joins on publication times."""
-    d = i.bars.join(i.symbols, "scode", "left")
+    """Dimension joins first, then one scan per stock for all as-of joins.
+
+    Market series have one row per calendar day and sector tables one per sector
+    and day, so they are broadcast; the sector master is counted first. The only
+    exchange of panel rows is the one by stock, and the result keeps it.
+    """
+    d = i.bars.join(small(i.symbols), "scode", "left")
     for series in (i.topix, i.n225, i.flows):
         if series is not None:
-            d = d.join(series, "date", "left")
+            d = d.join(F.broadcast(series), "date", "left")
+    if i.sector_return is not None:
+        d = d.join(F.broadcast(i.sector_return), ["date", "sector33_code"], "left")
+    if i.shorts is not None:
+        d = asof_join(d, i.shorts, ["sector33_code"], "date", "date", ["selling_volume_ratio"], right_unique=True, bounded=True)
+    sides = []
     if i.financials is not None:
-        d = asof_join(d, i.financials, ["scode"], "date", "published_date", FINANCIAL_VALUES,
-                      left_unique=True, right_unique=True, keep_right_ts="published_date")
+        sides.append(Side(i.financials, "published_date", FINANCIAL_VALUES, "published_date"))
     if i.margin is not None:
-        d = asof_join(d, i.margin, ["scode"], "date", "available_date",
-                      ["long_margin_trade_balance_share", "short_margin_trade_balance_share"],
-                      left_unique=True, right_unique=True)
-    if i.shorts is not None:
-        d = asof_join(d, i.shorts, ["sector33_code"], "date", "date", ["selling_volume_ratio"], right_unique=True)
+        sides.append(Side(i.margin, "available_date", MARGIN_VALUES))
+    return asof_joins(d, ["scode"], "date", sides) if sides else d
+
+
+def time_series_panel(i: Inputs, min_rows: int = 250, thresholds: Thresholds = Thresholds(), with_targets: bool = True,
+                      drop_incomplete: bool = True) -> DataFrame:
+    """Every per-stock feature, target and universe metric; one row per (scode, date).
+
+    All windows reuse the exchange by stock made in ``join_inputs``.
+    """
+    d = min_history(join_inputs(i), min_rows)
+    d = with_indicators(d)
+    d = feature_set().apply(d).drop("_macd", "_signal", "_rsi9", "_rsi14", "_atr5", "_atr14", "_atr20", "_adx14")
+    if with_targets:
+        d = target_set().apply(d)
+    d = intrinsic_metrics(d, thresholds)
+    d = d.drop(*TARGET_HELPERS)
+    if drop_incomplete:
+        d = d.dropna(subset=["momentum_12_1", "Dist_SMA75", *(["Future_High_Str"] if with_targets else [])])
     return d
+
+
+def proxy_inputs(p, flow_range: tuple[str, str | None] = ("1995-06-01", None)) -> Inputs:
+    """Inputs derived from the test tables (``sources.proxy.Proxy``)."""
+    return Inputs(
+        bars=p.bars().join(small(p.markets()), "scode", "left"), symbols=p.symbols(),
+        topix=L.topix_features(p.index_topix()), n225=L.n225_features(p.index_n225()),
+        flows=L.flow_features(L.investor_types(p.raw, "1900-01-01"), *flow_range),
+        financials=p.financials(), margin=L.available_after(p.margin()).drop("date"), shorts=p.shorts(),
+        sector_return=sector_index(p.bars().select("scode", "date", "close"), p.symbols()))
