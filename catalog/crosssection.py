@@ -198,7 +198,7 @@ GR_SQL = q.with_(q.BARS) + f""", g0 AS MATERIALIZED (SELECT scode, date, volume,
  SELECT scode, date, {q.r(f"coalesce({q.ffill('ga')}, 0)")} AS a, {q.r(f"coalesce({q.ffill('gb')}, 0)")} AS b FROM g4"""
 
 
-def _gr(spark, d, windowed, spacing=None):
+def _gr(spark, d, windowed, spacing=250_000):
     df = Proxy(spark, d).bars().withColumns({"a": R.pct_change("close", 20), "b": F.col("volume_p")})
     mask = S.is_true((F.col("volume") >= 20) & (F.col("close") >= 1500))
     return S.rounded(C.gauss_rank_features(df, ["a", "b"], mask, windowed, spacing=spacing).select("scode", "date", "a", "b"))

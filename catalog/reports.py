@@ -16,7 +16,7 @@ from stratapanel.operators.crosssection import sector_z
 from stratapanel.operators.universe import Thresholds
 from stratapanel.plans import master as MP
 from stratapanel.plans import panel as P
-from stratapanel.plans.staging import shared_folder
+from stratapanel.plans.staging import checkpointed, shared_folder
 from stratapanel.sources import sinks, tables
 from stratapanel.sources.proxy import Proxy
 
@@ -114,8 +114,10 @@ def _model_panel(spark, d):
 
 
 def _fitted(spark, d, k=2):
-    folds = T.purged_kfold(axis(spark, d), k, 0.01)
-    return M.fold_scores(_model_panel(spark, d), folds, list(range(k)), MODEL_FEATURES, "target", SMALL)
+    # boosting reads its rows once per round: both inputs are materialised first
+    folds = checkpointed(T.purged_kfold(axis(spark, d), k, 0.01))
+    panel = checkpointed(_model_panel(spark, d))
+    return M.fold_scores(panel, folds, list(range(k)), MODEL_FEATURES, "target", SMALL)
 
 
 @query("gbt_fold_scores", "M-1 M-2")

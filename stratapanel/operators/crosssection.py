@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rolling as R
 from ..functions.scalars import clip, div, probit
 from .groups import fits_window, join_back, with_group_aggs
-from .ranking import average_ranks, drop_ranks, long_ranks, order_statistics, pct_rank
+from .ranking import SPACING, average_ranks, order_statistics, pct_rank
 
 SECTOR = ["date", "sector33_code"]
 
@@ -100,26 +100,23 @@ def z_features(df: DataFrame, windowed: bool | None = None, columns: list[str] |
 
 
 def gauss_rank_features(df: DataFrame, names: list[str], mask: Column, windowed: bool | None = None,
-                        batch: int = 40, keys: tuple[str, str] = ("scode", "date"),
-                        spacing: int | None = None) -> DataFrame:
+                        keys: tuple[str, str] = ("scode", "date"), spacing: int = SPACING) -> DataFrame:
     """Replace columns by normal scores of their rank among the day's broad universe.
 
-    Rows outside the universe take the stock's last score, or 0 before the first.
+    Columns are stacked into (name, value), so ranking and scoring are one narrow
+    pass whatever the number of columns, and work is spread over (day, name)
+    instead of days. Rows outside the universe take the stock's last score, or 0
+    before the first.
     """
     stock, day = keys
     if windowed is None:
         windowed = fits_window(df, [day])
-    masked = {f"_m_{c}": F.when(mask, F.col(c).cast("double")) for c in names}
-    tmp = list(masked)
-    df = df.withColumns(masked)
-    if windowed:
-        for i in range(0, len(tmp), batch):
-            df = average_ranks(df, tmp[i:i + batch], [day], windowed=True)
-    else:
-        t = long_ranks(df, tmp, [day], list(keys), **({"spacing": spacing} if spacing else {}))
-        df = join_back(df, t, list(keys))
-    df = df.withColumns({m: clip(pct_rank(m), CLIP, 1 - CLIP) for m in tmp})
-    df = df.withColumns({m: probit(m) for m in tmp})
+    narrow = df.where(mask).select(stock, day, *[F.col(c).cast("double").alias(c) for c in names])
+    long = narrow.unpivot([stock, day], names, "_name", "_v").where(F.col("_v").isNotNull())
+    long = average_ranks(long, ["_v"], [day, "_name"], windowed=windowed, spacing=spacing)
+    long = long.select(stock, day, "_name", clip(pct_rank("_v"), CLIP, 1 - CLIP).alias("_p"))
+    scores = long.select(stock, day, "_name", probit("_p").alias("_g")).groupBy(stock, day).pivot("_name", names).agg(F.first("_g"))
+    scores = scores.withColumnsRenamed({c: f"_g_{c}" for c in names})
+    out = join_back(df, scores, [stock, day])
     w = R.series(stock, day)
-    out = df.withColumns({c: F.coalesce(R.ffill(m, w), F.lit(0.0)) for c, m in zip(names, tmp)})
-    return drop_ranks(out, tmp).drop(*tmp)
+    return out.withColumns({c: F.coalesce(R.ffill(f"_g_{c}", w), F.lit(0.0)) for c in names}).drop(*[f"_g_{c}" for c in names])

@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import checkpointed
 from .prep import fit_medians, impute_median, size_weight, time_decay_weight
 
 
@@ -47,6 +48,7 @@ def fit_fold(rows: DataFrame, features: list[str], target: str, p: BoostParams =
     d = d.withColumn("weight", F.when(is_train, F.col("_decay") * F.coalesce(size, F.lit(0.0))).otherwise(F.lit(1.0)))
     d = feature_vector(d, features).select("features", F.col(target).cast("double").alias("label"), "weight",
                                            (~is_train).alias("is_valid"))
+    d = checkpointed(d)   # read again in every boosting round
     gbt = GBTRegressor(featuresCol="features", labelCol="label", weightCol="weight", validationIndicatorCol="is_valid",
                        maxIter=p.rounds, stepSize=p.step, maxDepth=p.depth, minInstancesPerNode=p.min_rows,
                        subsamplingRate=p.row_share, featureSubsetStrategy=p.column_share, validationTol=p.tolerance, seed=p.seed)

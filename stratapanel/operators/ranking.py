@@ -90,22 +90,6 @@ def split_ranks(df: DataFrame, names: list[str], by: list[str], spacing: int = S
     return out
 
 
-def long_ranks(df: DataFrame, names: list[str], by: list[str], keys: list[str],
-               spacing: int = SPACING) -> DataFrame:
-    """``split_ranks`` for many columns: one rank table over (by, column name, value).
-
-    The number of shuffles does not depend on the number of columns. ``keys``
-    identify a row; the result has ``keys`` plus the rank columns.
-    """
-    ids = list(dict.fromkeys([*keys, *by]))
-    long = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(ids, names, "_name", "_v")
-    long = long.where(F.col("_v").isNotNull())
-    t = rank_table(long, "_v", [*by, "_name"], spacing).select(*by, "_name", "_v", "rank", "n")
-    hit = join_back(long, t, [*by, "_name", "_v"], "inner")
-    per_name = [F.max(F.when(F.col("_name") == c, F.col(x))).alias(f"{c}__{x}") for c in names for x in ("rank", "n")]
-    return hit.groupBy(*keys).agg(*per_name)
-
-
 def average_ranks(df: DataFrame, names: list[str], by: list[str], windowed: bool | None = None,
                   spacing: int = SPACING) -> DataFrame:
     """Average ranks inside ``by``; the form follows the checked size of the largest group."""
