@@ -96,4 +96,4 @@ def test_jdbc_predicates_cover_every_date():
     con = duckdb.connect()
     con.execute("CREATE TABLE t AS SELECT DATE '2019-11-15' + i::INTEGER AS d FROM range(0, 200) r(i) UNION ALL SELECT NULL")
     parts = tables.month_predicates("d", "2020-01-01", "2020-03-31")
-    assert sum(con.sql(f"SELECT count(*) FROM t WHERE {x}").fetchone()[0] for x in parts) == 201
+    assert sum(con.execute(f"SELECT count(*) FROM t WHERE {x}").fetchone()[0] for x in parts) == 201
