@@ -92,10 +92,23 @@ def rci_sql(x: str, n: int) -> str:
     return lst, f"CASE WHEN len(v) >= {n} THEN (1 - 6 * {d2} / ({n} * ({n} * {n} - 1.0))) * 100 END"
 
 
+def _rank_correlation(n):
+    lst, val = rci_sql("close", n)
+
+    @query(f"rank_correlation_{n}", "W-15", q.with_(q.BARS) + f"SELECT scode, date, {q.r(val)} AS rci FROM (SELECT *, {lst} AS v FROM bars)")
+    def _(spark, d):
+        return S.rounded(R.with_rci(_bars(spark, d), "close", {"rci": n}).select("scode", "date", "rci"))
+
+
 for _n in (9, 26, 52):
-    _lst, _val = rci_sql("close", _n)
-    simple(f"rank_correlation_{_n}", "W-15", {f"rci{_n}": ((lambda n=_n: R.rci_value("v", "rn", n)), _val)},
-           stage=[RN, {"v": ((lambda n=_n: R.rci_points("close", "rn", n)), _lst)}])
+    _rank_correlation(_n)
+
+
+@query("rank_correlation_with_ties", "W-15", q.with_(q.BARS) + f"SELECT scode, date, {q.r(rci_sql('x', 26)[1])} AS rci FROM (SELECT *, {rci_sql('x', 26)[0]} AS v FROM (SELECT *, round(volume / 10) AS x FROM bars))")
+def _(spark, d):
+    df = _bars(spark, d).withColumn("x", F.round(F.col("volume") / F.lit(10)))
+    return S.rounded(R.with_rci(df, "x", {"rci": 26}).select("scode", "date", "rci"))
+
 
 STREAK_SQL = q.with_(q.BARS) + f""", s0 AS (SELECT scode, date, sign(close - {q.lag('close')}) AS sg FROM bars),
 s1 AS (SELECT *, CASE WHEN coalesce(sg, 0) = coalesce({q.lag('sg')}, 0) THEN 0 ELSE 1 END AS chg FROM s0),

@@ -117,46 +117,67 @@ def with_streak(df: DataFrame, change: str, name: str, w: WindowSpec | None = No
     return df.drop("_sg", "_pos", "_start")
 
 
-def rci_points(x, rn, n: int, w: WindowSpec | None = None) -> Column:
-    """The last n (price, row number) pairs in price order; null until n prices exist.
-
-    Keep the result as a column of its own before ``rci_value`` reads it.
-    """
-    x, rn, fr = col(x), col(rn), (w or series()).rowsBetween(-(n - 1), 0)
-    pairs = F.collect_list(F.struct(x.alias("v"), rn.cast("double").alias("p"))).over(fr)
-    return F.when(F.count(x).over(fr) >= n, F.sort_array(pairs))
-
-
-def rci_value(points, rn, n: int) -> Column:
-    """Rank correlation index between time order and price order, -100 .. 100.
-
-    One walk over the sorted frame instead of comparing all pairs. Without equal
-    prices the place in the sorted frame is the rank. With ties, equal prices
-    form runs that share the average rank, and
-    sum(d^2) = sum(pos^2) + sum(rank^2) - 2 sum(pos * rank) comes from run totals.
+def rci_levels(x: str, periods: dict[str, int], w: WindowSpec | None = None) -> list[dict[str, Column]]:
+    """Levels of columns for rank correlation indices (time order against price order, -100 .. 100).
+
+    With v the prices of a frame of n rows, rank_i = (n+1)/2 + sum_j sign(v_i - v_j) / 2,
+    so sum(pos * rank) only needs D = sum over pairs of sign(v_i - v_j) (i - j), and equal
+    prices lower sum(rank^2) by sum(g^3 - g) / 12 over runs of g equal prices. Both
+    change by integers when a row enters or leaves the frame: the entering row meets
+    the n-1 rows before it, the leaving one the n-1 rows after it. Running sums of
+    these steps give every frame exactly, without collecting or sorting frames.
     """
-    points, rn = col(points), col(rn)
-    shift = rn.cast("double") - F.lit(float(n))
-
-    def closed(s):
-        rank = s["start"] + (s["size"] + F.lit(1.0)) / F.lit(2.0)
-        return s["acc"] + s["size"] * rank * rank - F.lit(2.0) * rank * s["pos"]
-
-    def step(s, e):
-        pos = e["p"] - shift
-        grow = F.struct(s["v"].alias("v"), s["start"].alias("start"), (s["size"] + F.lit(1.0)).alias("size"),
-                        (s["pos"] + pos).alias("pos"), s["acc"].alias("acc"))
-        fresh = F.struct(e["v"].alias("v"), (s["start"] + s["size"]).alias("start"), F.lit(1.0).alias("size"),
-                         pos.alias("pos"), closed(s).alias("acc"))
-        return F.when(e["v"] == s["v"], grow).otherwise(fresh)
-
-    empty = F.struct(F.lit(float("-inf")).alias("v"), *[F.lit(0.0).alias(c) for c in ("start", "size", "pos", "acc")])
-    with_ties = F.lit(n * (n + 1) * (2 * n + 1) / 6.0) + F.aggregate(points, empty, step, closed)
-
-    def gap(p, i):
-        d = p - shift - i - F.lit(1)
-        return d * d
-
-    plain = F.aggregate(F.transform(points["p"], gap), F.lit(0.0), lambda a, d: a + d)
-    d2 = F.when(F.size(F.array_distinct(points["v"])) == n, plain).otherwise(with_ties)
-    return F.when(points.isNotNull(), (F.lit(1.0) - F.lit(6.0) * d2 / F.lit(float(n * (n * n - 1)))) * F.lit(100.0))
+    w = w or series()
+    v, cuts = F.col(x), sorted(set(periods.values()))
+    reach = range(1, cuts[-1])
+    zero = F.lit(0).cast("long")
+    shifts = {f"_b{k}": F.lag(x, k).over(w) for k in reach} | {f"_f{k}": F.lead(x, k).over(w) for k in reach}
+
+    def total(terms):
+        out = zero
+        for t in terms:
+            out = out + t
+        return out
+
+    def sign(a, b):
+        return F.coalesce(F.signum(a - b).cast("long"), zero)
+
+    def same(a, b):
+        return F.when(a == b, F.lit(1).cast("long")).otherwise(zero)
+
+    steps, lo = {}, 1
+    for n in cuts:   # each period extends the sums of the shorter one
+        ks = range(lo, n)
+        steps |= {f"_in{n}": total(sign(v, F.col(f"_b{k}")) * k for k in ks), f"_out{n}": total(sign(F.col(f"_f{k}"), v) * k for k in ks),
+                  f"_gin{n}": total(same(v, F.col(f"_b{k}")) for k in ks), f"_gout{n}": total(same(v, F.col(f"_f{k}")) for k in ks)}
+        lo = n
+    upto = w.rowsBetween(FIRST, 0)
+
+    def reached(tag, n):
+        return total(F.col(f"_{tag}{m}") for m in cuts if m <= n)
+
+    def ties(g):
+        return F.lit(3) * g * (g + F.lit(1))
+
+    running = {"_known": F.count(x).over(upto)}
+    for n in cuts:
+        running |= {f"_ci{n}": F.sum(reached("in", n)).over(upto), f"_co{n}": F.sum(reached("out", n)).over(upto),
+                    f"_ti{n}": F.sum(ties(reached("gin", n))).over(upto), f"_to{n}": F.sum(ties(reached("gout", n))).over(upto)}
+    past = {f"_{c}{n}_past": F.lag(f"_{c}{n}", n, 0).over(w) for n in cuts for c in ("co", "to")}
+    past |= {f"_known{n}_past": F.lag("_known", n, 0).over(w) for n in cuts}
+    final = {}
+    for name, n in periods.items():
+        pairs = F.col(f"_ci{n}") - F.col(f"_co{n}_past")
+        tied = F.col(f"_ti{n}") - F.col(f"_to{n}_past")
+        d2 = F.lit(n * (n * n - 1) / 6.0) - tied / F.lit(12.0) - pairs
+        value = (F.lit(1.0) - F.lit(6.0) * d2 / F.lit(float(n * (n * n - 1)))) * F.lit(100.0)
+        final[name] = F.when(F.col("_known") - F.col(f"_known{n}_past") >= n, value)
+    return [shifts, steps, running, past, final]
+
+
+def with_rci(df: DataFrame, x: str, periods: dict[str, int], w: WindowSpec | None = None) -> DataFrame:
+    """Add one rank correlation index per (name, frame length)."""
+    levels = rci_levels(x, periods, w)
+    for level in levels:
+        df = df.withColumns(level)
+    return df.drop(*[c for level in levels[:-1] for c in level])

@@ -137,11 +137,12 @@ def momentum(fs: FeatureSet) -> None:
     fs.put(1, "Large_Move_Count", R.roll(F.sum, flag(F.abs(r) > 0.03).cast("double"), 20))
     fs.put(1, "Range_Ratio_Long", div(fs.put(0, "_rng5", R.roll(F.avg, span, 5)), fs.put(0, "_rng20", R.roll(F.avg, span, 20))))
     fs.put(1, "Max_Gain_5", div(fs.roll(0, "max", "high", 5), close) - 1)
-    for n in (9, 26, 52):
-        fs.put(1, f"_pts{n}", R.rci_points("close", "_rn", n))
-        fs.put(2, f"RCI_{n}", R.rci_value(f"_pts{n}", "_rn", n))
+    levels = R.rci_levels("close", {f"RCI_{n}": n for n in (9, 26, 52)})
+    for i, level in enumerate(levels):
+        for name, column in level.items():
+            fs.put(i, name, column)
     for n in (9, 26):
-        fs.put(3, f"RCI_{n}_Diff", R.diff(f"RCI_{n}"))
+        fs.put(len(levels), f"RCI_{n}_Diff", R.diff(f"RCI_{n}"))
     mid25, sd25 = fs.roll(0, "avg", "close", 25), fs.roll(0, "std0", "close", 25)
     fs.put(1, "BB_Upper_Ratio", div(mid25 + sd25 * 2, mid25) - 1)
     fs.put(0, "momentum_12_1", div(R.lag("close", 20), R.lag("close", 260)) - 1)

@@ -28,14 +28,20 @@ def test_streak(spark):
 def test_rci_with_ties_matches_average_ranks(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(0, 5, 60).astype(float)
-    df = series_df(spark, v).withColumn("rn", R.row_no()).withColumn("p", R.rci_points("x", "rn", 9))
-    got = values(df.withColumn("y", R.rci_value("p", "rn", 9)), "y")
+    got = values(R.with_rci(series_df(spark, v), "x", {"y": 9, "z": 4}), "y")
     t = np.arange(1, 10)
     want = pd.Series(v).rolling(9).apply(lambda w: (1 - 6 * np.sum((t - pd.Series(w).rank().values) ** 2) / (9 * 80)) * 100, raw=True)
     assert np.allclose(np.array(got[8:], float), want[8:])
     assert got[:8] == [None] * 8
 
 
+def test_rci_null_in_frame(spark):
+    got = values(R.with_rci(series_df(spark, [1, 2, None, 4, 5, 6, 5]), "x", {"y": 3}), "y")
+    assert got[:5] == [None] * 5 and got[5] == pytest.approx(100.0)
+    # 5, 6, 5 -> ranks 1.5, 3, 1.5
+    assert got[6] == pytest.approx((1 - 6 * (0.25 + 1 + 2.25) / 24) * 100)
+
+
 def test_skew_kurtosis_bias_correction(spark):
     v = np.random.default_rng(2).normal(size=40)
     df = series_df(spark, v).withColumns({"s": R.roll_skew("x", 20), "k": R.roll_kurt("x", 20)})
