@@ -26,7 +26,8 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.driver.memory", "16g").config("spark.sql.shuffle.partitions", cpus)
              .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from catalog import load
     qs = load()

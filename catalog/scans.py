@@ -287,7 +287,7 @@ def _(spark, d):
     return px(spark, d).table("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(30)
 
 
-@query("set_complement", "O-6", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("set_complement", "O-6", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def _(spark, d):
     p = px(spark, d)
-    return p.table("customer").join(p.table("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return p.table("customer").join(p.table("orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")

@@ -315,6 +315,16 @@ def _(spark, d):
     return S.rounded(A.high_corr_pairs(b, ["open", "high", "low", "close", "volume", "volume_p"], ["scode", "date"], 0.7, sample=None))
 
 
+def _wide_emb(spark, d):
+    e = px(spark, d).table("embeddings")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"g{i}") for i in range(24)])
+
+
+@query("high_corr_pairs_wide", "K-1", "WITH w AS (SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS g{i}" for i in range(24)) + " FROM embeddings), ps AS (" + corr_sql("w", [f"g{i}" for i in range(24)]) + f") SELECT Feature_A, Feature_B, {q.r('Correlation')} AS Correlation FROM ps WHERE Correlation >= 0.08")
+def _(spark, d):
+    return S.rounded(A.high_corr_pairs(_wide_emb(spark, d), [f"g{i}" for i in range(24)], ["vec_id"], 0.08, sample=None))
+
+
 @query("high_corr_pairs_with_nulls", "K-1", "WITH " + EMB + ", ps AS (" + corr_sql("emb", FS[:5]) + f") SELECT Feature_A, Feature_B, {q.r('Correlation')} AS Correlation FROM ps WHERE Correlation >= 0.02")
 def _(spark, d):
     return S.rounded(A.high_corr_pairs(emb(spark, d), FS[:5], ["vec_id"], 0.02, sample=None))

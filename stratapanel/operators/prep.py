@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.scalars import div, finite
-from .ranking import order_statistics
+from .ranking import order_statistics, rank_table
 
 
 def prep_tree(df: DataFrame, features: list[str], categorical: list[str] = (), keep: list[str] = ()) -> DataFrame:
@@ -44,7 +44,7 @@ def impute_median(df: DataFrame, medians: DataFrame, columns: list[str]) -> Data
 def fit_labels(df: DataFrame, column: str, missing: str = "MISSING") -> DataFrame:
     """(label, code): position of each distinct text in sorted order, null counted as its own text."""
     labels = df.select(F.coalesce(F.col(column).cast("string"), F.lit(missing)).alias("label")).distinct()
-    return labels.withColumn("code", F.row_number().over(Window.orderBy("label")) - 1)
+    return rank_table(labels, "label", []).select("label", F.col("below").cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, labels: DataFrame, column: str, missing: str = "MISSING") -> DataFrame:

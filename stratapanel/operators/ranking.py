@@ -64,7 +64,8 @@ def rank_table(df: DataFrame, value: str, by: list[str], spacing: int = SPACING,
         counts = counts.withColumn("_all", F.lit(0))
     is_knot = F.pmod(F.xxhash64(F.col(value), F.lit(17)), F.lit(spacing)) == 0
     knots = counts.where(is_knot).groupBy(*grp).agg(F.sort_array(F.collect_list(value)).alias("_knots"))
-    cut = join_back(counts, knots, grp).withColumn("_b", bucket_of(F.col(value), F.col("_knots"))).drop("_knots")
+    # about one splitter per ``spacing`` distinct values: 1e11 values give a few MB
+    cut = join_back(counts, F.broadcast(knots), grp).withColumn("_b", bucket_of(F.col(value), F.col("_knots"))).drop("_knots")
     buckets = cut.groupBy(*grp, "_b").agg(F.sum("ties").alias("_t"))
     wg = Window.partitionBy(*grp)
     offsets = buckets.select(
@@ -115,11 +116,17 @@ def order_statistics(df: DataFrame, value: str, by: list[str], probs: list[float
     neighbours are found through cumulative counts, so no group is collected.
     """
     t = rank_table(df, value, by, spacing)
-    wanted = F.posexplode(F.array(*[F.lit(float(p)) for p in probs]))
-    spots = t.select(*by, value, "ties", "below", "n", wanted.alias("i", "p"))
-    pos = F.col("p") * (F.col("n") - F.lit(1))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    below, ties, n = F.col("below"), F.col("ties"), F.col("n")
+
+    def touched(s):   # only runs of ties that hold a neighbour of the quantile go on
+        pos = s["p"] * (n - F.lit(1))
+        return (F.floor(pos) < below + ties) & (F.least(F.floor(pos) + F.lit(1), n - F.lit(1)) >= below)
+
+    spots = t.select(*by, value, "ties", "below", "n", F.inline(F.filter(wanted, touched)))
+    pos = F.col("p") * (n - F.lit(1))
     lo = F.floor(pos)
-    hi = F.least(lo + F.lit(1), F.col("n") - F.lit(1))
+    hi = F.least(lo + F.lit(1), n - F.lit(1))
 
     def at(k):   # value at 0-based position k, if it lies in this run of ties
         return F.max(F.when((k >= F.col("below")) & (k < F.col("below") + F.col("ties")), F.col(value)))
