@@ -13,6 +13,7 @@ from stratapanel.operators import models as M
 from stratapanel.operators import ranking as K
 from stratapanel.operators import splits as T
 from stratapanel.operators.crosssection import sector_z
+from stratapanel.operators.groups import fits_window
 from stratapanel.operators.universe import Thresholds
 from stratapanel.plans import master as MP
 from stratapanel.plans import panel as P
@@ -21,9 +22,10 @@ from stratapanel.sources import sinks, tables
 from stratapanel.sources.proxy import Proxy
 
 from . import sql as q
-from .crosssection import LIMITS
+from .crosssection import LIMITS, UNI_CTES
 from .features import R0
 from .registry import query
+from .scans import flow_sql
 from .training import FS, axis, emb
 from .windows import z_sql
 
@@ -44,8 +46,9 @@ def _(spark, d):
     df = p.bars().join(P.small(p.symbols()), "scode", "left")
     df = df.withColumns({"Log_Return": F.ln(S.div("close", R.lag("close"))), "Dist_SMA25": S.div("close", R.roll(F.avg, "close", 25)) - 1})
     df = df.withColumn("hist_vol_20", R.roll(F.stddev_samp, "Log_Return", 20))
-    df = sector_z(df, ["Dist_SMA25"])
-    df = K.average_ranks(df, ["Dist_SMA25"], ["date"]).withColumn("pct_rank", K.pct_rank("Dist_SMA25"))
+    windowed = fits_window(df, ["date"])   # one check: sector groups are parts of a day
+    df = sector_z(df, ["Dist_SMA25"], windowed=windowed)
+    df = K.average_ranks(df, ["Dist_SMA25"], ["date"], windowed=windowed).withColumn("pct_rank", K.pct_rank("Dist_SMA25"))
     w = Window.partitionBy("date").orderBy(F.desc("Dist_SMA25"), "scode")
     best = df.where(F.col("Dist_SMA25").isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn <= 5")
     return S.rounded(best.select("date", "scode", "sector33_code", "Log_Return", "Dist_SMA25", "hist_vol_20", "Dist_SMA25_sector_z", "pct_rank"))
@@ -61,13 +64,56 @@ def _(spark, d):
     return P.time_series_panel(P.proxy_inputs(px(spark, d)), thresholds=LIMITS)
 
 
-@query("master_panel", "S-14 C-9 X-1 X-8 X-9 X-11 U-8 U-9")
+_INVESTOR_DAYS = flow_sql("1995-06-01", "@").replace("DATE '@'", "(SELECT max(PubDate) FROM investors)")
+_ND = f"OVER ({q.W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+PANEL_CTES = q.with_(q.BARS, q.SYMBOLS, q.TOPIX, q.N225, q.INVESTORS, _INVESTOR_DAYS, q.SECTOR_RETURN, q.SHORTS, q.FIN, q.MARGIN) + f""",
+ j0 AS (SELECT b.*, sector33_code, Market_Return, market_vol_change, Market_Foreign_Z_60, sector_return FROM bars b LEFT JOIN symbols USING (scode) LEFT JOIN topix USING (date)
+  LEFT JOIN n225 USING (date) LEFT JOIN flows USING (date) LEFT JOIN sector_return USING (date, sector33_code)),
+ j1 AS (SELECT j0.*, selling_volume_ratio FROM j0 ASOF LEFT JOIN shorts s ON j0.sector33_code = s.sector33_code AND j0.date >= s.date),
+ j2 AS (SELECT j1.*, f.published_date, f.eps, f.shares_outstanding FROM j1 ASOF LEFT JOIN fin f ON j1.scode = f.scode AND j1.date >= f.published_date),
+ j3 AS MATERIALIZED (SELECT j2.*, m.l, m.s FROM j2 ASOF LEFT JOIN (SELECT scode, date + 4 AS a, long_margin_trade_balance_share AS l, short_margin_trade_balance_share AS s FROM margin) m
+  ON j2.scode = m.scode AND j2.date >= m.a),
+ j4 AS MATERIALIZED (SELECT *, {q.pct('close')} AS ret1, {q.pct('close', 20)} AS Return_20d, close / {q.roll('avg', 'close', 25)} - 1 AS Dist_SMA25, {q.roll('avg', 'close', 75)} AS m75,
+  {q.lag('close', 20)} / {q.lag('close', 260)} - 1 AS momentum_12_1, {q.ahead('max', 'high', 60)} AS Future_High_Str, ln((l + 1) / (s + 1)) AS margin_ratio, {q.ffill('eps')} AS EPS_Actual,
+  ln(close * shares_outstanding) AS log_market_cap, {q.div(q.lead('close', 5), q.lead('open'))} - 1 AS r5, {q.div(q.lead('close', 60), q.lead('open'))} - 1 AS r60 FROM j3),
+ j5 AS (SELECT *, CASE WHEN count(ret1 + Market_Return) {_ND} >= 60 AND count(Market_Return) {_ND} >= 60 THEN covar_samp(ret1, Market_Return) {_ND} / nullif(var_samp(Market_Return) {_ND}, 0) END AS Beta_60 FROM j4),
+ ts AS MATERIALIZED (SELECT * FROM j5 WHERE momentum_12_1 IS NOT NULL AND m75 IS NOT NULL AND Future_High_Str IS NOT NULL)"""
+PANEL_COLS = {"Dist_SMA25": 6, "momentum_12_1": 6, "Future_High_Str": 6, "Beta_60": 6, "margin_ratio": 6, "EPS_Actual": 9, "market_vol_change": 6,
+              "Market_Foreign_Z_60": 6, "sector_return": 6, "selling_volume_ratio": 6, "log_market_cap": 6}
+
+
+@query("time_series_panel_values", "S-13 J-1 J-2 J-3 J-5 C-3 C-5", PANEL_CTES + " SELECT scode, date, sector33_code, published_date, " + ", ".join(f"{q.r(c, n)} AS {c}" for c, n in PANEL_COLS.items()) + " FROM ts")
 def _(spark, d):
+    # the whole panel plan, reported on a few columns of every source
+    df = P.time_series_panel(P.proxy_inputs(px(spark, d)), thresholds=LIMITS)
+    return S.rounded(df.select("scode", "date", "sector33_code", "published_date", *PANEL_COLS), PANEL_COLS)
+
+
+def _staged_master(spark, d):
     # stage boundary: the time-series panel is written once, the cross-section reads it
     out = os.path.join(tempfile.mkdtemp(prefix="panel-", dir=_folder(spark)), "ts")
     sinks.write_panel(P.time_series_panel(P.proxy_inputs(px(spark, d)), thresholds=LIMITS), out)
-    ts = spark.read.parquet(out).drop("quarter")
-    return MP.master_panel(ts, LIMITS, _broad())
+    return MP.master_panel(spark.read.parquet(out).drop("quarter"), LIMITS, _broad())
+
+
+MASTER_CTES = PANEL_CTES + ", " + UNI_CTES.replace("FROM u0)", "FROM (SELECT u0.* FROM u0 JOIN ts USING (scode, date)))") + f""",
+ k0 AS (SELECT *, CASE WHEN volume_p >= 30000 AND close >= 500 THEN Return_20d END AS mr FROM ts), k1 AS (SELECT *, {q.pctrank('mr', 'date')} AS pr FROM k0),
+ k2 AS (SELECT *, {q.clip('pr', 1e-6, 1 - 1e-6)} AS pc FROM k1), k3 AS MATERIALIZED (SELECT *, {q.probit('pc')} AS g FROM k2)"""
+
+
+@query("master_panel_values", "S-14 C-9 C-10 X-9 X-11 G-13 G-18 U-8 U-9", MASTER_CTES + f""" SELECT scode, date, is_candidate_tac, is_candidate_str,
+ {q.r('coalesce(k3.log_market_cap, median(k3.log_market_cap) OVER (PARTITION BY date, sector33_code))')} AS log_market_cap, {q.r(q.pctrank('r5', 'date'))} AS target_tac_rank,
+ {q.r('r60 - avg(r60) OVER (PARTITION BY date, sector33_code)')} AS target_str_peer_alpha, {q.r(f"coalesce({q.ffill('g')}, 0)::FLOAT", 4)} AS Return_20d,
+ {q.r('Future_High_Str / entry')} AS Future_High_Str FROM k3 JOIN uni USING (scode, date) JOIN (SELECT scode, date, {q.lead('open')} AS entry FROM bars) e USING (scode, date)""")
+def _(spark, d):
+    df = _staged_master(spark, d)
+    return S.rounded(df.select("scode", "date", "is_candidate_tac", "is_candidate_str", "log_market_cap", "target_tac_rank",
+                               "target_str_peer_alpha", "Return_20d", "Future_High_Str"), {"Return_20d": 4})
+
+
+@query("master_panel", "S-14 C-9 X-1 X-8 X-9 X-11 U-8 U-9")
+def _(spark, d):
+    return _staged_master(spark, d)
 
 
 def _folder(spark):

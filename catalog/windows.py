@@ -7,7 +7,6 @@ from stratapanel.functions import rolling as R
 from stratapanel.functions import recursion as rec
 from stratapanel.functions import scalars as S
 from stratapanel.operators import ranking as K
-from stratapanel.operators.groups import fits_window, with_group_aggs
 from stratapanel.operators.crosssection import sector_z
 from stratapanel.sources.proxy import Proxy
 
@@ -61,7 +60,7 @@ simple("rolling_std_population", "W-7", {
 simple("rolling_beta", "W-8", {
     "beta60": (lambda: R.roll_beta("r", "rv", 60),
                f"CASE WHEN {q.over('count', 'r + rv', 60)} >= 60 THEN "
-               f"{q.W and 'covar_samp(r, rv)'} OVER ({q.W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) / nullif({q.over('var_samp', 'rv', 60)}, 0) END")},
+               f"covar_samp(r, rv) OVER ({q.W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) / nullif({q.over('var_samp', 'rv', 60)}, 0) END")},
     stage=[LOGRET, {"rv": (lambda: R.pct_change("volume"), q.pct("volume"))}])
 simple("rolling_skew_kurtosis", "W-9", {
     "skew20": (lambda: R.roll_skew("r", 20), q.roll("skewness", "r", 20)),
