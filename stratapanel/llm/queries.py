@@ -12,6 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold
+    from .language_id import identify
+    return identify(table(spark, sf_dir, "documents"), fold(4) != 2, fold(4) == 2)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold
+    from .quality import classify
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3) != 1, fold(3) == 1)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import judge
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
