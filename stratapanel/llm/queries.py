@@ -49,6 +49,12 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold
+    from .lm_score import score
+    return score(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 def op9_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
     from .ann import search
