@@ -256,3 +256,14 @@ def join(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFra
     label = components(links.union(more)) if more.limit(1).count() else label
     out = members.join(nodes, "digest", "left").join(label, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the smallest id of their component; of rows that repeat an id
+    and a text one stays. Rows without an id stay."""
+    found = staged(join(docs, **params).select("doc_id", "component_id"), "components")
+    gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    again = staged(found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "again")
+    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    once = left.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    return once.union(left.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import flushed, staged, task, texts
 
-RANDOM, SEED, BINS, GROUPS = 320, 20_011, 2000, 16
+KINDS, RANDOM, SEED, BINS, GROUPS = 24, 320, 20_011, 2000, 16
 STATS = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float32()))])
 SUMS = pa.schema([("g", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("raw", pa.float64())])
@@ -32,7 +32,7 @@ def statistics(text: bytes) -> list[float]:
     """Statistics of a whole text; all are 0 for an empty one."""
     n = len(text)
     if not n:
-        return [0.0] * 24
+        return [0.0] * KINDS
     h = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     words, lines = text.lower().split(), text.split(b"\n")
     w = len(words)
@@ -112,41 +112,66 @@ def bins(raw: np.ndarray) -> np.ndarray:
     return np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1)
 
 
-def scored(batches, mean, spread, width, beta, steps):
+def scores(x: np.ndarray, mean, spread, width, beta, steps) -> tuple[np.ndarray, np.ndarray]:
+    """(score, raw score) of rows of statistics; ``steps`` is the calibration, or the share of good labels without a model."""
+    if beta is None or not len(x):
+        return np.full(len(x), steps if beta is None else 0.0), np.zeros(len(x))
+    raw = projected(x, mean, spread, width) @ np.array(beta)
+    return np.clip(np.interp(bins(raw), *steps) if steps else raw, 0, 1), raw
+
+
+def scored(batches, **params):
     for b in batches:
-        raw = projected(matrix(b.column("x")), mean, spread, width) @ np.array(beta) if b.num_rows else np.zeros(0)
-        score = np.clip(np.interp(bins(raw), *steps), 0, 1) if steps else np.clip(raw, 0, 1)
+        score, raw = scores(matrix(b.column("x")) if b.num_rows else np.zeros((0, KINDS)), **params)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64()), pa.array(raw, pa.float64())], schema=OUT)
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: Column, held_out: Column, width: float = 0.7, ridge: float = 1e-4) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of ``docs``. Learns from rows of ``labels`` (doc_id, quality) where
-    ``train`` holds on doc_id."""
-    stats = staged(docs.select("doc_id", "text").mapInArrow(task("quality", "measured"), "doc_id long, x array<float>"), "stats")
+def fit(stats: DataFrame, labels: DataFrame, train: Column, width: float, ridge: float) -> dict:
+    """What ``scored`` needs: from a table of statistics and labels (doc_id, quality) where ``train`` holds."""
     known = staged(stats.join(labels.where(train & F.col("quality").isin(0, 1)).select("doc_id", "quality"), "doc_id"), "labelled")
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0
-    fit = known.where(~part)
-    d = 24
-    x = [F.col("x")[i].cast("double") for i in range(d)]
-    sums = fit.agg(F.count("*"), F.sum("quality"), *[F.sum(c) for c in x], *[F.sum(c * c) for c in x]).first()
+    rows = known.where(~part)
+    x = [F.col("x")[i].cast("double") for i in range(KINDS)]
+    sums = rows.agg(F.count("*"), F.sum("quality"), *[F.sum(c) for c in x], *[F.sum(c * c) for c in x]).first()
     n, good = sums[0] or 0, sums[1] or 0
     if not n or not good or good == n:
-        share = float(good / n) if n else 1.0
-        out = stats.select("doc_id", F.lit(share).alias("score"))
-    else:
-        mean = [sums[2 + i] / n for i in range(d)]
-        spread = [math.sqrt(max(0.0, sums[2 + d + i] / n - m * m)) or 1.0 for i, m in enumerate(mean)]
-        params = {"mean": mean, "spread": spread, "width": width}
-        each = fit.select("x", "quality").mapInArrow(task("quality", "normal", **params), "g int, n long, sums binary")
-        few = each.repartition(GROUPS, "g").mapInArrow(task("quality", "added"), "g int, n long, sums binary").collect()  # at most GROUPS
-        size = RANDOM + d + 1
-        a = sum(np.frombuffer(r["sums"]) for r in sorted(few, key=lambda r: r["g"])).reshape(size + 1, size + 1)
-        beta = np.linalg.solve(a[:-1, :-1] + ridge * n * np.eye(size), a[:-1, -1]).tolist()
-        raw = known.where(part).select("doc_id", "x", "quality")
-        raw = (raw.withColumn("doc_id", F.col("quality").cast("long"))  # the label in the place of the id
-               .select("doc_id", "x").mapInArrow(task("quality", "scored", beta=beta, steps=None, **params), "doc_id long, score double, raw double"))
-        bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("raw") + 0.5) / 2 * BINS)))
-        counts = raw.groupBy(bin_.alias("k")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("good")).collect()  # at most BINS
-        steps = isotonic([(r["k"], r["n"], r["good"]) for r in counts]) if counts else None
-        out = stats.mapInArrow(task("quality", "scored", beta=beta, steps=steps, **params), "doc_id long, score double, raw double")
+        return {"mean": [0.0] * KINDS, "spread": [1.0] * KINDS, "width": width, "beta": None, "steps": float(good / n) if n else 1.0}
+    mean = [sums[2 + i] / n for i in range(KINDS)]
+    spread = [math.sqrt(max(0.0, sums[2 + KINDS + i] / n - m * m)) or 1.0 for i, m in enumerate(mean)]
+    params = {"mean": mean, "spread": spread, "width": width}
+    each = rows.select("x", "quality").mapInArrow(task("quality", "normal", **params), "g int, n long, sums binary")
+    few = each.repartition(GROUPS, "g").mapInArrow(task("quality", "added"), "g int, n long, sums binary").collect()  # at most GROUPS
+    size = RANDOM + KINDS + 1
+    a = sum(np.frombuffer(r["sums"]) for r in sorted(few, key=lambda r: r["g"])).reshape(size + 1, size + 1)
+    params["beta"] = np.linalg.solve(a[:-1, :-1] + ridge * n * np.eye(size), a[:-1, -1]).tolist()
+    # the label stands in the place of the id
+    raw = known.where(part).select(F.col("quality").cast("long").alias("doc_id"), "x").mapInArrow(
+        task("quality", "scored", steps=None, **params), "doc_id long, score double, raw double")
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("raw") + 0.5) / 2 * BINS)))
+    counts = raw.groupBy(bin_.alias("k")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("good")).collect()  # at most BINS
+    return params | {"steps": isotonic([(r["k"], r["n"], r["good"]) for r in counts]) if counts else None}
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").mapInArrow(task("quality", "measured"), "doc_id long, x array<float>")
+
+
+def classify(docs: DataFrame, labels: DataFrame, train: Column, held_out: Column, width: float = 0.7, ridge: float = 1e-4) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row of ``docs``. Learns from rows of ``labels`` (doc_id, quality) where
+    ``train`` holds on doc_id."""
+    stats = staged(measure(docs), "stats")
+    out = stats.mapInArrow(task("quality", "scored", **fit(stats, labels, train, width, ridge)), "doc_id long, score double, raw double")
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def passed(batches, **params):
+    for b in batches:
+        if b.num_rows:
+            raw = np.array([statistics(t) for (t,) in texts(iter([b]))], np.float32)
+            yield b.filter(pa.array(scores(raw.astype(np.float64), **params)[0] >= 0.5))
+
+
+def keep(docs: DataFrame, labels: DataFrame, train: Column, width: float = 0.7, ridge: float = 1e-4) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least 0.5."""
+    model = fit(staged(measure(docs), "stats"), labels, train, width, ridge)
+    return docs.mapInArrow(task("quality", "passed", **model), docs.schema)

@@ -18,7 +18,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import flushed, staged, task, texts
 
@@ -87,10 +87,10 @@ def estimate(frames, share: float):
 MODEL = "grp string, start int, mean array<double>, inverse array<double>, logdet double"
 
 
-def distance():
+def distance(p: str = ""):
     d = range(len(NAMES))
-    diff = [F.col(x) - F.col("mean")[i] for i, x in enumerate(NAMES)]
-    return sum((F.col("inverse")[i * len(NAMES) + j] * diff[i] * diff[j] for i in d for j in d), F.lit(0.0))
+    diff = [F.col(p + x) - F.col(p + "mean")[i] for i, x in enumerate(NAMES)]
+    return sum((F.col(p + "inverse")[i * len(NAMES) + j] * diff[i] * diff[j] for i in d for j in d), F.lit(0.0))
 
 
 def moments(rows: DataFrame, kept: bool) -> DataFrame:
@@ -100,10 +100,9 @@ def moments(rows: DataFrame, kept: bool) -> DataFrame:
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """The counts of each row and whether it fails the base rule."""
-    table = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text").mapInArrow(
+    """The counts of each row."""
+    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text").mapInArrow(
         task("rules", "counted"), f"doc_id long, lang string, source string, {', '.join(c + ' long' for c in COUNTS)}, n_lines long")
-    return table.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
 def estimates(rows: DataFrame, share: float = 0.75, steps: int = 6) -> DataFrame:
@@ -131,21 +130,50 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 6) -> DataFrame
     return model.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("m")).select("grp", "m.*")
 
 
+def vectors(table: DataFrame, p: str = "") -> DataFrame:
+    """Adds the transformed statistics of the counts ``p``... and the name of the row's own group."""
+    rate = lambda a, b: F.col(p + a) / F.greatest(F.col(p + b), F.lit(1))
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("?"))
+    return table.withColumns({
+        p + "x0": F.log(F.greatest(F.col(p + "n_words"), F.lit(1))), p + "x1": F.log(F.greatest(rate("word_chars", "n_words"), F.lit(0.5))),
+        p + "x2": F.log1p(20 * rate("n_symbols", "n_words")), p + "x3": F.sqrt(rate("n_dup_lines", "n_lines")), p + "x4": F.sqrt(rate("n_repeat_words", "n_words")),
+        p + "base_failed": F.expr(f"{p}n_words < 50 or 100 * {p}n_repeat_words > 50 * {p}n_words"), p + "g": F.concat_ws("/", name("lang"), name("source"))})
+
+
+def models(table: DataFrame, share: float, least: int) -> DataFrame:
+    """(g, mean, inverse) of each group of ``table``: its own estimate or that of the groups it is taken together with; a
+    written table of one row a language and source, whose size Spark knows when it plans the join."""
+    rows = table.where("not base_failed").withColumn("lang_", F.substring_index("g", "/", 1))
+    own = rows.groupBy("g", "lang_").agg(F.count("*").alias("c0"))
+    pooled = own.where(F.col("c0") < least).groupBy("lang_").agg(F.sum("c0").alias("c1"))
+    groups = staged(own.join(pooled, "lang_", "left").select(
+        "g", "c0", F.when(F.col("c0") >= least, F.col("g")).when(F.col("c1") >= least, F.concat("lang_", F.lit("/*"))).otherwise("*").alias("grp")), "groups")
+    best = estimates(rows.join(groups, "g").select("grp", *NAMES), share)
+    sizes = groups.groupBy("grp").agg(F.sum("c0").alias("n")).where(F.col("n") >= least)
+    return staged(groups.join(best.join(sizes, "grp"), "grp").select("g", "mean", "inverse"), "models")
+
+
 def judge(docs: DataFrame, cutoff: float = 60.0, share: float = 0.75, least: int = 60) -> DataFrame:
     """(doc_id, counts, base_failed, kept, distance) of each row of ``docs``."""
-    rate = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    table = staged(base(docs).select("*", F.log("n_words").alias("x0"), F.log(rate("word_chars", "n_words")).alias("x1"),
-                                     F.log1p(20 * rate("n_symbols", "n_words")).alias("x2"), F.sqrt(rate("n_dup_lines", "n_lines")).alias("x3"),
-                                     F.sqrt(rate("n_repeat_words", "n_words")).alias("x4")), "counts")
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
-    table = table.withColumn("g0", F.concat_ws("/", name("lang"), name("source"))).withColumn("g1", F.concat_ws("/", name("lang"), F.lit("*")))
-    rows = table.where("not base_failed")
-    own = rows.groupBy("g0", "g1").agg(F.count("*").alias("c0"))
-    pooled = own.where(F.col("c0") < least).groupBy("g1").agg(F.sum("c0").alias("c1"))
-    groups = own.join(pooled, "g1", "left").select("g0", F.when(F.col("c0") >= least, F.col("g0")).when(F.col("c1") >= least, F.col("g1")).otherwise("*").alias("grp"))
-    table = table.join(groups, "g0", "left")
-    best = estimates(table.where("not base_failed").select("grp", *NAMES), share)
-    sizes = table.where("not base_failed").groupBy("grp").agg(F.count("*").alias("__n"))
-    best = best.join(sizes, "grp")
-    judged = table.join(best, "grp", "left").withColumn("distance", F.when(~F.col("base_failed") & (F.col("__n") >= least), distance()))
+    table = staged(vectors(base(docs)), "counts")
+    judged = table.join(models(table, share, least), "g", "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance")
+
+
+def beside(batches):
+    """Rows with all their columns and the counts behind them."""
+    for b in batches:
+        found = np.array([counts(t) for (t,) in texts(iter([b]))], np.int64).reshape(-1, len(COUNTS) + 1)
+        schema = b.schema
+        for c in [*COUNTS, "n_lines"]:
+            schema = schema.append(pa.field("__rules_" + c, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(found[:, k]) for k in range(found.shape[1]))], schema=schema)
+
+
+def keep(docs: DataFrame, cutoff: float = 60.0, share: float = 0.75, least: int = 60) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep."""
+    p = "__rules_"
+    model = models(staged(vectors(base(docs)), "counts"), share, least).select(F.col("g").alias(p + "g"), F.col("mean").alias(p + "mean"), F.col("inverse").alias(p + "inverse"))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(p + c, T.LongType()) for c in [*COUNTS, "n_lines"])])
+    rows = vectors(docs.mapInArrow(task("rules", "beside"), schema), p)
+    return rows.join(model, p + "g", "left").where(~F.col(p + "base_failed") & F.coalesce(distance(p) <= cutoff, F.lit(True))).select(*docs.columns)

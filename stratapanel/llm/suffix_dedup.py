@@ -263,3 +263,33 @@ def dedup_digest(docs: DataFrame, depth: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``."""
     cutting = with_spans(docs.select("doc_id", "text"), depth).select("doc_id", "text", F.col("__spans").alias("spans"))
     return cutting.mapInArrow(task("suffix_dedup", "digested"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def replaced(batches):
+    """Rows without the span column, with the text that is left and its length; the others stay as they are."""
+    for b in batches:
+        schema = pa.schema([f for f in b.schema if f.name != "spans"])
+        at = [b.schema.get_field_index(f.name) for f in schema]
+        spans = b.column(b.schema.get_field_index("spans"))
+        columns = {f.name: b.column(i) for f, i in zip(schema, at)}
+        if spans.null_count < len(spans):
+            text, sizes = [], []
+            was = columns["text"].to_pylist()
+            lengths = columns["n_chars"].to_pylist() if "n_chars" in columns else [None] * len(was)
+            for t, s, n in zip(was, spans.to_pylist(), lengths):
+                if s:
+                    t = cut(t.encode(), s)[0].decode("utf-8", "ignore")
+                    n = len(t)
+                text.append(t)
+                sizes.append(n)
+            columns["text"] = pa.array(text, schema.field("text").type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array(sizes, schema.field("n_chars").type)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), schema=schema)
+
+
+def cut_repeats(docs: DataFrame, depth: int = 200) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts lost their repeated bytes (and the rest of a character cut in
+    the middle); ``n_chars``, where there is one, follows."""
+    rows = with_spans(docs, depth).withColumnRenamed("__spans", "spans")
+    return rows.select(*docs.columns, "spans").mapInArrow(task("suffix_dedup", "replaced"), docs.schema)
