@@ -149,7 +149,8 @@ def fit(stats: DataFrame, labels: DataFrame, train: Column, width: float, ridge:
         task("quality", "scored", steps=None, **params), "doc_id long, score double, raw double")
     bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("raw") + 0.5) / 2 * BINS)))
     counts = raw.groupBy(bin_.alias("k")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("good")).collect()  # at most BINS
-    return params | {"steps": isotonic([(r["k"], r["n"], r["good"]) for r in counts]) if counts else None}
+    both = 0 < sum(r["good"] for r in counts) < sum(r["n"] for r in counts)  # else too few rows to calibrate: raw scores stand
+    return params | {"steps": isotonic([(r["k"], r["n"], r["good"]) for r in counts]) if both else None}
 
 
 def measure(docs: DataFrame) -> DataFrame:
