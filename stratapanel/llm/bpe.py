@@ -15,7 +15,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE = 400_000  # words kept by a worker; beyond it the cache starts anew, results do not depend on it
+CACHE = 300_000  # words kept by a worker; beyond it the cache starts anew, results do not depend on it
 LEAF = 512       # characters of a leaf of the tree
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import importlib
 import os
 import sys
@@ -41,6 +43,25 @@ def staged(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_last: list[str] = []
+
+
+def fresh(module: str) -> None:
+    """Workers are used again by later stages: what another operator's module has cached is given back first."""
+    if _last and _last[0] != module:
+        for name, m in list(sys.modules.items()):
+            if name.startswith("stratapanel.llm."):
+                for f in list(vars(m).values()):
+                    if hasattr(f, "cache_clear"):
+                        f.cache_clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass
+    _last[:] = [module]
+
+
 def task(module: str, function: str, **params) -> Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
     """A function for ``mapInArrow`` that finds its code by name, so caches of a module live as long as the worker."""
     root = ROOT
@@ -48,6 +69,7 @@ def task(module: str, function: str, **params) -> Callable[[Iterator[pa.RecordBa
     def run(batches):
         if root not in sys.path:
             sys.path.append(root)
+        importlib.import_module("stratapanel.llm.common").fresh(module)
         return getattr(importlib.import_module(f"stratapanel.llm.{module}"), function)(batches, **params)
 
     return run
