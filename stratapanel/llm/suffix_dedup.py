@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import staged, task
 from .induced import suffixes
 
-GRAM, FLUSH, SHARD = 16, 4 << 20, 12 << 20
+GRAM, FLUSH, SHARD = 16, 2 << 20, 3 << 20
 RUNS = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("len", pa.int64()), ("m", pa.int64()), ("inner", pa.int64())])
 RUNS_SQL = "key long, ctx long, did long, th long, start long, len long, m long, inner long"
 SPANS = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
