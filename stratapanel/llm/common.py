@@ -54,14 +54,19 @@ def fresh(module: str) -> None:
                 for f in list(vars(m).values()):
                     if hasattr(f, "cache_clear"):
                         f.cache_clear()
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:
-            pass
+        trim()
     _last[:] = [module]
 
 
+def trim() -> None:
+    """Gives memory that is free inside the worker back to the machine."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 def task(module: str, function: str, **params) -> Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
     """A function for ``mapInArrow`` that finds its code by name, so caches of a module live as long as the worker."""
     root = ROOT

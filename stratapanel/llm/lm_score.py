@@ -27,10 +27,10 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import staged, task, texts
+from .common import staged, task, texts, trim
 from .ngram_join import from_six, mixed, record, runs, six
 
-FLUSH, DOCS, HOT, MU, DISCOUNT, FLOOR = 1_000_000, 32_000, 256, 1000.0, 0.75, -12.0
+FLUSH, DOCS, HOT, ASKED, MU, DISCOUNT, FLOOR = 1_000_000, 32_000, 256, 400_000, 1000.0, 0.75, -12.0
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 ID = np.uint64((1 << 21) - 1)
 COUNTS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("ends", pa.int64())])
@@ -225,7 +225,9 @@ class Trie:
         self.file = tempfile.TemporaryFile()
         span = np.int64(1 << 21)
         pairs, pair_of, pair_n = np.unique(v * span + w, return_inverse=True, return_counts=True)
+        pair_of = pair_of.astype(np.int32)
         longer, longer_of, longer_n = np.unique(v * span + u, return_inverse=True, return_counts=True)
+        longer_of = longer_of.astype(np.int32)
         pv, pw = pairs // span, pairs % span
         total = np.bincount(v, minlength=words)
         kinds = np.bincount(pv, minlength=words)
@@ -235,6 +237,7 @@ class Trie:
         lv = longer // span
         offset = np.r_[0, np.cumsum(kinds[lv])]  # where the ranks below a longer context begin
         tri, tri_n = np.unique(offset[longer_of] + pair_of - begin[v], return_counts=True) if len(v) else (np.zeros(0, np.int64), np.zeros(0))
+        del pair_of, longer_of
         ctx = np.searchsorted(offset, tri, "right") - 1
         third = np.bincount(ctx, minlength=len(longer))
         back3 = DISCOUNT * third / np.maximum(longer_n, 1)
@@ -245,17 +248,26 @@ class Trie:
             self.codes = [quantised(np.log10(x)) for x in (p2, p3, back, back3)]
 
     def score(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, log_prior: np.ndarray) -> np.ndarray:
+        """Logs of the predictions (v, u, w), a block of questions at a time."""
+        levels = [x.decode() for x in (self.pairs, self.longer, self.tri, self.begin, self.offset)]
+        out = np.empty(len(v), np.float32)
+        for i in range(0, len(v), ASKED):
+            out[i:i + ASKED] = self.block(levels, *(x[i:i + ASKED] for x in (v, u, w)), log_prior)
+        return out
+
+    def block(self, levels, v, u, w, log_prior) -> np.ndarray:
         p2, p3, back, back3 = self.codes
+        pairs, longer, tri, begin, offset = levels
         span = np.int64(1 << 21)
-        at = position(self.pairs.decode(), v * span + w)
+        at = position(pairs, v * span + w)
         found = at >= 0
         out = opened(back[v]) + log_prior[w]
         out[found] = opened(p2[at[found]])
-        ctx = position(self.longer.decode(), v * span + u)
+        ctx = position(longer, v * span + u)
         has = ctx >= 0
         inner = np.flatnonzero(found & has)
-        rank = at[inner] - self.begin.decode()[v[inner]]
-        third = position(self.tri.decode(), self.offset.decode()[ctx[inner]] + rank)
+        rank = at[inner] - begin[v[inner]]
+        third = position(tri, offset[ctx[inner]] + rank)
         got = np.zeros(len(v), bool)
         got[inner[third >= 0]] = True
         out[has & ~got] += opened(back3[ctx[has & ~got]])
@@ -272,31 +284,37 @@ def summed(batches, prior: bytes, hot: bytes, hot_counts: bytes, starts: int):
     log1 = np.log10(p1)
     spread, spread_n = np.frombuffer(hot, np.uint64), np.frombuffer(hot_counts, np.int64)
     unpack = zstandard.ZstdDecompressor()
-    for bucket, rows in runs(batches, "bucket"):
-        docs = [r for r in rows if r["words"] is None]
+    for bucket, held in runs(batches, "bucket"):
+        docs = [r for r in held if r["words"] is None]
         if docs:
             yield record(EVENTS, **{f.name: [r[f.name] for r in docs] for f in EVENTS})
-        rows = [r for r in rows if r["words"] is not None]
+        rows = [r for r in held if r["words"] is not None]
+        held.clear()
         if not rows:
             continue
         word = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
         times = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
         event = np.concatenate([np.ascontiguousarray(np.frombuffer(unpack.decompress(r["body"]), np.uint8).reshape(8, -1).T).view("<u8").ravel() for r in rows])
         names, v = np.unique(word, return_inverse=True)
-        v = np.repeat(v, times)
-        u, w = (event >> np.uint64(37)).astype(np.int64), (event >> np.uint64(16) & ID).astype(np.int64)
-        train, doc = (event >> np.uint64(15) & np.uint64(1)).astype(bool), (event & np.uint64(0x7FFF)).astype(np.int64)
+        v = np.repeat(v.astype(np.int32), times)
+        u, w = (event >> np.uint64(37)).astype(np.int32), (event >> np.uint64(16) & ID).astype(np.int32)
+        train, doc = (event >> np.uint64(15) & np.uint64(1)).astype(bool), (event & np.uint64(0x7FFF)).astype(np.uint16)
+        n = [int(np.frombuffer(r["counts"], "<u4").sum()) for r in rows]
+        chunks = [r["chunk"] for r in rows]
+        rows.clear()
+        del event, word, times
         # words that are spread over buckets have their counts from the vocabulary; the others are whole here
         count = np.bincount(v[train], minlength=len(names)).astype(np.int64)
         far = np.isin(names, spread) | (names == START_HASH)
         if far.any():
             at = np.minimum(np.searchsorted(spread, names), max(0, len(spread) - 1))
             count[far] = np.where(names[far] == START_HASH, starts, spread_n[at[far]] if len(spread) else 0)
-        base = np.where(names[v] == START_HASH, 0.0, np.log10(count[v] + 1.0))
-        known = (count[v] > 0) & (names[v] != START_HASH)
-        score = np.zeros(len(v))
+        base = np.where(names == START_HASH, 0.0, np.log10(count + 1.0))
+        known = ((count > 0) & (names != START_HASH)).astype(np.float64)
+        score = np.zeros(len(v), np.float32)
         fit = np.flatnonzero(~far[v] & train)
-        trie = Trie(len(names), v[fit], u[fit], w[fit], p1)
+        trie = Trie(len(names), v[fit].astype(np.int64), u[fit], w[fit], p1)
+        del fit
         ask = np.flatnonzero(~far[v])
         score[ask] = trie.score(v[ask], u[ask], w[ask], log1)
         trie.close()
@@ -306,18 +324,19 @@ def summed(batches, prior: bytes, hot: bytes, hot_counts: bytes, starts: int):
             kinds, of = np.unique(key, return_inverse=True)
             c = np.bincount(of, train[wide].astype(np.float64), len(kinds))
             score[wide] = np.log10((c[of] + MU * p1[w[wide]]) / (count[v[wide]] + MU))
-        n = [int(np.frombuffer(r["counts"], "<u4").sum()) for r in rows]
         at, out = 0, []
-        for r, m in zip(rows, n):
-            d = doc[at:at + m]
+        for chunk, m in zip(chunks, n):
+            d, name = doc[at:at + m], v[at:at + m]
             ids, of = np.unique(d, return_inverse=True)
             # counted logs of whole numbers stay exact; the model's are quantised anyway
-            out.append((r["chunk"], ids.astype("<u2").tobytes(), np.bincount(of, known[at:at + m].astype(np.float64)).astype("<u4").tobytes(),
-                        np.bincount(of, base[at:at + m]).tobytes() + np.bincount(of, score[at:at + m]).astype("<f4").tobytes()))
+            out.append((chunk, ids.astype("<u2").tobytes(), np.bincount(of, known[name]).astype("<u4").tobytes(),
+                        np.bincount(of, base[name]).tobytes() + np.bincount(of, score[at:at + m]).astype("<f4").tobytes()))
             at += m
         for i in range(0, len(out), 64):
             chunk, ids, got, sums = zip(*out[i:i + 64])
             yield record(EVENTS, bucket=[bucket] * len(chunk), chunk=chunk, words=ids, counts=got, body=sums)
+        del v, u, w, train, doc, score, out
+        trim()
 
 
 def assembled(batches, tokens: int, kinds: int, ends: int):
