@@ -145,12 +145,12 @@ def doubled(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a short text of names by doubling, exact for ``depth`` symbols, and adjacent common prefixes."""
     n = len(names)
     rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    ranks, width = [rank], 1
+    ranks, width = [rank.astype(np.int32)], 1
     while width < depth and rank.max(initial=0) < n - 1:
         behind = np.zeros(n, np.int64)
         behind[:max(0, n - width)] = rank[width:] + 1
         rank = np.unique(rank * (n + 1) + behind, return_inverse=True)[1].astype(np.int64)
-        ranks.append(rank)
+        ranks.append(rank.astype(np.int32))
         width *= 2
     order = np.argsort(rank, kind="stable")
     lcp = np.zeros(n, np.int64)
@@ -251,15 +251,15 @@ def suffixes(text: np.ndarray, depth: int, wanted, memory: int = MEMORY, base: i
         found: list[np.ndarray] = []
         induce(text, up, present, seeds, None, depth, memory, lambda pos, _: found.append(pos[flag[pos]]))
         pieces = np.concatenate(found)[::-1]
-        ends = np.empty(len(text), np.int64)
-        ends[starred] = np.r_[starred[1:] + 1, len(text)]
-        a, b = pieces[:-1], pieces[1:]
-        la, lb = ends[a] - a, ends[b] - b
+        found.clear()
+        del flag, seeds
+        place = np.searchsorted(starred, pieces)
+        length = (np.r_[starred[1:] + 1, len(text)] - starred)[place]
         new = np.ones(len(pieces), bool)
-        new[1:] = (la != lb) | (common(text, a, b, np.zeros(len(a), np.int64), int(max(la.max(initial=0), lb.max(initial=0)))) < la)
-        name = np.empty(len(text), np.int64)
-        name[pieces] = np.cumsum(new) - 1
-        names = name[starred]
+        new[1:] = (length[1:] != length[:-1]) | (common(text, pieces[:-1], pieces[1:], np.zeros(len(pieces) - 1, np.int64), int(length.max(initial=0))) < length[:-1])
+        names = np.empty(len(starred), np.int64)
+        names[place] = np.cumsum(new) - 1
+        del place, length, pieces
         if new.all():
             order, same = np.argsort(names), np.zeros(len(names), np.int64)
         elif len(names) <= base:
@@ -276,6 +276,8 @@ def suffixes(text: np.ndarray, depth: int, wanted, memory: int = MEMORY, base: i
             ahead = np.r_[starred, len(text)]
             advance = ahead[np.minimum(i + same[1:], len(starred))] - starred[i]
             lcp[1:] = common(text, seeds[:-1], seeds[1:], advance, depth)
+            del i, j, ahead, advance
+        del order, same, names, new, starred
     else:
         seeds = starred
     induce(text, up, present, seeds, lcp, depth, memory, wanted)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged, task
+from .common import staged, task, trim
 from .induced import suffixes
 
 GRAM, FLUSH, SHARD = 16, 2 << 20, 3 << 20
@@ -178,6 +178,7 @@ def repeats(contexts: list[tuple[bytes, int, int]], depth: int, **limits) -> lis
         tail[0] = pos[-1]
 
     suffixes(text, depth, wanted, **limits)
+    trim()
     out = []
     for (c, n, m), a in zip(contexts, begin.tolist()):
         if m > 1:
