@@ -10,7 +10,9 @@ from stratapanel.operators import ranking as K
 from stratapanel.operators import targets as T
 from stratapanel.operators import universe as U
 from stratapanel.operators.asof import asof_join
+from stratapanel.plans.staging import staged_path
 from stratapanel.sources import loaders as L
+from stratapanel.sources import sinks
 from stratapanel.sources.proxy import Proxy
 
 from . import sql as q
@@ -110,7 +112,7 @@ def _(spark, d):
 
 @query("cross_sectional_targets_split_groups", "G-13 G-14 G-15 G-16 G-17 G-18", XS_SQL)
 def _(spark, d):
-    return _xs(spark, d, windowed=False, spacing=8)
+    return _xs(spark, d, spacing=8)
 
 
 # -- orthogonalised target -----------------------------------------------------------------
@@ -176,18 +178,18 @@ ZSET = {"ma_dev_25": f"close / {roll('avg', 'close', 25)} - 1", "Return_20d": pc
 Z_SQL = q.with_(q.BARS, q.SYMBOLS) + f", z0 AS MATERIALIZED (SELECT b.scode, date, sector33_code, {', '.join(f'{s} AS {n}' for n, s in ZSET.items())} FROM bars b LEFT JOIN symbols USING (scode)) SELECT scode, date, {q.r('Return_20d')} AS Return_20d, {', '.join(q.r(z_sql(n, 'date, sector33_code')) + f' AS {n}_sector_z' for n in ZSET)} FROM z0"
 
 
-def _zf(spark, d, windowed):
+def _zf(spark, d):
     p = Proxy(spark, d)
     df = p.bars().join(p.symbols(), "scode", "left")
     df = df.withColumns({"ma_dev_25": S.div("close", R.roll(F.avg, "close", 25)) - 1, "Return_20d": R.pct_change("close", 20),
                          "Return_6m": R.pct_change("close", 120), "high_52w_dist": S.div("close", R.roll(F.max, "close", 240)) - 1})
-    out = C.z_features(df.select("scode", "date", "sector33_code", *ZSET), windowed)
+    out = C.z_features(df.select("scode", "date", "sector33_code", *ZSET))
     return S.rounded(out.select("scode", "date", "Return_20d", *[f"{n}_sector_z" for n in ZSET]))
 
 
 @query("sector_z_features", "X-8", Z_SQL)
 def _(spark, d):
-    return _zf(spark, d, None)
+    return _zf(spark, d)
 
 
 MASK = "volume >= 20 AND close >= 1500"
@@ -198,20 +200,20 @@ GR_SQL = q.with_(q.BARS) + f""", g0 AS MATERIALIZED (SELECT scode, date, volume,
  SELECT scode, date, {q.r(f"coalesce({q.ffill('ga')}, 0)")} AS a, {q.r(f"coalesce({q.ffill('gb')}, 0)")} AS b FROM g4"""
 
 
-def _gr(spark, d, windowed, spacing=250_000):
+def _gr(spark, d, spacing=250_000):
     df = Proxy(spark, d).bars().withColumns({"a": R.pct_change("close", 20), "b": F.col("volume_p")})
     mask = S.is_true((F.col("volume") >= 20) & (F.col("close") >= 1500))
-    return S.rounded(C.gauss_rank_features(df, ["a", "b"], mask, windowed, spacing=spacing).select("scode", "date", "a", "b"))
+    return S.rounded(C.gauss_rank_features(df, ["a", "b"], mask, spacing=spacing).select("scode", "date", "a", "b"))
 
 
 @query("gauss_rank_features", "X-9 X-10 W-21", GR_SQL)
 def _(spark, d):
-    return _gr(spark, d, None)
+    return _gr(spark, d)
 
 
 @query("gauss_rank_features_split_groups", "X-9 W-21", GR_SQL)
 def _(spark, d):
-    return _gr(spark, d, False, 8)
+    return _gr(spark, d, 8)
 
 
 # -- universe -----------------------------------------------------------------------------
@@ -240,5 +242,6 @@ def _(spark, d):
 @query("buffered_universe_flags", "U-10", q.with_(q.BARS, UNI_CTES) + "SELECT scode, date, is_candidate_tac, is_candidate_str FROM uni WHERE date >= DATE '2000-01-01'")
 def _(spark, d):
     # the proxy trades about one day in five: the lookback covers 80 rows after two years
-    m = U.intrinsic_metrics(Proxy(spark, d).bars(), LIMITS)
-    return U.buffered_flags(m, "2000-01-01", lookback_days=1200, t=LIMITS).select("scode", "date", "is_candidate_tac", "is_candidate_str")
+    out = staged_path(spark, "bars") + "/bars"
+    sinks.write_panel(Proxy(spark, d).bars(), out)
+    return U.buffered_flags(spark.read.parquet(out), "2000-01-01", lookback_days=1200, t=LIMITS).select("scode", "date", "is_candidate_tac", "is_candidate_str")

@@ -1,8 +1,5 @@
 """End-to-end panels, sinks, models and the flagship query."""
 
-import os
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,11 +10,10 @@ from stratapanel.operators import models as M
 from stratapanel.operators import ranking as K
 from stratapanel.operators import splits as T
 from stratapanel.operators.crosssection import sector_z
-from stratapanel.operators.groups import fits_window
 from stratapanel.operators.universe import Thresholds
 from stratapanel.plans import master as MP
 from stratapanel.plans import panel as P
-from stratapanel.plans.staging import checkpointed, shared_folder
+from stratapanel.plans.staging import checkpointed, staged_path
 from stratapanel.sources import sinks, tables
 from stratapanel.sources.proxy import Proxy
 
@@ -43,12 +39,11 @@ LEAD_CTES, LEAD_LAST = q.chain("lb", [R0 | {"Dist_SMA25": f"close / {q.roll('avg
        "WHERE Dist_SMA25 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date ORDER BY Dist_SMA25 DESC, scode) <= 5")
 def _(spark, d):
     p = px(spark, d)
-    df = p.bars().join(P.small(p.symbols()), "scode", "left")
+    df = p.bars().join(p.symbols(), "scode", "left")
     df = df.withColumns({"Log_Return": F.ln(S.div("close", R.lag("close"))), "Dist_SMA25": S.div("close", R.roll(F.avg, "close", 25)) - 1})
     df = df.withColumn("hist_vol_20", R.roll(F.stddev_samp, "Log_Return", 20))
-    windowed = fits_window(df, ["date"])   # one check: sector groups are parts of a day
-    df = sector_z(df, ["Dist_SMA25"], windowed=windowed)
-    df = K.average_ranks(df, ["Dist_SMA25"], ["date"], windowed=windowed).withColumn("pct_rank", K.pct_rank("Dist_SMA25"))
+    df = sector_z(df, ["Dist_SMA25"])
+    df = K.average_ranks(df, ["Dist_SMA25"], ["date"]).withColumn("pct_rank", K.pct_rank("Dist_SMA25"))
     w = Window.partitionBy("date").orderBy(F.desc("Dist_SMA25"), "scode")
     best = df.where(F.col("Dist_SMA25").isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn <= 5")
     return S.rounded(best.select("date", "scode", "sector33_code", "Log_Return", "Dist_SMA25", "hist_vol_20", "Dist_SMA25_sector_z", "pct_rank"))
@@ -64,7 +59,7 @@ def _(spark, d):
     return P.time_series_panel(P.proxy_inputs(px(spark, d)), thresholds=LIMITS)
 
 
-_INVESTOR_DAYS = flow_sql("1995-06-01", "@").replace("DATE '@'", "(SELECT max(PubDate) FROM investors)")
+_INVESTOR_DAYS = flow_sql("1995-06-01", "@").replace("DATE '@'", "(SELECT max(date) FROM bars)")
 _ND = f"OVER ({q.W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
 PANEL_CTES = q.with_(q.BARS, q.SYMBOLS, q.TOPIX, q.N225, q.INVESTORS, _INVESTOR_DAYS, q.SECTOR_RETURN, q.SHORTS, q.FIN, q.MARGIN) + f""",
  j0 AS (SELECT b.*, sector33_code, Market_Return, market_vol_change, Market_Foreign_Z_60, sector_return FROM bars b LEFT JOIN symbols USING (scode) LEFT JOIN topix USING (date)
@@ -91,7 +86,7 @@ def _(spark, d):
 
 def _staged_master(spark, d):
     # stage boundary: the time-series panel is written once, the cross-section reads it
-    out = os.path.join(tempfile.mkdtemp(prefix="panel-", dir=_folder(spark)), "ts")
+    out = staged_path(spark, "panel") + "/ts"
     sinks.write_panel(P.time_series_panel(P.proxy_inputs(px(spark, d)), thresholds=LIMITS), out)
     return MP.master_panel(spark.read.parquet(out).drop("quarter"), LIMITS, _broad())
 
@@ -116,25 +111,17 @@ def _(spark, d):
     return _staged_master(spark, d)
 
 
-def _folder(spark):
-    root = shared_folder(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):].replace("//", "/", 1) if root.startswith("file://") else root[len("file:"):]
-    os.makedirs(root, exist_ok=True)
-    return root
-
-
 @query("quarter_dataset_roundtrip", "S-12 S-13", q.with_(q.BARS) + "SELECT year(date) || 'Q' || quarter(date) AS quarter, count(*) AS n, count(DISTINCT scode) AS stocks FROM bars GROUP BY 1")
 def _(spark, d):
-    out = os.path.join(tempfile.mkdtemp(prefix="sink-", dir=_folder(spark)), "bars")
+    out = staged_path(spark, "sink") + "/bars"
     sinks.write_panel(px(spark, d).bars().select("scode", "date", "close"), out)
-    return tables.dataset_reader(spark, os.path.dirname(out))("bars").groupBy("quarter").agg(
+    return tables.dataset_reader(spark, out.rpartition("/")[0])("bars").groupBy("quarter").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("scode").alias("stocks"))
 
 
 @query("csv_report_roundtrip", "S-15", "SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1")
 def _(spark, d):
-    out = os.path.join(tempfile.mkdtemp(prefix="sink-", dir=_folder(spark)), "report")
+    out = staged_path(spark, "sink") + "/report"
     g = px(spark, d).table("lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
     sinks.write_report(g, out)
     return spark.read.csv(out, header=True, schema="flag string, n bigint")

@@ -114,6 +114,17 @@ def _(spark, d):
     return S.rounded(f, {"overseas_flow_trend": 2, "flow_accel": 2})
 
 
+# the calendar goes on to the last bar, beyond the last publication
+LATE_SQL = flow_sql("1995-06-01", "@").replace("DATE '@'", "(SELECT max(date) FROM bars)")
+
+
+@query("flow_features_after_last_publication", "J-7 F-5 F-6 F-7 F-8", q.with_(q.BARS, q.INVESTORS, LATE_SQL) + f"SELECT date, {q.cols(FLOW_COLS)}, {q.r('overseas_flow_trend', 2)} AS overseas_flow_trend, {q.r('flow_accel', 2)} AS flow_accel FROM flows")
+def _(spark, d):
+    p = px(spark, d)
+    f = L.flow_features(L.investor_types(p.raw, "1900-01-01"), "1995-06-01", until=p.bars().select("date"))
+    return S.rounded(f, {"overseas_flow_trend": 2, "flow_accel": 2})
+
+
 def _fin_cols(names):
     return ", ".join(f"{q.r(c, 4)} AS {c}" for c in names)
 
@@ -174,28 +185,28 @@ def _(spark, d):
 
 @query("fill_sector_median", "C-10 A-10 X-11", q.with_(q.BARS, q.SYMBOLS) + f", x AS (SELECT b.scode, date, sector33_code, CASE WHEN (scode + day(date)) % 5 <> 0 THEN volume END AS v FROM bars b LEFT JOIN symbols USING (scode)) SELECT scode, date, {q.r('coalesce(v, median(v) OVER (PARTITION BY date, sector33_code))')} AS v FROM x")
 def _(spark, d):
-    return _median_fill(spark, d, None)
+    return _median_fill(spark, d)
 
 
 @query("fill_sector_median_split_groups", "C-10 A-10 X-11", q.with_(q.BARS, q.SYMBOLS) + f", x AS (SELECT b.scode, date, sector33_code, CASE WHEN (scode + day(date)) % 5 <> 0 THEN volume END AS v FROM bars b LEFT JOIN symbols USING (scode)) SELECT scode, date, {q.r('coalesce(v, median(v) OVER (PARTITION BY date, sector33_code))')} AS v FROM x")
 def _(spark, d):
-    return _median_fill(spark, d, False)
+    return _median_fill(spark, d)
 
 
-def _median_fill(spark, d, windowed):
+def _median_fill(spark, d):
     from stratapanel.operators.crosssection import fill_group_median
     p = px(spark, d)
     v = F.when((F.col("scode") + F.dayofmonth("date")) % 5 != 0, F.col("volume"))
     df = p.bars().join(p.symbols(), "scode", "left").select("scode", "date", "sector33_code", v.alias("v"))
-    return S.rounded(fill_group_median(df, ["v"], windowed=windowed).select("scode", "date", "v"))
+    return S.rounded(fill_group_median(df, ["v"]).select("scode", "date", "v"))
 
 
-@query("sample_stocks", "C-11 O-8")
+@query("sample_stocks", "C-11 O-8", q.with_(q.BARS) + "SELECT scode, date, volume FROM bars WHERE scode IN (SELECT scode FROM (SELECT DISTINCT scode FROM bars) ORDER BY md5(scode || '|42'), scode LIMIT 7)")
 def _(spark, d):
     return sampling.sample_keys(px(spark, d).bars(), "scode", 7, seed=42).select("scode", "date", "volume")
 
 
-@query("sample_rows", "C-12 O-8")
+@query("sample_rows", "C-12 O-8", q.with_(q.BARS) + "SELECT scode, date, volume FROM bars ORDER BY md5(scode || '|' || date::VARCHAR || '|42'), scode, date LIMIT 1000")
 def _(spark, d):
     return sampling.sample_rows(px(spark, d).bars(), ["scode", "date"], 1000, seed=42).select("scode", "date", "volume")
 
@@ -212,7 +223,7 @@ def _(spark, d):
 @query("join_sector_left", "J-1", q.with_(q.BARS, q.SYMBOLS) + "SELECT b.scode, date, volume, sector33_code FROM bars b LEFT JOIN (SELECT * FROM symbols WHERE scode % 7 <> 0) s USING (scode)")
 def _(spark, d):
     p = px(spark, d)
-    return p.bars().join(P.small(p.symbols().where("scode % 7 <> 0")), "scode", "left").select("scode", "date", "volume", "sector33_code")
+    return p.bars().join(p.symbols().where("scode % 7 <> 0"), "scode", "left").select("scode", "date", "volume", "sector33_code")
 
 
 @query("join_market_series", "J-2", q.with_(q.BARS, q.TOPIX, q.N225) + f"SELECT b.scode, b.date, {q.r('close_mkt')} AS close_mkt, {q.r('market_vol_change')} AS market_vol_change FROM bars b LEFT JOIN topix USING (date) LEFT JOIN n225 USING (date)")

@@ -312,22 +312,28 @@ def corr_sql(base: str, names: list[str], where: str = "") -> str:
 @query("high_corr_pairs", "K-1", q.with_(q.BARS) + ", ps AS (" + corr_sql("bars", ["open", "high", "low", "close", "volume", "volume_p"]) + f") SELECT Feature_A, Feature_B, {q.r('Correlation')} AS Correlation FROM ps WHERE Correlation >= 0.7")
 def _(spark, d):
     b = px(spark, d).bars()
-    return S.rounded(A.high_corr_pairs(b, ["open", "high", "low", "close", "volume", "volume_p"], ["scode", "date"], 0.7, sample=None))
+    return S.rounded(A.high_corr_pairs(b, ["open", "high", "low", "close", "volume", "volume_p"], ["scode", "date"], 0.7))
 
 
 def _wide_emb(spark, d):
     e = px(spark, d).table("embeddings")
-    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"g{i}") for i in range(24)])
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"g{i}") for i in range(64)])
 
 
-@query("high_corr_pairs_wide", "K-1", "WITH w AS (SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS g{i}" for i in range(24)) + " FROM embeddings), ps AS (" + corr_sql("w", [f"g{i}" for i in range(24)]) + f") SELECT Feature_A, Feature_B, {q.r('Correlation')} AS Correlation FROM ps WHERE Correlation >= 0.08")
+WIDE_SQL = f"""WITH l AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS i)),
+ k AS (SELECT vec_id, i, rank() OVER (PARTITION BY i ORDER BY v) + (count(*) OVER (PARTITION BY i, v) - 1) / 2.0 AS k FROM l),
+ ps AS (SELECT 'g' || a.i AS Feature_A, 'g' || b.i AS Feature_B, corr(a.k, b.k) AS Correlation FROM k a JOIN k b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i)
+ SELECT Feature_A, Feature_B, {q.r('Correlation')} AS Correlation FROM ps WHERE Correlation >= 0.08"""
+
+
+@query("high_corr_pairs_wide", "K-1", WIDE_SQL)
 def _(spark, d):
-    return S.rounded(A.high_corr_pairs(_wide_emb(spark, d), [f"g{i}" for i in range(24)], ["vec_id"], 0.08, sample=None))
+    return S.rounded(A.high_corr_pairs(_wide_emb(spark, d), [f"g{i}" for i in range(64)], ["vec_id"], 0.08))
 
 
 @query("high_corr_pairs_with_nulls", "K-1", "WITH " + EMB + ", ps AS (" + corr_sql("emb", FS[:5]) + f") SELECT Feature_A, Feature_B, {q.r('Correlation')} AS Correlation FROM ps WHERE Correlation >= 0.02")
 def _(spark, d):
-    return S.rounded(A.high_corr_pairs(emb(spark, d), FS[:5], ["vec_id"], 0.02, sample=None))
+    return S.rounded(A.high_corr_pairs(emb(spark, d), FS[:5], ["vec_id"], 0.02))
 
 
 GAPS = "gaps AS MATERIALIZED (SELECT scode, date, CASE WHEN day(date) = 3 THEN 'Infinity'::DOUBLE WHEN day(date) % 4 = 0 THEN NULL ELSE close END AS a, CASE WHEN scode % 9 = 0 THEN 'NaN'::DOUBLE ELSE volume END AS target_b FROM bars)"

@@ -165,6 +165,20 @@ def _smoothing(name, block):
 
 
 _smoothing("recursive_smoothing", rec.BLOCK)
+# a lean year of bars without prices now and then: the state stands over gaps, also across blocks
+GAPS = "gbars AS (SELECT scode, date, CASE WHEN day(date) % 7 <> 3 THEN high END AS high, CASE WHEN day(date) % 7 <> 3 THEN low END AS low, CASE WHEN day(date) % 7 <> 3 AND day(date) <> 5 THEN close END AS close FROM bars), "
+
+
+@query("recursive_smoothing_with_gaps", "W-16", "WITH RECURSIVE " + q.BARS + ", " + GAPS + INDICATOR_CTES.replace("FROM bars)", "FROM gbars)")
+       + f" SELECT scode, date, {q.cols(IND, 4)} FROM indicators")
+def _(spark, d):
+    priced = F.dayofmonth("date") % 7 != 3
+    bars = _bars(spark, d).withColumns({"high": F.when(priced, F.col("high")), "low": F.when(priced, F.col("low")),
+                                        "close": F.when(priced & (F.dayofmonth("date") != 5), F.col("close"))})
+    df = rec.with_indicators(bars, block=300)
+    return S.rounded(df.select("scode", "date", *[F.col(f"_{c}").alias(c) for c in IND]), 4)
+
+
 _smoothing("recursive_smoothing_short_blocks", 300)   # several blocks per stock: exercises the carry
 
 
@@ -200,8 +214,8 @@ def _(spark, d):
 
 @query("percent_rank_split_groups", "W-20", PCT_SQL)
 def _(spark, d):
-    # the form for very large groups, forced: about one bucket per 8 distinct values
-    return _pct(_bars(spark, d), windowed=False, spacing=8)
+    # cells as in very large groups: one per about 8 distinct values
+    return _pct(_bars(spark, d), spacing=8)
 
 
 GAUSS_SQL = B + f", g AS (SELECT scode, date, {q.pctrank('volume', 'date')} AS pr FROM bars), g2 AS (SELECT *, {q.clip('pr', 1e-6, 1 - 1e-6)} AS pc, pr * (1 - 2e-6::DOUBLE) + 1e-6::DOUBLE AS pt FROM g) SELECT scode, date, {q.r(q.probit('pc'))} AS gauss_feature, {q.r(q.probit('pt') + ' / sqrt(2.0::DOUBLE)')} AS gauss_target FROM g2"
@@ -225,20 +239,20 @@ def z_sql(x: str, by: str) -> str:
 Z_SQL = q.with_(q.BARS, q.SYMBOLS) + f"SELECT scode, date, {q.r(z_sql('x', 'date, sector33_code'))} AS z FROM (SELECT b.*, sector33_code, CASE WHEN day(date) % 7 <> 0 THEN close END AS x FROM bars b LEFT JOIN symbols USING (scode))"
 
 
-def _z(spark, d, windowed):
+def _z(spark, d):
     p = Proxy(spark, d)
     df = p.bars().join(p.symbols(), "scode", "left").withColumn("x", F.when(F.dayofmonth("date") % 7 != 0, F.col("close")))
-    return S.rounded(sector_z(df, ["x"], windowed=windowed).select("scode", "date", F.col("x_sector_z").alias("z")))
+    return S.rounded(sector_z(df, ["x"]).select("scode", "date", F.col("x_sector_z").alias("z")))
 
 
 @query("group_zscore", "W-22", Z_SQL)
 def _(spark, d):
-    return _z(spark, d, None)
+    return _z(spark, d)
 
 
 @query("group_zscore_joined_stats", "W-22", Z_SQL)
 def _(spark, d):
-    return _z(spark, d, False)
+    return _z(spark, d)
 
 
 simple("efficiency_ulcer_moneyflow", "W-23", {

@@ -5,13 +5,17 @@ is: with d = 1 - alpha, y[t] = sum over i <= t of d^(t-i) z[i], where z holds th
 seed once and alpha x[i] afterwards. A running sum of z[i] d^(-i), scaled by
 d^t, gives y without collecting a series, calling Python or folding arrays.
 
-d^(-i) would overflow on long series, so rows are cut into blocks of ``BLOCK``
-rows: the running sum restarts in each block and the last value of the previous
+Positions count the non-null inputs of a series, so a row without an input neither
+moves nor decays anything: the state stands over a gap and the next input goes on
+from it. Rows without an input have no output.
+
+d^(-i) would overflow on long series, so positions are cut into blocks of ``BLOCK``
+inputs: the running sum restarts in each block and the last value of the previous
 block is added with its decay. Older blocks carry a weight below d^BLOCK
 (under 1e-40 for every smoother here), which double precision cannot see.
 
 Seed rule: the first output is the plain mean of the first n non-null inputs;
-earlier outputs are null. Inputs may be null only before their first value.
+earlier outputs are null.
 """
 
 from __future__ import annotations
@@ -34,42 +38,39 @@ def wilder(out: str, x: str, n: int) -> tuple[str, str, int, float]:
     return out, x, n, 1.0 / n
 
 
-def with_blocks(df: DataFrame, key: str, ts: str, block: int = BLOCK) -> DataFrame:
-    """Row position columns: block number ``_blk`` and place inside the block ``_j``."""
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(ts)) - F.lit(1)
-    df = df.withColumn("_rn0", rn)
-    return df.select("*", F.floor(F.col("_rn0") / F.lit(block)).cast("int").alias("_blk"),
-                     (F.col("_rn0") % F.lit(block)).cast("double").alias("_j")).drop("_rn0")
-
-
 def smooth(df: DataFrame, specs: Iterable[tuple[str, str, int, float]], key: str, ts: str,
            block: int = BLOCK) -> DataFrame:
-    """Add one smoothed column per (output, input, n, alpha); needs ``with_blocks``."""
+    """Add one smoothed column per (output, input, n, alpha)."""
     specs = list(specs)
-    line = Window.partitionBy(key).orderBy("_blk", ts)
-    inside = Window.partitionBy(key, "_blk").orderBy(ts)
-    upto, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
-    j, xs = F.col("_j"), list(dict.fromkeys(x for _, x, _, _ in specs))
-
-    seen = {f"_k_{x}": F.count(x).over(upto) for x in xs} | {f"_a_{x}": F.avg(x).over(upto) for x in xs}
-    df = df.withColumns(seen)
+    line = Window.partitionBy(key).orderBy(ts)
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    xs = list(dict.fromkeys(x for _, x, _, _ in specs))
+    df = df.withColumns({f"_k_{x}": F.count(x).over(upto) for x in xs} | {f"_a_{x}": F.avg(x).over(upto) for x in xs})
+    place = {}
+    for x in xs:   # block and place of the input last seen
+        k = F.greatest(F.col(f"_k_{x}") - F.lit(1), F.lit(0))
+        place |= {f"_b_{x}": F.floor(k / F.lit(block)).cast("int"), f"_j_{x}": (k % F.lit(block)).cast("double")}
+    df = df.withColumns(place)
     scaled = {}
     for out, x, n, alpha in specs:
         k = F.col(f"_k_{x}")
-        z = F.when(k > n, F.lit(alpha) * F.col(x)).when((k == n) & F.col(x).isNotNull(), F.col(f"_a_{x}"))
-        scaled[f"_z_{out}"] = F.coalesce(z, F.lit(0.0)) * F.pow(F.lit(1.0 - alpha), -j)
+        z = F.when(k > n, F.lit(alpha) * F.col(x)).when(k == n, F.col(f"_a_{x}"))
+        scaled[f"_z_{out}"] = F.when(F.col(x).isNotNull(), z) * F.pow(F.lit(1.0 - alpha), -F.col(f"_j_{x}"))
     df = df.withColumns(scaled)
-    df = df.withColumns({f"_s_{o}": F.sum(f"_z_{o}").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-                         for o, *_ in specs})
-    df = df.withColumns({f"_s_{o}": F.col(f"_s_{o}") * F.pow(F.lit(1.0 - a), j) for o, _, _, a in specs})
-    ends = {f"_e_{o}": F.last(F.when(j == block - 1, F.col(f"_s_{o}")), ignorenulls=True).over(before)
-            for o, *_ in specs}
+    sums = {}
+    for out, x, _, alpha in specs:
+        inside = Window.partitionBy(key, f"_b_{x}").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+        sums[f"_s_{out}"] = F.coalesce(F.sum(f"_z_{out}").over(inside), F.lit(0.0)) * F.pow(F.lit(1.0 - alpha), F.col(f"_j_{x}"))
+    df = df.withColumns(sums)
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    ends = {f"_e_{o}": F.last(F.when((F.col(f"_j_{x}") == block - 1) & F.col(x).isNotNull(), F.col(f"_s_{o}")), ignorenulls=True).over(before)
+            for o, x, _, _ in specs}
     df = df.withColumns(ends)
     result = {}
     for out, x, n, alpha in specs:
-        y = F.col(f"_s_{out}") + F.coalesce(F.col(f"_e_{out}") * F.pow(F.lit(1.0 - alpha), j + F.lit(1.0)), F.lit(0.0))
+        y = F.col(f"_s_{out}") + F.coalesce(F.col(f"_e_{out}") * F.pow(F.lit(1.0 - alpha), F.col(f"_j_{x}") + F.lit(1.0)), F.lit(0.0))
         result[out] = F.when((F.col(f"_k_{x}") >= n) & F.col(x).isNotNull(), y)
-    helpers = [*seen, *scaled, *[f"_s_{o}" for o, *_ in specs], *ends]
+    helpers = [*[f"_{h}_{x}" for x in xs for h in "kabj"], *scaled, *sums, *ends]
     return df.withColumns(result).drop(*helpers)
 
 
@@ -91,12 +92,12 @@ def directional_inputs(high: Column, low: Column, close: Column, prev_high: Colu
 def with_indicators(bars: DataFrame, key: str = "scode", ts: str = "date", block: int = BLOCK) -> DataFrame:
     """``bars`` plus _macd, _signal, _rsi9, _rsi14, _atr5, _atr14, _atr20 and _adx14.
 
-    Every bar must have a close. All windows share the partitioning by ``key``.
+    Bars may lack prices; see the module's note on gaps. All windows share the partitioning by ``key``.
     """
     c = F.col
     w = Window.partitionBy(key).orderBy(ts)
     prev = {f"_prev_{x}": F.lag(x).over(w) for x in ("high", "low", "close")}
-    df = with_blocks(bars.withColumns(prev), key, ts, block)
+    df = bars.withColumns(prev)
     moves = directional_inputs(c("high"), c("low"), c("close"), *[c(p) for p in prev])
     df = df.withColumns(moves)
     df = smooth(df, [
@@ -112,4 +113,4 @@ def with_indicators(bars: DataFrame, key: str = "scode", ts: str = "date", block
         "_dx": hundred * div(F.abs(c("_p14") - c("_m14")), c("_p14") + c("_m14")),
     })
     df = smooth(df, [ema("_signal", "_macd", 9), wilder("_adx14", "_dx", 14)], key, ts, block)
-    return df.drop(*prev, *moves, "_blk", "_j", "_e12", "_e26", "_g9", "_l9", "_g14", "_l14", "_p14", "_m14", "_dx")
+    return df.drop(*prev, *moves, "_e12", "_e26", "_g9", "_l9", "_g14", "_l14", "_p14", "_m14", "_dx")

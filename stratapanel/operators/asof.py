@@ -11,16 +11,16 @@ from .groups import join_back
 
 
 def latest_per_key(right: DataFrame, by: list[str], ts: str, values: list[str], tie: list[str]) -> DataFrame:
-    """One right row per (by, ts): the last one in ``tie`` order, combined map-side."""
+    """One right row per (by, ts): the last one in ``tie`` order (else of its values), combined map-side."""
     payload = F.struct(*values)
-    best = F.max_by(payload, F.struct(*tie)) if tie else F.first(payload)
+    best = F.max_by(payload, F.struct(*(tie or values)))
     return right.groupBy(*by, ts).agg(best.alias("_r"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str,
               values: list[str], tie: list[str] | None = None, left_unique: bool = False,
               right_unique: bool = False, keep_right_ts: str | None = None,
-              block: str | None = None, bounded: bool = False) -> DataFrame:
+              block: str | None = None) -> DataFrame:
     """Each left row gets ``values`` of the latest right row with right_ts <= left_ts.
 
     Both sides are tagged, united and scanned once per key in time order; right
@@ -29,9 +29,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     a sector with a third of all panel rows then contributes one row per day,
     and the result is joined back on (by, ts). ``block`` (a ``date_trunc`` unit)
     also cuts long keys into time blocks: the scan runs per (key, block) and a
-    small carry table hands the last value over to the next blocks. ``bounded``
-    states that distinct (by, ts) pairs are few by construction (sectors x days):
-    the reduced result is then broadcast.
+    small carry table hands the last value over to the next blocks.
     """
     payload = [*values, *([keep_right_ts] if keep_right_ts else [])]
     if keep_right_ts:
@@ -66,7 +64,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
         *by, "_l.*", *[F.col(f"_v.{c}").alias(c) for c in payload])
     if left_unique:
         return found.select(*left.columns, *payload)
-    return join_back(left, F.broadcast(found) if bounded else found, [*by, left_ts])
+    return join_back(left, found, [*by, left_ts])
 
 
 def calendar(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
@@ -75,14 +73,18 @@ def calendar(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
         F.explode(F.sequence("_s", "_e", F.expr("interval 1 day"))).alias(ts))
 
 
-def densify(events: DataFrame, ts: str, values: list[str], start: str, end: str | None = None) -> DataFrame:
+def densify(events: DataFrame, ts: str, values: list[str], start: str, end: str | None = None,
+            until: DataFrame | None = None) -> DataFrame:
     """Daily series from ``start`` on; each day carries the latest row published by then.
 
+    It ends at ``end``, or at the last day of the events or of ``until`` (one date
+    column, such as the bars'), so days after the last publication stay filled.
     One row per calendar day: the single ordered scan is bounded by the calendar.
     """
     lo = F.to_date(F.lit(start))
     hi = F.to_date(F.lit(end)) if end else F.greatest(F.max(ts), lo)
-    days = calendar(events, ts, lo, hi)
+    span = events.select(ts) if until is None else events.select(ts).union(until)
+    days = calendar(span, ts, lo, hi)
     return asof_join(days, events, [], ts, ts, values, right_unique=True, left_unique=True)
 
 

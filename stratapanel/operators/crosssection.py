@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.scalars import clip, div, probit
-from .groups import fits_window, join_back, with_group_aggs
+from .groups import join_back, with_group_aggs
 from .ranking import SPACING, average_ranks, order_statistics, pct_rank
 
 SECTOR = ["date", "sector33_code"]
 
 
-def sector_z(df: DataFrame, names: list[str], keys: list[str] = SECTOR, windowed: bool | None = None,
-             bound: float = 3.0) -> DataFrame:
+def sector_z(df: DataFrame, names: list[str], keys: list[str] = SECTOR, bound: float = 3.0) -> DataFrame:
     """Add ``<name>_sector_z``: (x - mean) / sample std inside the group, clipped.
 
     A group of one row or without spread gives 0 for every row, null ones too.
     """
-    if windowed is None:
-        windowed = fits_window(df, keys)
     aggs = {"_n": F.count(F.lit(1))}
     for c in names:
         aggs |= {f"_m_{c}": F.avg(c), f"_s_{c}": F.stddev_samp(c)}
-    df = with_group_aggs(df, keys, aggs, windowed)
+    df = with_group_aggs(df, keys, aggs)
     out = {}
     for c in names:
         flat = (F.col("_n") <= 1) | F.coalesce(F.col(f"_s_{c}") == 0.0, F.lit(False))
@@ -33,16 +30,11 @@ def sector_z(df: DataFrame, names: list[str], keys: list[str] = SECTOR, windowed
     return df.withColumns(out).drop(*aggs)
 
 
-def fill_group_median(df: DataFrame, names: list[str], keys: list[str] = SECTOR,
-                      windowed: bool | None = None) -> DataFrame:
+def fill_group_median(df: DataFrame, names: list[str], keys: list[str] = SECTOR) -> DataFrame:
     """Null values take the exact median of their group."""
-    if windowed is None:
-        windowed = fits_window(df, keys)
-    if windowed:
-        w = Window.partitionBy(*keys)
-        return df.withColumns({c: F.coalesce(F.col(c), F.median(c).over(w)) for c in names})
+    source = df.select(*dict.fromkeys([*keys, *names]))
     for c in names:
-        med = order_statistics(df, c, keys, [0.5]).select(*keys, F.col("q").alias("_median"))
+        med = order_statistics(source, c, keys, [0.5]).select(*keys, F.col("q").alias("_median"))
         df = join_back(df, med, keys).withColumn(c, F.coalesce(F.col(c), F.col("_median"))).drop("_median")
     return df
 
@@ -93,13 +85,13 @@ def sector_relative(df: DataFrame, horizon: int = 5) -> DataFrame:
     })
 
 
-def z_features(df: DataFrame, windowed: bool | None = None, columns: list[str] | None = None) -> DataFrame:
+def z_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``<name>_sector_z`` for the listed columns that exist; originals dropped unless kept."""
     names = [c for c in (columns or Z_COLUMNS) if c in df.columns]
-    return sector_z(df, names, windowed=windowed).drop(*[c for c in names if c not in Z_KEPT])
+    return sector_z(df, names).drop(*[c for c in names if c not in Z_KEPT])
 
 
-def gauss_rank_features(df: DataFrame, names: list[str], mask: Column, windowed: bool | None = None,
+def gauss_rank_features(df: DataFrame, names: list[str], mask: Column,
                         keys: tuple[str, str] = ("scode", "date"), spacing: int = SPACING) -> DataFrame:
     """Replace columns by normal scores of their rank among the day's broad universe.
 
@@ -109,11 +101,9 @@ def gauss_rank_features(df: DataFrame, names: list[str], mask: Column, windowed:
     before the first.
     """
     stock, day = keys
-    if windowed is None:
-        windowed = fits_window(df, [day])
     narrow = df.where(mask).select(stock, day, *[F.col(c).cast("double").alias(c) for c in names])
     long = narrow.unpivot([stock, day], names, "_name", "_v").where(F.col("_v").isNotNull())
-    long = average_ranks(long, ["_v"], [day, "_name"], windowed=windowed, spacing=spacing)
+    long = average_ranks(long, ["_v"], [day, "_name"], spacing)
     long = long.select(stock, day, "_name", clip(pct_rank("_v"), CLIP, 1 - CLIP).alias("_p"))
     scores = long.select(stock, day, "_name", probit("_p").alias("_g")).groupBy(stock, day).pivot("_name", names).agg(F.first("_g"))
     scores = scores.withColumnsRenamed({c: f"_g_{c}" for c in names})

@@ -23,7 +23,7 @@ def rmse(target: Column, score: Column) -> Column:
 def rank_ic(df: DataFrame, target: str, score: str, by: list[str], spacing: int = SPACING) -> DataFrame:
     """Spearman correlation over all complete rows of each group."""
     d = df.where(F.col(target).isNotNull() & F.col(score).isNotNull()).select(*by, target, score)
-    r = average_ranks(d, [target, score], by, windowed=False, spacing=spacing)
+    r = average_ranks(d, [target, score], by, spacing)
     return r.groupBy(*by).agg(F.corr(f"{target}__rank", f"{score}__rank").alias("ic"))
 
 

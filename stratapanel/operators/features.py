@@ -191,7 +191,7 @@ def volume(fs: FeatureSet) -> None:
     fs.put(0, "_ln2", F.pow(F.ln(div(high, low)), 2))
     fs.put(1, "Volatility_Parkinson", F.sqrt(R.roll(F.avg, "_ln2", 14) / F.lit(4 * math.log(2))))
     fs.put(1, "Return_Volatility", R.roll(F.stddev_samp, r, 10))
-    fs.put(1, "Vol_Ratio_5d", zero_to_null(div(vol, fs.roll(0, "avg", "volume", 5))))
+    fs.put(1, "Vol_Ratio_5d", div(vol, fs.roll(0, "avg", "volume", 5)))
     hv = fs.put(1, "HV_30", R.roll(F.stddev_samp, r, 30) * F.lit(math.sqrt(250)))
     fs.put(2, "Vol_Ratio_HV", div(fs.put(1, "_hv5", R.roll(F.stddev_samp, r, 5)) * F.lit(math.sqrt(250)), hv))
     med = fs.put(0, "_vmed20", R.roll_median("volume", 20))

@@ -1,29 +1,14 @@
 """Group statistics next to their rows, for groups of any size.
 
-Small groups use a window (one exchange). When the largest group is above a
-checked size, statistics come from a partially combined aggregate joined back
-(the aggregate has one row per group, AQE broadcasts it or splits the skewed
-side), so no task ever holds a whole group.
+Statistics come from a partially combined aggregate joined back: it has one row
+per group, which AQE broadcasts or splits against, so no task ever holds a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW_ROWS = 2_000_000   # largest group that one task may sort
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows in the biggest group: a combined count, one row to the driver."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def fits_window(df: DataFrame, keys: list[str], limit: int = WINDOW_ROWS) -> bool:
-    return largest_group(df, keys) <= limit
-
 
 def join_back(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Null-safe equi join on ``keys`` keeping the left columns once."""
@@ -37,10 +22,10 @@ def join_back(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left
     return df.join(o, cond, how).drop(*[f"_jk_{k}" for k in keys])
 
 
-def with_group_aggs(df: DataFrame, keys: list[str], aggs: dict[str, Column], windowed: bool) -> DataFrame:
-    """Add one column per aggregate of the row's group."""
-    if windowed:
-        w = Window.partitionBy(*keys)
-        return df.withColumns({name: agg.over(w) for name, agg in aggs.items()})
-    stats = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggs.items()])
-    return join_back(df, stats, keys)
+def with_group_aggs(df: DataFrame, keys: list[str], aggs: dict[str, Column], source: DataFrame | None = None) -> DataFrame:
+    """Add one column per aggregate of the row's group.
+
+    ``source`` gives the rows to aggregate where an earlier, shorter plan has them too: a
+    chain of joins back to its own start would double the plan at each link.
+    """
+    return join_back(df, (df if source is None else source).groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggs.items()]), keys)

@@ -1,14 +1,12 @@
-"""Exact ranks (average ties) and order statistics for groups of any size.
-
-``average_ranks`` has two physical forms with the same result:
-
-* ``window``: rank over (group, value), for groups of checked size;
-* ``split``: equal values are combined first (a value held by a third of all
-  rows becomes one row), the distinct values of a group are cut at splitters
-  into many buckets, each bucket is ranked by its own task, and bucket offsets
-  are added. Splitters are picked by a hash of the value, about one per
-  ``spacing`` distinct values, so they are the same in every execution and
-  after a lost executor, need no sampling job, and follow the data's density.
+"""Exact ranks (average ties) and order statistics, one plan for groups of any size.
+
+Equal values are combined first, so a value held by a third of all rows becomes one
+row. The distinct values of a group are cut into cells by their place between the
+group's least and greatest value, as many as one per ``spacing`` values; a cell that
+still holds more is cut again by its own bounds. Cells are ordered like the values
+and follow from small aggregates alone: no sampling, no list of splitters, the same
+in every execution. Each cell is ranked by its own task and the counts of the cells
+before it are added. Groups below ``spacing`` are one cell.
 """
 
 from __future__ import annotations
@@ -16,45 +14,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import fits_window, join_back
-
-SPACING = 250_000   # distinct values per bucket, on average
-
-
-def window_ranks(df: DataFrame, names: list[str], by: list[str]) -> DataFrame:
-    """Add ``<name>__rank`` and ``<name>__n`` using one exchange on ``by``."""
-    part = Window.partitionBy(*by)
-    out = {}
-    for c in names:
-        w = part.orderBy(F.col(c).asc_nulls_last())
-        ties = F.count(c).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-        rank = F.rank().over(w) + (ties - F.lit(1)) / F.lit(2.0)
-        out[f"{c}__rank"] = F.when(F.col(c).isNotNull(), rank)
-        out[f"{c}__n"] = F.count(c).over(part)
-    return df.withColumns(out)
+from .groups import join_back
 
+SPACING = 250_000   # distinct values per cell, on average
+SALTS = 1024
 
-def bucket_of(value: Column, knots: Column) -> Column:
-    """How many sorted splitters are <= value: binary search, log2(size) steps."""
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(knots) + F.lit(1))).cast("int"))
 
-    def step(s, _):
-        mid = F.floor((s["lo"] + s["hi"]) / F.lit(2)).cast("int")
-        right = (s["lo"] < s["hi"]) & (F.get(knots, mid) <= value)
-        left = (s["lo"] < s["hi"]) & ~right
-        return F.struct(F.when(right, mid + F.lit(1)).otherwise(s["lo"]).alias("lo"),
-                        F.when(left, mid).otherwise(s["hi"]).alias("hi"))
-
-    init = F.struct(F.lit(0).alias("lo"), F.size(knots).alias("hi"))
-    return F.when(F.coalesce(F.size(knots), F.lit(0)) == 0, F.lit(0)).otherwise(
-        F.aggregate(steps, init, step, lambda s: s["lo"]))
+def with_cell(t: DataFrame, value: str, keys: list[str], out: str, spacing: int) -> DataFrame:
+    """Add the cell of each row's value among those of ``keys``; only groups beyond ``spacing`` are cut."""
+    x = F.col(value).cast("double") / F.lit(2.0)   # halves: the span of two doubles may be no double
+    bounds = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.min(x).alias("_lo"), F.max(x).alias("_hi")).where(F.col("_d") > spacing)
+    place = F.least(F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.ceil(F.col("_d") / F.lit(spacing))), F.ceil(F.col("_d") / F.lit(spacing)) - 1)
+    cell = F.when(F.col("_hi") > F.col("_lo"), place).otherwise(F.lit(0))
+    return join_back(t, bounds, keys).withColumn(out, F.coalesce(cell, F.lit(0)).cast("long")).drop("_d", "_lo", "_hi")
 
 
 def rank_table(df: DataFrame, value: str, by: list[str], spacing: int = SPACING,
                extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct non-null (by, value): ``ties``, ``rank`` (average), ``below``, ``n``.
 
-    ``extra`` aggregates (sum, max, ...) are carried per distinct value.
+    ``extra`` aggregates (sum, max, ...) are carried per distinct value. Text is one cell.
     """
     extra = extra or {}
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
@@ -62,43 +41,38 @@ def rank_table(df: DataFrame, value: str, by: list[str], spacing: int = SPACING,
     grp = by or ["_all"]
     if not by:
         counts = counts.withColumn("_all", F.lit(0))
-    is_knot = F.pmod(F.xxhash64(F.col(value), F.lit(17)), F.lit(spacing)) == 0
-    knots = counts.where(is_knot).groupBy(*grp).agg(F.sort_array(F.collect_list(value)).alias("_knots"))
-    # about one splitter per ``spacing`` distinct values: 1e11 values give a few MB
-    cut = join_back(counts, F.broadcast(knots), grp).withColumn("_b", bucket_of(F.col(value), F.col("_knots"))).drop("_knots")
-    buckets = cut.groupBy(*grp, "_b").agg(F.sum("ties").alias("_t"))
+    if dict(counts.dtypes)[value] == "string":
+        cut = counts.withColumns({"_b": F.lit(0), "_c": F.lit(0)})
+    else:
+        cut = with_cell(with_cell(counts, value, grp, "_b", spacing), value, [*grp, "_b"], "_c", spacing)
+    cells = cut.groupBy(*grp, "_b", "_c").agg(F.sum("ties").alias("_t"))
     wg = Window.partitionBy(*grp)
-    offsets = buckets.select(
-        *grp, "_b",
-        F.coalesce(F.sum("_t").over(wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+    offsets = cells.select(
+        *grp, "_b", "_c",
+        F.coalesce(F.sum("_t").over(wg.orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_t").over(wg).alias("n"))
-    wb = Window.partitionBy(*grp, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*grp, "_b", "_c").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = cut.withColumn("_in", F.coalesce(F.sum("ties").over(wb), F.lit(0)))
-    ranked = join_back(inside, offsets, [*grp, "_b"], "inner")
+    ranked = join_back(inside, offsets, [*grp, "_b", "_c"], "inner")
     below = F.col("_off") + F.col("_in")
     return ranked.select(*by, value, "ties", *extra, below.alias("below"),
                          (below + (F.col("ties") + F.lit(1)) / F.lit(2.0)).alias("rank"), "n")
 
 
-def split_ranks(df: DataFrame, names: list[str], by: list[str], spacing: int = SPACING) -> DataFrame:
-    """Same columns as ``window_ranks`` through one rank table per value column."""
+def average_ranks(df: DataFrame, names: list[str], by: list[str], spacing: int = SPACING) -> DataFrame:
+    """Add ``<name>__rank`` and ``<name>__n`` (null on null values): average ranks inside ``by``.
+
+    Rows without a value match nothing; they are spread by a salt, so they do not meet in one join key.
+    """
     out = df
     for c in names:
-        t = rank_table(df, c, by, spacing).select(
-            *by, c, F.col("rank").alias(f"{c}__rank"), F.col("n").alias(f"{c}__n"))
-        out = join_back(out, t, [*by, c])
-        # rows with a null value take no rank; their group size is not needed by any caller
+        t = rank_table(df, c, by, spacing).select(*by, c, F.col("rank").alias(f"{c}__rank"), F.col("n").alias(f"{c}__n"), F.lit(0).alias("_salt"))
+        flat = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+        salt = F.when(F.col(c).isNull(), F.pmod(F.xxhash64(*flat), F.lit(SALTS)).cast("int") + F.lit(1)).otherwise(F.lit(0))
+        out = join_back(out.withColumn("_salt", salt), t, [*by, c, "_salt"]).drop("_salt")
     return out
 
 
-def average_ranks(df: DataFrame, names: list[str], by: list[str], windowed: bool | None = None,
-                  spacing: int = SPACING) -> DataFrame:
-    """Average ranks inside ``by``; the form follows the checked size of the largest group."""
-    if windowed is None:
-        windowed = bool(by) and fits_window(df, by)
-    return window_ranks(df, names, by) if windowed else split_ranks(df, names, by, spacing)
-
-
 def pct_rank(name: str) -> Column:
     """Rank share (0, 1] of a column ranked by ``average_ranks``."""
     return F.try_divide(F.col(f"{name}__rank"), F.col(f"{name}__n").cast("double"))

@@ -20,7 +20,7 @@ def sessions_between(df: DataFrame, sessions: DataFrame | None = None) -> DataFr
     days = (sessions if sessions is not None else df).select("date").where(F.col("date").isNotNull()).distinct()
     if sessions is not None:
         span = df.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-        days = days.join(F.broadcast(span), F.col("date").between(F.col("_lo"), F.col("_hi"))).select("date")
+        days = days.join(span, F.col("date").between(F.col("_lo"), F.col("_hi"))).select("date")
     return days.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
 
 
@@ -29,7 +29,7 @@ def add_event_end(df: DataFrame, horizon: int, sessions: DataFrame | None = None
     axis = sessions_between(df, sessions)
     w = Window.orderBy("date")
     ends = axis.select("date", F.lead("date", horizon).over(w).alias("t1")).where(F.col("t1").isNotNull())
-    return df.join(F.broadcast(ends), "date")   # calendar rows
+    return df.join(ends, "date")   # calendar rows
 
 
 def split_axis(samples: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def fold_rows(axis: DataFrame, folds: list[list[int]], n_splits: int, pct_embarg
     wide = rows.select("*", F.inline(plan))
     in_test = F.array_contains("tests", F.col("block"))
     wide = wide.select("fold", "pos", "date", "end_pos", in_test.alias("in_test"), F.explode("tests").alias("block"))
-    d = wide.join(F.broadcast(ends), "block")
+    d = wide.join(ends, "block")
     hit = (F.col("pos") <= F.col("test_end")) & (F.col("end_pos") >= F.col("test_start"))
     wait = (F.col("pos") > F.col("test_end")) & (F.col("pos") <= F.col("test_end") + F.col("embargo"))
     g = d.groupBy("fold", "pos", "date", "end_pos").agg(
@@ -135,7 +135,7 @@ def timeline(folds: DataFrame, axis: DataFrame, width: int = 100) -> DataFrame:
     cells = sizes.select("_n", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_bin"))
     cells = cells.select("_bin", F.explode(F.sequence(lo, hi - 1)).alias("pos"))
     mark = F.when(F.col("side") == "test", 2).otherwise(1)
-    seen = folds.join(F.broadcast(cells), "pos").groupBy("fold", "_bin").agg(F.max(mark).alias("_m"))
+    seen = folds.join(cells, "pos").groupBy("fold", "_bin").agg(F.max(mark).alias("_m"))
     marks = seen.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_m"))).alias("_map"))   # width entries
 
     def char(i):

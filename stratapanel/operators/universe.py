@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -65,15 +66,21 @@ def candidate_flags(df: DataFrame, t: Thresholds = Thresholds(), keep_metrics: b
     return df if keep_metrics else df.drop(*[x for x in df.columns if x.startswith("filt_")])
 
 
+def _quarter(day: dt.date) -> str:
+    return f"{day.year}Q{(day.month + 2) // 3}"
+
+
 def buffered_flags(history: DataFrame, chunk_start: str, chunk_end: str | None = None, lookback_days: int = 180,
                    t: Thresholds = Thresholds()) -> DataFrame:
-    """Flags for one new chunk from the chunk plus a calendar lookback, not the full history.
+    """Flags for one new chunk of a written, quarter-partitioned panel, from the chunk and a calendar lookback.
 
-    Both bounds are plain date predicates: only the needed files are read.
+    The bounds are literals on ``quarter`` (whole partitions are skipped) and ``date``; only the rows
+    between them are read, and metrics and flags are computed from those.
     """
-    lo = F.date_sub(F.lit(chunk_start).cast("date"), lookback_days)
-    d = history.where(F.col("date") >= lo)
+    first = dt.date.fromisoformat(chunk_start) - dt.timedelta(days=lookback_days)
+    d = history.where((F.col("quarter") >= F.lit(_quarter(first))) & (F.col("date") >= F.lit(first)))
     if chunk_end:
-        d = d.where(F.col("date") < F.lit(chunk_end).cast("date"))
-    out = candidate_flags(d, t)
+        last = dt.date.fromisoformat(chunk_end)
+        d = d.where((F.col("quarter") <= F.lit(_quarter(last))) & (F.col("date") < F.lit(last)))
+    out = candidate_flags(intrinsic_metrics(d.drop("quarter"), t), t)
     return out.where(F.col("date") >= F.lit(chunk_start).cast("date"))

@@ -18,14 +18,6 @@ from ..sources.loaders import FINANCIAL_VALUES
 
 MARGIN_VALUES = ["long_margin_trade_balance_share", "short_margin_trade_balance_share"]
 
-BROADCAST_ROWS = 1_000_000   # narrow dimension rows that may be copied to every executor
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint, given only after counting; larger tables stay shuffle-joined."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def sector_index(closes: DataFrame, symbols: DataFrame) -> DataFrame:
     """Mean simple return per (date, sector); inner join on the sector master."""
     r = closes.withColumn("_ret", pct_change("close"))
@@ -56,18 +48,19 @@ def min_history(df: DataFrame, rows: int = 250) -> DataFrame:
 def join_inputs(i: Inputs) -> DataFrame:
     """Dimension joins first, then one scan per stock for all as-of joins.
 
-    Market series have one row per calendar day and sector tables one per sector
-    and day, so they are broadcast; the sector master is counted first. The only
-    exchange of panel rows is the one by stock, and the result keeps it.
+    Market series have one row per calendar day, sector tables one per sector and
+    day, the master one per stock: Spark broadcasts them while their measured size
+    is below its threshold and shuffles them beyond. As-of joins by stock share one
+    exchange, which the result keeps.
     """
-    d = i.bars.join(small(i.symbols), "scode", "left")
+    d = i.bars.join(i.symbols, "scode", "left")
     for series in (i.topix, i.n225, i.flows):
         if series is not None:
-            d = d.join(F.broadcast(series), "date", "left")
+            d = d.join(series, "date", "left")
     if i.sector_return is not None:
-        d = d.join(F.broadcast(i.sector_return), ["date", "sector33_code"], "left")
+        d = d.join(i.sector_return, ["date", "sector33_code"], "left")
     if i.shorts is not None:
-        d = asof_join(d, i.shorts, ["sector33_code"], "date", "date", ["selling_volume_ratio"], right_unique=True, bounded=True)
+        d = asof_join(d, i.shorts, ["sector33_code"], "date", "date", ["selling_volume_ratio"], right_unique=True)
     sides = []
     if i.financials is not None:
         sides.append(Side(i.financials, "published_date", FINANCIAL_VALUES, "published_date"))
@@ -97,8 +90,8 @@ def time_series_panel(i: Inputs, min_rows: int = 250, thresholds: Thresholds = T
 def proxy_inputs(p, flow_range: tuple[str, str | None] = ("1995-06-01", None)) -> Inputs:
     """Inputs derived from the test tables (``sources.proxy.Proxy``)."""
     return Inputs(
-        bars=p.bars().join(small(p.markets()), "scode", "left"), symbols=p.symbols(),
+        bars=p.bars().join(p.markets(), "scode", "left"), symbols=p.symbols(),
         topix=L.topix_features(p.index_topix()), n225=L.n225_features(p.index_n225()),
-        flows=L.flow_features(L.investor_types(p.raw, "1900-01-01"), *flow_range),
+        flows=L.flow_features(L.investor_types(p.raw, "1900-01-01"), *flow_range, until=p.bars().select("date")),
         financials=p.financials(), margin=L.available_after(p.margin()).drop("date"), shorts=p.shorts(),
         sector_return=sector_index(p.bars().select("scode", "date", "close"), p.symbols()))

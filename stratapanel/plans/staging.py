@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A fresh place for a written table in the shared folder; the folder may be any path or address Spark can write."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     sc = df.sparkSession.sparkContext

@@ -91,10 +91,10 @@ def investor_types(read: Reader, start: str = START) -> DataFrame:
         F.sum("FrgnBuy").alias("Foreign_Net_Buy"), F.sum("IndBuy").alias("Individual_Net_Buy"))
 
 
-def flow_features(flows: DataFrame, start: str = START, end: str | None = None) -> DataFrame:
-    """Investor-flow columns on a gap-free calendar; one row per day."""
+def flow_features(flows: DataFrame, start: str = START, end: str | None = None, until: DataFrame | None = None) -> DataFrame:
+    """Investor-flow columns on a gap-free calendar, which goes on to the last day of ``until``; one row per day."""
     w = Window.orderBy("date")
-    d = densify(flows.withColumnRenamed("PubDate", "date"), "date", ["Foreign_Net_Buy", "Individual_Net_Buy"], start, end)
+    d = densify(flows.withColumnRenamed("PubDate", "date"), "date", ["Foreign_Net_Buy", "Individual_Net_Buy"], start, end, until)
     z = {}
     for n in (60, 250):
         for kind, x in (("Foreign", "Foreign_Net_Buy"), ("Individual", "Individual_Net_Buy")):

@@ -21,8 +21,8 @@ def write_panel(df: DataFrame, path: str, ts: str = "date", mode: str = "overwri
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Small report as CSV with a header."""
-    df.coalesce(1).write.mode(mode).csv(path, header=True)
+    """Report as CSV with headers: one file where it is small, split by size where it is not."""
+    df.hint("rebalance").write.mode(mode).csv(path, header=True)
 
 
 def feature_names(df: DataFrame, not_features: list[str]) -> list[str]:

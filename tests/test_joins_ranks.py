@@ -20,7 +20,7 @@ def frames(spark):
 
 def test_asof_exact_before_none_and_repeated_key(spark):
     left, right = frames(spark)
-    for kw in ({}, {"left_unique": True}, {"block": "week"}, {"bounded": True}):
+    for kw in ({}, {"left_unique": True}, {"block": "week"}):
         out = asof_join(left, right, ["k"], "d", "t", ["v"], tie=["tie"], keep_right_ts="pub", **kw)
         got = {(r.k, r.d): (r.v, r.pub) for r in out.collect()}
         assert got[("A", day(0))] == (None, None) and got[("B", day(3))] == (None, None)
@@ -57,17 +57,35 @@ def skewed(spark, n=4000):
 def test_split_ranks_on_hot_group_and_hot_value(spark):
     pdf, df = skewed(spark)
     want = pdf.groupby("g")["x"].rank(method="average")
-    for windowed, spacing in ((True, 0), (False, 10), (False, 100_000)):
-        got = K.average_ranks(df, ["x"], ["g"], windowed=windowed, spacing=spacing).select("i", "x__rank").toPandas().set_index("i").sort_index()
+    for spacing in (3, 10, 100_000):
+        got = K.average_ranks(df, ["x"], ["g"], spacing).select("i", "x__rank").toPandas().set_index("i").sort_index()
         assert np.allclose(got["x__rank"].astype(float), want, equal_nan=True)
 
 
 def test_global_rank_without_group(spark):
     pdf, df = skewed(spark)
-    got = K.average_ranks(df, ["x"], [], windowed=False, spacing=20).select("i", "x__rank").toPandas().set_index("i").sort_index()
+    got = K.average_ranks(df, ["x"], [], 20).select("i", "x__rank").toPandas().set_index("i").sort_index()
     assert np.allclose(got["x__rank"].astype(float), pdf["x"].rank(), equal_nan=True)
 
 
+def test_ranks_of_extreme_and_clustered_values(spark):
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(size=300), 1 + rng.random(300) * 1e-12, [1.7e308, -1.7e308, 5e-324, 0.0, -0.0]]
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(x)), "x": x}))
+    got = K.average_ranks(df, ["x"], [], 10).select("i", "x__rank").toPandas().sort_values("i")["x__rank"].to_numpy()
+    assert np.allclose(got, pd.Series(x).rank().to_numpy())
+
+
+def test_building_rank_plans_starts_no_job(spark):
+    _, df = skewed(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans-only", "none may start")
+    K.average_ranks(df, ["x"], ["g"]), fill_group_median(df, ["x"], ["g"]), K.order_statistics(df, "x", ["g"], [0.5])
+    sector_z(df, ["x"], ["g"])
+    assert list(tracker.getJobIdsForGroup("plans-only")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_order_statistics_are_linear_quantiles(spark):
     pdf, df = skewed(spark)
     probs = [0.0, 0.05, 0.5, 0.9, 1.0]
@@ -86,17 +104,16 @@ def test_split_rank_never_sorts_a_whole_group(spark):
 def test_z_score_of_single_and_flat_groups(spark):
     df = spark.createDataFrame([(1, "s", 5.0), (2, "t", 3.0), (2, "t", 3.0), (3, "u", None), (3, "u", 1.0), (4, "v", 1.0), (4, "v", 3.0)],
                                "date int, sector33_code string, x double")
-    for windowed in (True, False):
-        got = sorted((r.date, r.x_sector_z) for r in sector_z(df, ["x"], windowed=windowed).where("date <> 3").collect())
-        assert got[:3] == [(1, 0.0), (2, 0.0), (2, 0.0)]
-        assert np.allclose([z for d, z in got if d == 4], [-0.70710678, 0.70710678])
+    got = sorted((r.date, r.x_sector_z) for r in sector_z(df, ["x"]).where("date <> 3").collect())
+    assert got[:3] == [(1, 0.0), (2, 0.0), (2, 0.0)]
+    assert np.allclose([z for d, z in got if d == 4], [-0.70710678, 0.70710678])
 
 
-def test_median_fill_forms_agree(spark):
+def test_median_fill(spark):
     pdf, df = skewed(spark)
-    a, b = (fill_group_median(df, ["x"], ["g"], windowed=w).toPandas().sort_values("i")["x"].to_numpy() for w in (True, False))
+    a = fill_group_median(df, ["x"], ["g"]).toPandas().sort_values("i")["x"].to_numpy()
     want = pdf["x"].fillna(pdf.groupby("g")["x"].transform("median")).to_numpy()
-    assert np.allclose(a, want) and np.allclose(b, want)
+    assert np.allclose(a, want)
 
 
 def test_gauss_rank_outside_universe_takes_last_score(spark):

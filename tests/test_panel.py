@@ -12,7 +12,7 @@ from stratapanel.plans import panel as P
 from stratapanel.sources import sinks, tables
 from stratapanel.sources.proxy import Proxy
 
-from .conftest import day
+from .conftest import day, series_df, values
 
 ROOT = "/root/testdata/sf0.001"
 CHECKED = ["daily_leaders", "signed_streak", "recursive_smoothing_short_blocks", "percent_rank_split_groups", "fill_sector_median_split_groups",
@@ -97,3 +97,24 @@ def test_jdbc_predicates_cover_every_date():
     con.execute("CREATE TABLE t AS SELECT DATE '2019-11-15' + i::INTEGER AS d FROM range(0, 200) r(i) UNION ALL SELECT NULL")
     parts = tables.month_predicates("d", "2020-01-01", "2020-03-31")
     assert sum(con.execute(f"SELECT count(*) FROM t WHERE {x}").fetchone()[0] for x in parts) == 201
+
+
+def test_volume_ratio_of_a_day_without_volume(spark):
+    from stratapanel.operators.features import feature_set
+    vol = [10.0, 20.0, 30.0, 40.0, 50.0, 0.0] + [0.0] * 5
+    rows = [("A", day(i), 1.0, 1.0, 1.0, 1.0, v, v) for i, v in enumerate(vol)]
+    df = spark.createDataFrame(rows, "scode string, date date, open double, high double, low double, close double, volume double, volume_p double")
+    got = [r.Vol_Ratio_5d for r in feature_set("volume").apply(df).orderBy("date").select("Vol_Ratio_5d").collect()]
+    assert got[3] is None and got[4] == 50 / 30 and got[5] == 0.0 and got[9] is None   # a mean of 0 is null, a volume of 0 is 0
+
+
+def test_staged_path_keeps_the_folder(spark, monkeypatch):
+    from stratapanel.plans import staging
+    monkeypatch.setattr(staging, "shared_folder", lambda _: "s3a://bucket/checks/")
+    assert staging.staged_path(spark, "panel").startswith("s3a://bucket/checks/panel-")
+
+
+def test_smoothing_stands_over_gaps(spark):
+    from stratapanel.functions import recursion as rec
+    df = rec.smooth(series_df(spark, [10.0, 10.0, 10.0, None, 10.0, 10.0]), [rec.ema("y", "x", 3)], "scode", "date")
+    assert values(df, "y") == [None, None, 10.0, None, 10.0, 10.0]

@@ -60,7 +60,7 @@ def test_rolling_median(spark, n):
 def test_smoothing_equals_recursion(spark, block):
     v = [None, None] + list(np.random.default_rng(4).normal(5, 1, 60))
     n, alpha = 3, 0.99 if block == 7 else 0.3   # short blocks need a fast decay
-    df = rec.smooth(rec.with_blocks(series_df(spark, v), "scode", "date", block), [("y", "x", n, alpha)], "scode", "date", block)
+    df = rec.smooth(series_df(spark, v), [("y", "x", n, alpha)], "scode", "date", block)
     want, seen, y = [], [], None
     for x in v:
         if x is None:
