@@ -20,7 +20,7 @@ def sessions_between(df: DataFrame, sessions: DataFrame | None = None) -> DataFr
     days = (sessions if sessions is not None else df).select("date").where(F.col("date").isNotNull()).distinct()
     if sessions is not None:
         span = df.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-        days = days.join(span, F.col("date").between(F.col("_lo"), F.col("_hi"))).select("date")
+        days = days.join(F.broadcast(span), F.col("date").between(F.col("_lo"), F.col("_hi"))).select("date")
     return days.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
 
 
@@ -104,7 +104,7 @@ def fixed_holdout(date: Column, valid_start: str, test_start: str, embargo_days:
 
 def rows_of_folds(panel: DataFrame, folds: DataFrame) -> DataFrame:
     """Panel rows once per fold and side they belong to (fold tables are calendar-sized)."""
-    return panel.join(F.broadcast(folds.select("fold", "side", "date")), "date")
+    return panel.join(folds.select("fold", "side", "date"), "date")
 
 
 def check_disjoint(folds: DataFrame) -> None:
