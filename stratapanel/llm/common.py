@@ -59,8 +59,9 @@ def fresh(module: str) -> None:
 
 
 def trim() -> None:
-    """Gives memory that is free inside the worker back to the machine."""
+    """Gives memory that is free inside the worker back to the machine: idle workers stay beside later stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except OSError:
@@ -74,8 +75,10 @@ def task(module: str, function: str, **params) -> Callable[[Iterator[pa.RecordBa
     def run(batches):
         if root not in sys.path:
             sys.path.append(root)
-        importlib.import_module("stratapanel.llm.common").fresh(module)
-        return getattr(importlib.import_module(f"stratapanel.llm.{module}"), function)(batches, **params)
+        common = importlib.import_module("stratapanel.llm.common")
+        common.fresh(module)
+        yield from getattr(importlib.import_module(f"stratapanel.llm.{module}"), function)(batches, **params)
+        common.trim()
 
     return run
 
