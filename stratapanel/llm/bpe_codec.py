@@ -90,8 +90,9 @@ def segments(encoder: bpe.WordEncoder, text: bytes):
 
 
 def digested(batches, path: str, leaf: int):
+    from pyspark import TaskContext
     d = digests(path)
-    e, get = d.encoder, d.__getitem__
+    e, get, part = d.encoder, d.__getitem__, TaskContext.get().partitionId()
 
     def rows():
         at = 0
@@ -105,7 +106,7 @@ def digested(batches, path: str, leaf: int):
                 yield (doc_id, *digest(parts), None, None, None, None, None)
                 continue
             at += 1
-            row, seg = hashlib.sha256(b"%d %d " % (at, doc_id or 0) + text).hexdigest(), 0
+            row, seg = f"{part} {at}", 0  # the table is staged, so a row's number in its task is its own
             for k, (kind, s) in enumerate(found):
                 if kind != "long":
                     ids = np.array([e.bpe.special[s.decode()]], e.dtype).tobytes() if kind == "special" else e.encode_plain(s)

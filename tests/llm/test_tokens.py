@@ -40,6 +40,17 @@ def test_codec_equals_library(spark, table):
     assert bpe_codec.encode_decode(table.where("false"), WORD).count() == 0
 
 
+def test_codec_keeps_repeated_long_rows(spark, docs):
+    lib = Tokenizer.from_file(WORD)
+    text = "tioner" * 1500
+    table = spark.createDataFrame(spark.sparkContext.parallelize([(7, text), (7, text), (None, text), (0, text)], 4), "doc_id long, text string")
+    assert table.rdd.getNumPartitions() == 4
+    ids = lib.encode(text, add_special_tokens=False).ids
+    sha = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    got = sorted((tuple(r)[:3] for r in bpe_codec.encode_decode(table, WORD, leaf=1000).collect()), key=repr)
+    assert got == sorted([(i, len(ids), sha) for i in (7, 7, None, 0)], key=repr)
+
+
 def test_tree_concatenation_is_exact():
     rng, model = random.Random(8), bpe.merges(WORD)
     for _ in range(60):
