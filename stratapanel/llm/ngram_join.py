@@ -14,7 +14,8 @@ of the far end; linked members need no more pairs among themselves. Only pairs t
 follow, all of them, so no component is missed. Equal sets are one node throughout.
 
 Rows with a null id are returned with a null component and take no part; a null or empty text, or one without words, is
-an empty set, linked with nothing. Repeated rows of an id are returned each. Texts of any length are processed whole.
+an empty set, linked with nothing. Repeated rows of an id are returned each, by their own text: a node is a set, named by
+a 64-bit hash of its digest, not an id, so two texts of one id are two nodes. Texts of any length are processed whole.
 """
 
 from __future__ import annotations
@@ -197,9 +198,22 @@ def verified(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.bool_())], schema=LINKS)
 
 
+def digested(batches, width: int):
+    """All columns of the rows, and the digest of each text's set, empty for an empty set."""
+    for b in batches:
+        found = [shingles(text, width) for text, in texts([b])]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in found], pa.binary())],
+                                         names=[*b.schema.names, "__digest"])
+
+
 def join(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``: documents link when their sets' Jaccard similarity is
     at least ``num / den``; the component is the smallest id that links reach."""
+    return linked(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The rows of ``join`` with the digest of each row's set and the label of its component of sets."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(32_000, 4 * n)
@@ -208,12 +222,13 @@ def join(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFra
     lists = back.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(task("ngram_join", "listed", num=num, den=den), LISTED_SQL)
     table = staged(lists, "shingles", ["kind"])
     members = table.where("kind = 0").select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
-    nodes = members.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    nodes = members.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    nodes = nodes.withColumn("node", F.xxhash64("digest"))
     sets = (table.where("kind = 1").groupBy("digest").agg(F.first(F.struct("n", "parts", "first", "prefix", "tokens")).alias("s"))
-            .join(nodes, "digest").select("node", "s.*"))
+            .join(nodes, "digest").select("node", "least", "s.*"))
     sets = staged(sets, "lists")
-    entries = sets.select("node", "n", "parts", "first", F.posexplode("prefix").alias("k", "token")).select(
-        "token", "node", "n", (F.col("first") + F.col("k")).alias("pos"), "parts")
+    entries = sets.select("node", "least", "n", "parts", "first", F.posexplode("prefix").alias("k", "token")).select(
+        "token", "node", "least", "n", (F.col("first") + F.col("k")).alias("pos"), "parts")
     # tokens of one node pair nothing
     several = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     entries = staged(entries.join(several, "token"), "prefixes")
@@ -237,9 +252,9 @@ def join(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFra
     side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in columns]
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).alias("band")
     mates = entries.select("token", band, *side("b"))
-    stars = []
+    stars = []  # pivots go by id: the first of a group is mostly what its others were made from
     for pick, keys in ((F.min, ["token", "band"]), (F.max, ["token"])):
-        pivots = entries.select("token", band, *columns).groupBy(*keys).agg(pick(F.struct(*columns)).alias("p"), F.count("*").alias("c")).where("c > 1")
+        pivots = entries.select("token", band, "least", *columns).groupBy(*keys).agg(pick(F.struct("least", *columns)).alias("p"), F.count("*").alias("c")).where("c > 1")
         pivots = pivots.select(*keys, *[F.col(f"p.{c}").alias(f"a_{c}") for c in columns])
         stars.append(mates.join(pivots, keys).where("a_node <> b_node"))
     tried = check(fitting(stars[0].select(*[f"{p}_{c}" for p in "ab" for c in columns]).union(stars[1].select(*[f"{p}_{c}" for p in "ab" for c in columns]))))
@@ -254,16 +269,30 @@ def join(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFra
     late = check(fitting(cross).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     more = late.where("linked").select("a", "b")
     label = components(links.union(more)) if more.limit(1).count() else label
-    out = members.join(nodes, "digest", "left").join(label, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the smallest id of their component; of rows that repeat an id
-    and a text one stays. Rows without an id stay."""
-    found = staged(join(docs, **params).select("doc_id", "component_id"), "components")
-    gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    # only sets that have links meet: a component's smallest id
+    grouped = label.join(nodes, "node")
+    grouped = grouped.select("digest", "component").join(grouped.groupBy("component").agg(F.min("least").alias("smallest")), "component")
+    out = members.join(nodes.drop("node"), "digest", "left").join(grouped, "digest", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "least", "doc_id")).alias("component_id"),
+                      "digest", F.col("component").alias("label"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the smallest id of their component; one row of each component
+    stays. The row's own text decides where an id repeats; of rows without words that repeat an id and a text one stays.
+    Rows without an id stay."""
+    found = staged(linked(docs, width, num, den).drop("n_shingles"), "components")
     again = staged(found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "again")
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    once = left.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    return once.union(left.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    repeats = F.col("doc_id") == F.col("__again")
+    once = docs.join(again, repeats, "left_anti").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    # of rows that repeat an id: a set that is its component's smallest id, and the smallest such set
+    stays = (found.join(again, repeats, "left_semi").where("digest is not null and component_id = doc_id")
+             .groupBy("doc_id", F.coalesce(F.col("label").cast("string"), F.hex("digest")).alias("label")).agg(F.min("digest").alias("__stays")).select(F.col("doc_id").alias("__id"), "__stays"))
+    stays = staged(stays, "stays")
+    several = docs.join(again, repeats, "left_semi").dropDuplicates(["doc_id", "text"])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    several = staged(several.mapInArrow(task("ngram_join", "digested", width=width), fields + ", __digest binary"), "several")
+    empty = several.where(F.length("__digest") == 0)
+    chosen = (several.join(stays, (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__stays")), "left_semi").dropDuplicates(["doc_id", "__digest"]))
+    return once.union(empty.union(chosen).drop("__digest"))

@@ -62,6 +62,18 @@ def test_join_equals_brute_force(spark, docs, flush, monkeypatch):
     assert ngram_join.join(docs(rows).where("false")).count() == 0
 
 
+def test_repeated_ids_go_by_their_own_text(spark, docs):
+    a, b, c = (prose(900 + i, 200) for i in range(3))
+    near = lambda t: edited(t, 1, 1)
+    # id 20 has a text of its own and one near id 10's; its texts must not link 10 with 30 either
+    rows = [(10, a), (20, near(a)), (20, b), (30, near(b)), (30, c), (40, c), (50, prose(990, 200)), (50, edited(prose(990, 200), 2, 1)), (60, ""), (60, " ")]
+    kept = ngram_join.keep_one(docs(rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id != 50) == sorted([(10, a), (20, b), (30, c), (60, ""), (60, " ")])
+    assert sum(r.doc_id == 50 for r in kept) == 1
+    got = collections.Counter((r.doc_id, r.component_id) for r in ngram_join.join(docs(rows)).collect())
+    assert got == collections.Counter([(10, 10), (20, 10), (20, 20), (30, 20), (30, 30), (40, 30), (50, 50), (50, 50), (60, 60), (60, 60)])
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(40)] + [(7, 7), (None, 3)]
