@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a zstandard dictionary of raw content: whole texts of a bounded, documented sample of its labelled rows
-(``dict_bytes`` per language, drawn by hash of the id). Texts are lower-cased and digits, signs and white space of ASCII
+Each language has a zstandard dictionary of raw content: texts of a bounded, documented sample of its labelled rows
+(``dict_bytes`` per language, drawn by hash of the id; see ``sample`` for languages of only long or short texts). Texts are lower-cased and digits, signs and white space of ASCII
 become single blanks, so capitals and tables say nothing. A whole text is cut into blocks and every block is compressed
 with every dictionary; the language with the smallest total wins. The rejection flag marks narrow margins between the best two.
 
@@ -25,27 +25,40 @@ from .common import flushed, fold, task, texts
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()),
                     ("margin", pa.float64()), ("rejected", pa.bool_())])
-DICT_BYTES, SALTS, BLOCK = 98_304, 32, 4096
+DICT_BYTES, SALTS, BLOCK, SPREAD = 98_304, 32, 4096, 4
 _NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _BLANK = bytes.maketrans(_NO_LETTERS, b" " * len(_NO_LETTERS))
 LETTER = regex.compile(r"\p{L}")
 
 
 def sample(docs: DataFrame, train: Column, dict_bytes: int) -> dict[str, bytes]:
-    """Whole texts of each language in the order of their ids' hashes, as far as ``dict_bytes`` go; a text of more than an
-    eighth of them is not taken, so that no single document makes a language. Chosen in salted parts, then overall."""
-    rows = (docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.octet_length("text").alias("__n"), "text")
-            .where(f"__n between 64 and {dict_bytes // 8}")
-            .withColumn("__h", F.xxhash64("doc_id", F.lit(7))).withColumn("__salt", F.pmod("__h", F.lit(SALTS))).drop("text"))
+    """Texts of each language in the order of their ids' hashes, as far as ``dict_bytes`` go. No document gives more than an
+    eighth of them, so that none makes a language alone. Whole texts of 64 bytes up to that come first; what they leave open
+    is filled with ``SPREAD`` blocks of each longer text, then with shorter texts. Chosen in salted parts, then overall."""
+    most = dict_bytes // 8
+    size = F.octet_length("text")
+    labelled = docs.where(train & F.col("lang").isNotNull() & (size > 0)).select(
+        "doc_id", "lang", "text", F.xxhash64("text").alias("__t"), size.alias("__size"))
+    rows = labelled.drop("text").distinct()  # a repeated row counts once
+    rows = (rows.withColumn("__tier", F.when(F.col("__size") > most, 1).when(F.col("__size") < 64, 2).otherwise(0))
+            .withColumn("__n", F.least("__size", F.lit(most)))
+            .withColumn("__h", F.xxhash64("doc_id", F.lit(7))).withColumn("__salt", F.pmod("__h", F.lit(SALTS))))
     for keys in (["lang", "__salt"], ["lang"]):
-        w = Window.partitionBy(*keys).orderBy("__h", "doc_id", "__n").rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*keys).orderBy("__tier", "__h", "doc_id", "__size", "__t").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("__sum", F.sum("__n").over(w)).where(F.col("__sum") <= dict_bytes)
-    ids = F.broadcast(rows.select("doc_id", "__h").distinct())  # at most dict_bytes / 64 ids for each language
-    found = docs.where(train).select("doc_id", "lang", "text").join(ids, "doc_id").select("lang", "__h", "text").distinct().collect()
+    chosen = F.broadcast(rows.select(*[F.col(c).alias(f"{c}_") for c in ("doc_id", "lang", "__t", "__size")], "__h", "__tier"))  # at most dict_bytes rows a language
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_"))
+    for c in ("lang", "__t", "__size"):
+        same = same & (F.col(c) == F.col(f"{c}_"))
+    block = most // SPREAD
+    body = F.col("text").cast("binary")
+    cut = [F.substring(body, (F.lit(1) + F.floor((F.col("__size") - block) * k / (SPREAD - 1))).cast("int"), F.lit(block)) for k in range(SPREAD)]
+    body = F.when(F.col("__tier") == 1, F.concat(*cut)).otherwise(body)
+    found = labelled.join(chosen, same).select("lang", "__tier", "__h", body.alias("body")).distinct().collect()
     out: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["lang"] or "", -r["__h"], r["text"] or "")):
-        if r["lang"] is not None and r["text"]:
-            out.setdefault(r["lang"], []).append(normal(r["text"].encode()))
+    for r in sorted(found, key=lambda r: (r["lang"], -r["__tier"], -r["__h"], r["body"])):
+        blocks = [r["body"][k:k + block] for k in range(0, len(r["body"]), block)] if r["__tier"] == 1 else [r["body"]]
+        out.setdefault(r["lang"], []).extend(normal(b.decode("utf-8", "ignore").encode()) for b in blocks)
     return {k: b"\n".join(v)[-dict_bytes:] for k, v in out.items()}
 
 

@@ -40,6 +40,23 @@ def test_language(spark, docs):
     assert language_id.identify(table.where("false"), fold(4) != 2, fold(4) == 2).count() == 0
 
 
+def test_language_of_long_or_short_texts_is_learned(spark, docs):
+    small = {"aa": "the of and to in is that for with", "bb": "der die und das nicht mit ein von den", "cc": "le la de et les des une dans pour"}
+    size = {"aa": (3000, 6000), "bb": (2, 8), "cc": (20, 60)}
+    rng = random.Random(5)
+    draw = lambda lang, lo, hi: " ".join(rng.choice(small[lang].split()) for _ in range(rng.randint(lo, hi)))
+    train = [(i, draw(lang, *size[lang]), lang) for i, lang in enumerate(sorted(small) * 40)]
+    assert all(len(t) > 98_304 // 64 for _, t, lang in train if lang == "aa") and all(len(t) < 64 for _, t, lang in train if lang == "bb")
+    table = docs([(i, t, lang, "s") for i, t, lang in train] + [(1000 + i, draw(lang, 30, 40), lang, "s") for i, lang in enumerate(sorted(small) * 10)])
+    got = language_id.identify(table, F.col("doc_id") < 1000, F.col("doc_id") >= 1000, dict_bytes=12_288).where("held_out").collect()
+    assert all(r.lang_pred == sorted(small)[(r.doc_id - 1000) % 3] for r in got) and len(got) == 30
+    # a repeated id brings its sampled text only
+    many = docs([(1, f"{draw('aa', 20, 30)} {k}", "aa", "s") for k in range(300)])
+    model = language_id.sample(many, F.lit(True), 1024)
+    assert 0 < len(model["aa"]) <= 1024
+    assert set(language_id.sample(docs([(None, "x" * 100, "zz", "s")]), F.lit(True), 1024)) == {"zz"}
+
+
 def test_language_accuracy_on_tables(spark, sf):
     got = queries.op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
     r = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
