@@ -9,8 +9,9 @@ longer contexts (v, u) and, relative to the context, of the ranks of w among the
 smoothed probabilities quantised to a byte. A query finds w among v's successors, then that rank below (v, u), by successor
 search in the decoded blocks of a level; what is missing backs off with its context's weight.
 
-Words beyond the ``vocabulary`` most frequent (a fixed bound of what is broadcast) are one class as u and w; as v they stay
-themselves, so counts of single words are exact. A word that makes up over 1 / ``HOT`` of all tokens would be too much for a
+The ``vocabulary`` most frequent words (a fixed bound of what is broadcast) travel by number, all others by their hash, so
+every word stays itself as u, v and w. What a bucket does not know is how often such a w occurs in all: a prediction is linear
+in that, so its two terms go on to the bucket of w, where the vocabulary's counts close it. A word that makes up over 1 / ``HOT`` of all tokens would be too much for a
 bucket: its occurrences are spread by w, and the model uses only the one word there; so does a document's start.
 
 Null text is empty: one end token. Null and repeated ids keep their rows. Without training rows every count is 0.
@@ -36,8 +37,8 @@ ID = np.uint64((1 << 21) - 1)
 COUNTS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("ends", pa.int64())])
 COUNTS_SQL = "bucket int, words binary, counts binary, n long, ends long"
 EVENTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("doc_id", pa.int64()), ("idx", pa.int32()), ("held_out", pa.bool_()), ("n", pa.int64()),
-                    ("words", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
-EVENTS_SQL = "bucket int, chunk long, doc_id long, idx int, held_out boolean, n long, words binary, counts binary, body binary"
+                    ("words", pa.binary()), ("counts", pa.binary()), ("body", pa.binary()), ("rare", pa.binary())])
+EVENTS_SQL = "bucket int, chunk long, doc_id long, idx int, held_out boolean, n long, words binary, counts binary, body binary, rare binary"
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
                  ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -116,7 +117,8 @@ START_HASH = np.uint64(0x5BD1E9955BD1E995)
 
 
 def occurrences(batches, buckets: int, head: bytes, hot: bytes):
-    """Rows of documents, and for each chunk and bucket the packed occurrences (u, w, training, document) by word v."""
+    """Rows of documents, and for each chunk and bucket the packed occurrences (u, w, training, document) by word v; with them
+    the hashes of those u, then of those w, that have no number."""
     from pyspark import TaskContext
     base, seq, size = TaskContext.get().partitionId() << 32, 0, 0
     known = np.frombuffer(head, np.uint64)
@@ -144,14 +146,17 @@ def occurrences(batches, buckets: int, head: bytes, hot: bytes):
         before[begin] = START
         after = np.r_[ident[1:], np.uint64(END)]
         after[begin[1:] - 1] = END
+        u_hash, w_hash = np.r_[START_HASH, v[:-1]], np.r_[v[1:], START_HASH]  # read only where a word has no number
         doc = np.repeat(np.arange(len(kept), dtype=np.uint64), lengths)
         train = np.repeat(np.array([not d[1] for d in docs]), lengths).astype(np.uint64)
         event = before << np.uint64(37) | after << np.uint64(16) | train << np.uint64(15) | doc
         bucket = buckets_of(mixed(v), buckets)
         far = np.isin(v, spread) | (v == START_HASH)
-        bucket[far] = buckets_of(mixed(v[far] + mixed(after[far] + np.uint64(1))), buckets)
+        bucket[far] = buckets_of(mixed(v[far] + mixed(np.where(after[far] == UNKNOWN, w_hash[far], after[far] + np.uint64(1)))), buckets)
         order = np.lexsort((event, v, bucket))
         v, event, bucket = v[order], event[order], bucket[order]
+        no_u, no_w = np.flatnonzero(before[order] == UNKNOWN), np.flatnonzero(after[order] == UNKNOWN)
+        u_hash, w_hash = u_hash[order[no_u]], w_hash[order[no_w]]
         new = np.r_[True, (v[1:] != v[:-1]) | (bucket[1:] != bucket[:-1])]
         head_at = np.flatnonzero(new)
         n = np.diff(np.r_[head_at, len(v)]).astype("<u4")
@@ -161,8 +166,9 @@ def occurrences(batches, buckets: int, head: bytes, hot: bytes):
         for i in range(0, len(got), 64):
             spans = [(k, edge[k], edge[k + 1], head_at[edge[k]], head_at[edge[k + 1]] if edge[k + 1] < len(head_at) else len(v)) for k in got[i:i + 64]]
             planes = [np.ascontiguousarray(event[x:y].astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for _, _, _, x, y in spans]
+            rare = [b"".join(h[slice(*np.searchsorted(no, (x, y)))].tobytes() for no, h in ((no_u, u_hash), (no_w, w_hash))) for _, _, _, x, y in spans]
             yield record(EVENTS, bucket=[s[0] for s in spans], chunk=[base + seq] * len(spans), words=[v[head_at[a:b]].tobytes() for _, a, b, _, _ in spans],
-                         counts=[n[a:b].tobytes() for _, a, b, _, _ in spans], body=[pack.compress(p) for p in planes])
+                         counts=[n[a:b].tobytes() for _, a, b, _, _ in spans], body=[pack.compress(p) for p in planes], rare=rare)
 
     for doc_id, held_out, text in texts(batches, "doc_id", "held_out"):
         docs.append((doc_id, held_out))
@@ -219,11 +225,12 @@ def position(level: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """The n-grams of a bucket's words v (0 ... words - 1) from training occurrences (v, u, w)."""
+    """The n-grams of a bucket's words v (0 ... words - 1) from training occurrences (v, u, w); u and w number into ``prior``,
+    which is 0 where only the bucket of w knows it."""
 
     def __init__(self, words: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, prior: np.ndarray):
         self.file = tempfile.TemporaryFile()
-        span = np.int64(1 << 21)
+        self.span = span = np.int64(len(prior))
         pairs, pair_of, pair_n = np.unique(v * span + w, return_inverse=True, return_counts=True)
         pair_of = pair_of.astype(np.int32)
         longer, longer_of, longer_n = np.unique(v * span + u, return_inverse=True, return_counts=True)
@@ -258,7 +265,7 @@ class Trie:
     def block(self, levels, v, u, w, log_prior) -> np.ndarray:
         p2, p3, back, back3 = self.codes
         pairs, longer, tri, begin, offset = levels
-        span = np.int64(1 << 21)
+        span = self.span
         at = position(pairs, v * span + w)
         found = at >= 0
         out = opened(back[v]) + log_prior[w]
@@ -274,14 +281,65 @@ class Trie:
         out[got] = opened(p3[third[third >= 0]])
         return out
 
+    def weights(self, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Logs of the weight of a word's own probability in the predictions after (v, u)."""
+        _, _, back, back3 = self.codes
+        ctx = position(self.longer.decode(), v * self.span + u)
+        return opened(back[v]) + np.where(ctx >= 0, opened(back3[ctx]) if len(back3) else 0.0, 0.0)
+
     def close(self) -> None:
         self.file.close()
 
 
-def summed(batches, prior: bytes, hot: bytes, hot_counts: bytes, starts: int):
-    """Of each bucket: counts, trie and scores; sums for each chunk's documents go back. Rows of documents pass."""
-    p1 = np.frombuffer(prior, np.float64)
-    log1 = np.log10(p1)
+def deferred(h: np.ndarray, held: np.ndarray, weight: np.ndarray, chunk: np.ndarray, doc: np.ndarray, buckets: int):
+    """Rows of predictions held + weight * p1(h) for the buckets of their words h."""
+    bucket = buckets_of(h, buckets)
+    order = np.lexsort((chunk, bucket))
+    bucket = bucket[order]
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(h)]
+    for i in range(0, len(edges) - 1, 64):
+        spans = [order[a:b] for a, b in zip(edges[i:i + 64], edges[i + 1:i + 65])]
+        yield record(EVENTS, bucket=[bucket[a] for a in edges[i:i + 64][:len(spans)]], words=[h[s].tobytes() for s in spans],
+                     counts=[chunk[s].astype("<i8").tobytes() + doc[s].astype("<u2").tobytes() for s in spans],
+                     body=[held[s].astype("<f4").tobytes() + weight[s].astype("<f4").tobytes() for s in spans])
+
+
+def closed(batches, share: float):
+    """Of each bucket: the vocabulary's counts (idx -1) close the predictions that were handed on; sums go to the chunks."""
+    for bucket, rows in runs(batches, "bucket"):
+        names = [np.frombuffer(r["words"], np.uint64) for r in rows if r["idx"] == -1]
+        counts = [np.frombuffer(r["counts"], "<u8") for r in rows if r["idx"] == -1]
+        rows = [r for r in rows if r["idx"] is None]
+        if not rows:
+            continue
+        h = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
+        count = np.zeros(len(h))
+        if names and len(names[0]):  # a bucket's words stand in one row, sorted
+            at = np.minimum(np.searchsorted(names[0], h), len(names[0]) - 1)
+            count = np.where(names[0][at] == h, counts[0][at], 0).astype(np.float64)
+        n = [len(r["words"]) // 8 for r in rows]
+        chunk = np.concatenate([np.frombuffer(r["counts"][:8 * m], "<i8") for r, m in zip(rows, n)])
+        doc = np.concatenate([np.frombuffer(r["counts"][8 * m:], "<u2") for r, m in zip(rows, n)])
+        held = np.concatenate([np.frombuffer(r["body"][:4 * m], "<f4") for r, m in zip(rows, n)]).astype(np.float64)
+        weight = np.concatenate([np.frombuffer(r["body"][4 * m:], "<f4") for r, m in zip(rows, n)])
+        rows.clear()
+        logs = np.log10(held + weight * ((count + 1) / share))
+        order = np.lexsort((doc, chunk))
+        chunk, doc, logs = chunk[order], doc[order], logs[order]
+        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for i in range(0, len(edges) - 1, 64):
+            out = []
+            for a, b in zip(edges[i:i + 64], edges[i + 1:i + 65]):
+                ids, of = np.unique(doc[a:b], return_inverse=True)
+                out.append((chunk[a], ids.astype("<u2").tobytes(), bytes(4 * len(ids)), bytes(8 * len(ids)) + np.bincount(of, logs[a:b]).astype("<f4").tobytes()))
+            to, ids, got, sums = zip(*out)
+            yield record(EVENTS, bucket=[bucket] * len(to), chunk=to, words=ids, counts=got, body=sums)
+
+
+def summed(batches, prior: bytes, hot: bytes, hot_counts: bytes, starts: int, buckets: int):
+    """Of each bucket: counts, trie and scores; sums for each chunk's documents go back, predictions of a word without a number
+    on to its bucket. Rows of documents pass."""
+    numbers = len(prior) // 8
     spread, spread_n = np.frombuffer(hot, np.uint64), np.frombuffer(hot_counts, np.int64)
     unpack = zstandard.ZstdDecompressor()
     for bucket, held in runs(batches, "bucket"):
@@ -301,6 +359,16 @@ def summed(batches, prior: bytes, hot: bytes, hot_counts: bytes, starts: int):
         train, doc = (event >> np.uint64(15) & np.uint64(1)).astype(bool), (event & np.uint64(0x7FFF)).astype(np.uint16)
         n = [int(np.frombuffer(r["counts"], "<u4").sum()) for r in rows]
         chunks = [r["chunk"] for r in rows]
+        # words without a number get one here
+        cut = 8 * np.add.reduceat(u == UNKNOWN, np.r_[0, np.cumsum(n)[:-1]])
+        no_u, no_w = np.flatnonzero(u == UNKNOWN), np.flatnonzero(w == UNKNOWN)
+        rare = np.frombuffer(b"".join(r["rare"][:c] for r, c in zip(rows, cut)) + b"".join(r["rare"][c:] for r, c in zip(rows, cut)), np.uint64)
+        unlisted, of = np.unique(rare, return_inverse=True)
+        u[no_u], w[no_w] = numbers + of[:len(no_u)], numbers + of[len(no_u):]
+        p1 = np.r_[np.frombuffer(prior, np.float64), np.zeros(len(unlisted))]
+        with np.errstate(divide="ignore"):
+            log1 = np.log10(p1)
+        del rare, of, no_u
         rows.clear()
         del event, word, times
         # words that are spread over buckets have their counts from the vocabulary; the others are whole here
@@ -316,14 +384,20 @@ def summed(batches, prior: bytes, hot: bytes, hot_counts: bytes, starts: int):
         trie = Trie(len(names), v[fit].astype(np.int64), u[fit], w[fit], p1)
         del fit
         ask = np.flatnonzero(~far[v])
-        score[ask] = trie.score(v[ask], u[ask], w[ask], log1)
-        trie.close()
+        score[ask] = trie.score(v[ask].astype(np.int64), u[ask], w[ask], log1)
         wide = np.flatnonzero(far[v])
-        if len(wide):
-            key = v[wide] * np.int64(1 << 21) + w[wide]
-            kinds, of = np.unique(key, return_inverse=True)
-            c = np.bincount(of, train[wide].astype(np.float64), len(kinds))
-            score[wide] = np.log10((c[of] + MU * p1[w[wide]]) / (count[v[wide]] + MU))
+        with np.errstate(divide="ignore"):
+            if len(wide):
+                key = v[wide] * np.int64(len(p1)) + w[wide]
+                kinds, of = np.unique(key, return_inverse=True)
+                c = np.bincount(of, train[wide].astype(np.float64), len(kinds))
+                score[wide] = np.log10((c[of] + MU * p1[w[wide]]) / (count[v[wide]] + MU))
+        if len(no_w):
+            near, weight = ~far[v[no_w]], MU / (count[v[no_w]] + MU)
+            weight[near] = 10 ** trie.weights(v[no_w[near]].astype(np.int64), u[no_w[near]])
+            yield from deferred(unlisted[w[no_w] - numbers], 10.0 ** score[no_w], weight, np.repeat(np.array(chunks), n)[no_w], doc[no_w], buckets)
+            score[no_w] = 0
+        trie.close()
         at, out = 0, []
         for chunk, m in zip(chunks, n):
             d, name = doc[at:at + m], v[at:at + m]
@@ -379,17 +453,20 @@ def score(docs: DataFrame, held_out: Column, vocabulary: int = 1_500_000) -> Dat
     count = np.concatenate([np.frombuffer(r["counts"], "<u8") for r in few]).astype(np.int64) if few else np.zeros(0, np.int64)
     order = np.argsort(head)
     head, count = head[order], count[order]
-    rare = kinds - (ends > 0) - len(head)
     prior = np.empty(len(head) + FIRST)
-    prior[UNKNOWN] = (tokens - ends - count.sum() + rare + 1) / (tokens + kinds + 1) / (rare + 1)
-    prior[START] = prior[UNKNOWN]
+    prior[[UNKNOWN, START]] = 0  # words without a number have their own
     prior[END] = (ends + 1) / (tokens + kinds + 1)
     prior[FIRST:] = (count + 1) / (tokens + kinds + 1)
     wide = count * HOT > max(tokens, HOT * 4)
     hot = head[wide].tobytes()
     events = table.mapInArrow(task("lm_score", "occurrences", buckets=n, head=head.tobytes(), hot=hot), EVENTS_SQL)
-    sums = events.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        task("lm_score", "summed", prior=prior.tobytes(), hot=hot, hot_counts=count[wide].tobytes(), starts=ends), EVENTS_SQL)
+    sums = staged(events.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        task("lm_score", "summed", prior=prior.tobytes(), hot=hot, hot_counts=count[wide].tobytes(), starts=ends, buckets=n), EVENTS_SQL), "sums")
+    known = counted.where("words is not null").select(*[F.col(f.name) if f.name in ("bucket", "words", "counts") else
+                                                        (F.lit(-1) if f.name == "idx" else F.lit(None)).cast(f.dataType).alias(f.name) for f in sums.schema])
+    late = sums.where("chunk is null").union(known).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        task("lm_score", "closed", share=float(tokens + kinds + 1)), EVENTS_SQL)
+    sums = sums.where("chunk is not null").union(late)
     return sums.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(
         task("lm_score", "assembled", tokens=tokens, kinds=kinds, ends=ends),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -161,6 +161,17 @@ def test_scores(spark, docs, vocabulary, flush, monkeypatch):
     assert (untrained.n_known, untrained.train_tokens) == (0, 0) and math.isclose(untrained.base_score, 0.0, abs_tol=1e-12)
 
 
+def test_scores_do_not_depend_on_the_vocabulary(spark, docs):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(100 + i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 120)))) for i in range(150)] + [(900 + i, "never seen words " * 9) for i in range(20)] + EDGE
+    table, held = docs(rows), (fold(7) == 2) | F.col("doc_id").between(900, 919)
+    whole, small, none = ({(r.doc_id, r.n_tokens): r for r in lm_score.score(table, held, vocabulary=v).collect()} for v in (1_500_000, 20, 0))
+    for k, r in whole.items():
+        for s in (small[k], none[k]):
+            assert s[:-1] == r[:-1] and abs(s.score - r.score) < 0.05 * r.n_tokens + 0.01  # a code's step
+
+
 def test_trie_equals_plain_counts():
     rng = np.random.default_rng(2)
     n, words, ids = 4000, 12, 30
