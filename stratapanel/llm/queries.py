@@ -76,6 +76,12 @@ def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold
+    from .toxicity import score
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) != 2, fold(4) == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
