@@ -176,7 +176,7 @@ def repeats(docs: DataFrame, rows: DataFrame, broadcast: int = BROADCAST) -> tup
         return flags, texts_
     hashes = rows.select("a", "b").distinct().withColumn("seg", F.pmod(F.col("a"), F.lit(segments)))
     split = F.pmod(F.col("b"), F.lit(16))   # a segment's hashes meet copies of its bits in tasks of bounded size
-    copies = bits.select("seg", "bits", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long").alias("split"))
+    copies = bits.select("seg", "bits", F.explode(F.expr("sequence(0L, 15L)")).alias("split"))
     hit = hashes.withColumn("split", split).groupBy("seg", "split").cogroup(copies.groupBy("seg", "split")).applyInArrow(
         found_task(), "a long, b long")
     hit = staged(hit, "possible")

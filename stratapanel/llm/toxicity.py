@@ -213,7 +213,7 @@ class Lexicon(dict):
             return 0.0
         t, c = self.toxic, self.clean
         if own is not None:
-            a, b, t, c = a - own, b - (1 - own), t - own, c - (1 - own)
+            a, b, t, c = a - own, max(0.0, b - (1 - own)), t - own, c - (1 - own)   # a fixed word may be no learned stem
         if a <= 0 or (own and not a + b < SEED_DOCS + 1 and ratio(a, b, t + 1, c + 1) < self.least * 0.8):
             return 0.0
         return max(0.0, math.log((a + 0.25) / (t + 1) * (c + 1) / (b + 0.25)))
