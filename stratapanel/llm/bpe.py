@@ -32,6 +32,7 @@ class Merges:
         self.split_special = re.compile(b"(" + b"|".join(re.escape(s.encode()) for s in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
         self.vocab = spec["model"]["vocab"]
         self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
+        self._agree: dict[tuple[int, int], bool] = {}   # pairs of this file's token numbers
         self.width = 2 if max(self.strings) < 1 << 16 else 4
 
     def merge(self, piece: str) -> list[int]:
@@ -89,8 +90,6 @@ class Merges:
             self._agree[key] = self.part(text, bool(self.suffix) and self.strings[b].endswith(self.suffix)) == [a, b]
         return self._agree[key]
 
-    _agree: dict = {}
-
     def join(self, left: list[int], right: list[int], last: bool) -> list[int]:
         """Joins two exact encodings: re-encodes a window around the join, twice as wide each time, until it agrees with both sides."""
         if not left or not right:

@@ -116,3 +116,17 @@ def test_plan_holds_every_piece(seed):
 def test_queries_give_each_document(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert queries.op7_bpe_codec(spark, sf).count() == n == queries.op10_token_counts(spark, sf).count()
+
+
+def test_two_files_in_one_process_share_no_joins():
+    """A pair of numbers that agrees in one file may not in the other: joins of one must not be taken from the other's."""
+    a, b = (bpe.Merges(public_tokenizers.path(f)) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    rng = random.Random(9)
+    words = [w for w in a.vocab if w.isascii() and w.isalpha()]
+    both = [(x, y) for x, y in ((rng.choice(words), rng.choice(words)) for _ in range(4000))]
+    pairs = [(a.vocab[x], a.vocab[y]) for x, y in both]
+    before = [bpe.Merges(public_tokenizers.path("byte_bpe_50k.json")).agree(*p) if max(p) in b.strings and min(p) in b.strings else None for p in pairs[:300]]
+    for p in pairs[:300]:
+        a.agree(*p)
+    assert [b.agree(*p) if max(p) in b.strings and min(p) in b.strings else None for p in pairs[:300]] == before
+    assert a._agree is not b._agree and any(a.agree(*p) != v for p, v in zip(pairs, before) if v is not None)
