@@ -229,7 +229,7 @@ def cut(text: bytes, spans: list[tuple[int, int]] | None) -> tuple[bytes, int]:
 def rows_of(batches):
     for b in batches:
         text = b.column(b.schema.get_field_index("text")).cast(pa.binary())
-        for doc_id, t, s in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), text, b.column(b.schema.get_field_index("spans"))):
+        for doc_id, t, s in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), text, b.column(b.schema.get_field_index("__spans"))):
             t = t.as_py() or b""
             yield doc_id, t, *cut(t, s.as_py())
 
@@ -261,16 +261,16 @@ def with_spans(docs: DataFrame, depth: int = 200) -> DataFrame:
 
 def dedup_digest(docs: DataFrame, depth: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``."""
-    cutting = with_spans(docs.select("doc_id", "text"), depth).select("doc_id", "text", F.col("__spans").alias("spans"))
+    cutting = with_spans(docs.select("doc_id", "text"), depth).select("doc_id", "text", "__spans")
     return cutting.mapInArrow(task("suffix_dedup", "digested"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def replaced(batches):
     """Rows without the span column, with the text that is left and its length; the others stay as they are."""
     for b in batches:
-        schema = pa.schema([f for f in b.schema if f.name != "spans"])
+        schema = pa.schema([f for f in b.schema if f.name != "__spans"])
         at = [b.schema.get_field_index(f.name) for f in schema]
-        spans = b.column(b.schema.get_field_index("spans"))
+        spans = b.column(b.schema.get_field_index("__spans"))
         columns = {f.name: b.column(i) for f, i in zip(schema, at)}
         if spans.null_count < len(spans):
             text, sizes = [], []
@@ -291,5 +291,4 @@ def replaced(batches):
 def cut_repeats(docs: DataFrame, depth: int = 200) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose texts lost their repeated bytes (and the rest of a character cut in
     the middle); ``n_chars``, where there is one, follows."""
-    rows = with_spans(docs, depth).withColumnRenamed("__spans", "spans")
-    return rows.select(*docs.columns, "spans").mapInArrow(task("suffix_dedup", "replaced"), docs.schema)
+    return with_spans(docs, depth).select(*docs.columns, "__spans").mapInArrow(task("suffix_dedup", "replaced"), docs.schema)

@@ -156,3 +156,12 @@ def test_forest(spark):
     few = ann.search(table.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
     assert ann.search(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_cut_repeats_with_clashing_columns(spark):
+    """Columns of any name pass through, ``spans`` too."""
+    same = prose(5, 80)
+    rows = [(1, "ab" + same, "x", 7), (2, same + "cd", "y", 8), (3, None, None, None), (4, "", "z", 9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, spans string, a int")
+    got = {r.doc_id: tuple(r) for r in suffix_dedup.cut_repeats(table, depth=60).collect()}
+    assert got == {1: (1, "ab", "x", 7), 2: (2, "cd", "y", 8), 3: (3, None, None, None), 4: (4, "", "z", 9)}
