@@ -1,11 +1,16 @@
 """End-to-end panels, sinks, models and the flagship query."""
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratapanel.functions import rolling as R
 from stratapanel.functions import scalars as S
 from stratapanel.operators import audit as A
+from stratapanel.operators import domain as D
 from stratapanel.operators import models as M
 from stratapanel.operators import ranking as K
 from stratapanel.operators import splits as T
@@ -13,6 +18,7 @@ from stratapanel.operators.crosssection import sector_z
 from stratapanel.operators.universe import Thresholds
 from stratapanel.plans import master as MP
 from stratapanel.plans import panel as P
+from stratapanel.plans import training as J
 from stratapanel.plans.staging import checkpointed, staged_path
 from stratapanel.sources import sinks, tables
 from stratapanel.sources.proxy import Proxy
@@ -22,7 +28,7 @@ from .crosssection import LIMITS, UNI_CTES
 from .features import R0
 from .registry import query
 from .scans import flow_sql
-from .training import FS, axis, emb
+from .training import FIXED_PLAN, FIXED_ROWS, FS, SAMPLES, axis, emb, training_samples
 from .windows import z_sql
 
 
@@ -119,6 +125,54 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n"), F.count_distinct("scode").alias("stocks"))
 
 
+def _smooth(b):
+    return b.withColumn("mean_20", R.roll(F.avg, "close", 20)).select("scode", "date", "mean_20")
+
+
+@query("quarter_append", "S-13 U-10", q.with_(q.BARS) + f"""SELECT quarter, count(*) AS n, {q.r('sum(mean_20)', 2)} AS total, any_value(quarter < '1998Q3') AS kept FROM
+ (SELECT year(date) || 'Q' || quarter(date) AS quarter, {q.roll('avg', 'close', 20)} AS mean_20 FROM bars) GROUP BY quarter""")
+def _(spark, d):
+    """Written up to a day in the middle of a quarter, the rest appended: old quarters keep their files."""
+    b = checkpointed(px(spark, d).bars().select("scode", "date", "close"))
+    root = staged_path(spark, "append")
+    raw, out, cut = f"{root}/raw", f"{root}/out", "1998-08-12"
+    sinks.write_panel(b.where(F.col("date") < cut), raw)
+    sinks.write_panel(_smooth(b.where(F.col("date") < cut)), out)
+    files = lambda: spark.read.parquet(out).select("quarter", F.input_file_name().alias("f")).distinct().groupBy("quarter").agg(
+        F.sort_array(F.collect_list("f")).alias("files"))
+    before = checkpointed(files())
+    # the proxy trades about one day in five: the lookback covers 20 rows
+    sinks.append_period(b.where(F.col("date") >= cut), raw, out, _smooth, cut, 500)
+    same = files().join(before.withColumnRenamed("files", "old"), "quarter", "left")
+    kept = same.select("quarter", F.coalesce(F.col("files") == F.col("old"), F.lit(False)).alias("kept"))
+    g = spark.read.parquet(out).groupBy("quarter").agg(F.count(F.lit(1)).alias("n"), F.sum("mean_20").alias("total"))
+    return S.rounded(g.join(kept, "quarter"), {"total": 2})
+
+
+@query("jdbc_monthly_orders", "S-16", """SELECT date_trunc('month', o_orderdate)::DATE AS month, n_name AS nation, count(*) AS n, sum(o_totalprice)::DOUBLE AS total, min(o_orderkey) AS first_key
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 1000 GROUP BY 1, 2""".replace("sum(o_totalprice)::DOUBLE", q.r("sum(o_totalprice)", 2)))
+def _(spark, d):
+    """Tables written to a database and read back: orders by one task a month, the price filter done by the database."""
+    p = px(spark, d)
+    url, props = _database(spark)
+    tables.write_jdbc(p.table("nation").select("n_nationkey", "n_name"), url, "nation", props, "n_name VARCHAR(40)")
+    tables.write_jdbc(p.table("customer").select("c_custkey", "c_nationkey"), url, "customer", props)
+    tables.write_jdbc(p.table("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_totalprice"), url, "orders", props)
+    read = tables.jdbc_reader(spark, url, props, {"orders": tables.month_predicates('"o_orderdate"', "1995-01-01", "1998-08-01")})
+    o = read("orders").where(F.col("o_totalprice") > 1000)
+    j = o.join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    g = j.groupBy(F.trunc("o_orderdate", "month").alias("month"), F.rtrim("n_name").alias("nation")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"), F.min("o_orderkey").alias("first_key"))
+    return S.rounded(g, {"total": 2})
+
+
+def _database(spark):
+    """An in-memory database in this JVM, which ships with Spark; a server's address takes its place on a cluster."""
+    system = spark._jvm.java.lang.System
+    system.setProperty("derby.stream.error.file", os.path.join(tempfile.gettempdir(), f"derby-{os.getpid()}.log"))
+    return f"jdbc:derby:memory:orders{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
 @query("csv_report_roundtrip", "S-15", "SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1")
 def _(spark, d):
     out = staged_path(spark, "sink") + "/report"
@@ -163,6 +217,42 @@ def _(spark, d):
     return M.top_importances(M.importance_table(spark, _fitted(spark, d)[1], MODEL_FEATURES))
 
 
+def _job(spark, d, plan, folds):
+    """The training job on the candidates' samples, with features that they carry."""
+    s = training_samples(spark, d).withColumns({"dist": S.div("close", "open") - 1, "span": S.div("high", "low") - 1, "vol": F.log1p("volume"), "ret": F.col("score")}).drop("score")
+    rows = J.training_rows(s.where(F.col("target").isNotNull()), plan)
+    return s, J.train(rows, folds, JOB_FEATURES, "target", D.TAC, SMALL)
+
+
+JOB_FEATURES = ["dist", "span", "vol", "ret"]
+
+
+@query("training_job_phases", "M-1 M-2 T-7", FIXED_ROWS + " SELECT 0::INTEGER AS fold, phase, count(*) AS n, count(*) AS n_scored, true AS ic_in_range FROM scored WHERE target IS NOT NULL GROUP BY phase")
+def _(spark, d):
+    """Fit on the train phase; all three phases scored and measured."""
+    t = checkpointed(_job(spark, d, FIXED_PLAN, [0])[1].scored)
+    n = t.groupBy("fold", "phase").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"))
+    m = J.phase_metrics(t, "target").select("fold", "phase", (F.coalesce(F.abs("ic"), F.lit(0.0)) <= 1.0).alias("ic_in_range"))
+    return n.join(m, ["fold", "phase"])
+
+
+@query("training_job_ensemble", "M-2 M-3", SAMPLES + " SELECT count(*) AS rows_scored, 6::BIGINT AS models, true AS mean_in_range FROM samples")
+def _(spark, d):
+    """Six purged folds; every sample, known target or not, is scored by all six models."""
+    s, t = _job(spark, d, J.SplitPlan(), list(range(6)))
+    e = J.score_new(t, s.select("scode", "date", *JOB_FEATURES), JOB_FEATURES, ["scode", "date"])
+    return e.agg(F.count(F.lit(1)).alias("rows_scored"), F.min("n_models").alias("models"), (F.max(F.abs("score")) < 10.0).alias("mean_in_range"))
+
+
+@query("training_job_importance", "M-4 M-5", "SELECT unnest(['dist', 'span', 'vol', 'ret']) AS feature, 6::BIGINT AS folds, true AS average_in_range")
+def _(spark, d):
+    """Gain importances of six folds' models, summarised over folds."""
+    t = _job(spark, d, J.SplitPlan(), list(range(6)))[1]
+    s = M.importance_stability(M.importance_table(spark, t.models, JOB_FEATURES), list(range(6)))
+    known = sum((F.col(f"fold_{k}").isNotNull().cast("long") for k in range(1, 6)), F.col("fold_0").isNotNull().cast("long"))
+    return s.select("feature", known.alias("folds"), ((F.col("average") >= 0) & (F.col("average") <= 1)).alias("average_in_range"))
+
+
 @query("ensemble_score", "M-3", q.with_(q.SCORED) + f", x AS (SELECT scode, date, score * (1 + f * 0.1::DOUBLE) AS score FROM scored, range(5) t(f) WHERE (scode + f) % 4 <> 0) SELECT scode, date, {q.r('avg(score)')} AS score, count(score) AS n_models FROM x GROUP BY 1, 2")
 def _(spark, d):
     s = px(spark, d).scored().select("scode", "date", "score", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))

@@ -13,6 +13,8 @@ from stratapanel.operators import prep as P
 from stratapanel.operators import splits as T
 from stratapanel.operators import universe as U
 from stratapanel.operators.thinning import thin_by_interval
+from stratapanel.plans import training as J
+from stratapanel.plans.staging import staged_path
 from stratapanel.sources.proxy import Proxy
 
 from . import sql as q
@@ -149,11 +151,74 @@ def _(spark, d):
         "fold", "side", "scode", "date", "volume")
 
 
-# -- domains -------------------------------------------------------------------------------
 def flagged(spark, d):
     return U.candidate_flags(U.intrinsic_metrics(px(spark, d).bars(), LIMITS), LIMITS)
 
 
+# -- the training job: its stages one after another ----------------------------------------
+SAMPLES = "WITH RECURSIVE " + q.BARS + ", " + UNI_CTES + f""", cd AS MATERIALIZED (SELECT scode, date FROM uni WHERE is_candidate_tac),
+ sess AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM bars WHERE date BETWEEN (SELECT min(date) FROM cd) AND (SELECT max(date) FROM cd))),
+ ends AS (SELECT a.date, b.date AS t1 FROM sess a JOIN sess b ON b.pos = a.pos + {H}), ct AS MATERIALIZED (SELECT scode, date, t1 FROM cd JOIN ends USING (date)),
+ {thin_sql('ct', 5, 'td')}, samples AS MATERIALIZED (SELECT scode, date, t1 FROM ct JOIN td USING (scode, date)),
+ vals AS MATERIALIZED (SELECT scode, date, {q.pct('close')} AS score, {q.div(q.lead('close', 5), 'close')} - 1 AS target, {q.div(q.ahead('max', 'high', 5), q.lead('open'))} AS Future_High,
+  {q.div(q.ahead('min', 'low', 5), q.lead('open'))} AS Future_Low, {q.div(q.lead('close', 5), q.lead('open'))} AS Future_Close FROM bars)"""
+DAYS = AXIS[AXIS.index(", perday AS"):] if ", perday AS" in AXIS else AXIS[AXIS.index(" perday AS"):]
+FIXED = "CASE WHEN date >= DATE '2000-06-01' THEN 'test' WHEN date >= DATE '1999-06-01' AND date < DATE '2000-06-01' - 40 THEN 'valid' WHEN date < DATE '1999-06-01' - 40 THEN 'train' END"
+FIXED_PLAN = J.SplitPlan("fixed", valid_start="1999-06-01", test_start="2000-06-01", embargo_days=40)
+
+
+def training_samples(spark, d):
+    b = px(spark, d).bars()
+    entry = R.lead("open")
+    df = flagged(spark, d).withColumns({
+        "score": R.pct_change("close"), "target": S.div(R.lead("close", 5), "close") - 1, "Future_High_Tac": S.div(R.ahead(F.max, "high", 5), entry),
+        "Future_Low_Tac": S.div(R.ahead(F.min, "low", 5), entry), "Future_Close_Tac": S.div(R.lead("close", 5), entry)})
+    return J.training_samples(df, D.TAC, b.select("date").distinct())
+
+
+def _samples_with(folds: str) -> str:
+    return SAMPLES + "," + DAYS.lstrip(",") + folds
+
+
+@query("training_rows", "T-1 T-2 T-4 C-6 J-8", _samples_with(folds_sql([[k] for k in range(6)], 6, 0.01))
+       + " SELECT fold, CASE WHEN side = 'test' THEN 'valid' ELSE side END AS phase, scode, samples.date, t1 FROM samples JOIN folds USING (date)")
+def _(spark, d):
+    return J.training_rows(training_samples(spark, d), J.SplitPlan()).select("fold", "phase", "scode", "date", "t1")
+
+
+@query("training_rows_combinatorial", "T-1 T-2 T-5 J-8", _samples_with(folds_sql([list(x) for x in combinations(range(6), 2)], 6, 0.01))
+       + " SELECT fold, CASE WHEN side = 'test' THEN 'valid' ELSE side END AS phase, count(*) AS n, min(samples.date) AS first, max(t1) AS last_end FROM samples JOIN folds USING (date) GROUP BY 1, 2")
+def _(spark, d):
+    r = J.training_rows(training_samples(spark, d), J.SplitPlan("cpcv"))
+    return r.groupBy("fold", "phase").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("t1").alias("last_end"))
+
+
+FIXED_ROWS = SAMPLES + f", scored AS MATERIALIZED (SELECT 0 AS fold, {FIXED} AS phase, * FROM samples JOIN vals USING (scode, date) WHERE ({FIXED}) IS NOT NULL)"
+
+
+@query("training_rows_fixed", "T-7 T-1 C-6", FIXED_ROWS + " SELECT fold::INTEGER AS fold, phase, scode, date, t1 FROM scored")
+def _(spark, d):
+    return J.training_rows(training_samples(spark, d), FIXED_PLAN).select("fold", "phase", "scode", "date", "t1")
+
+
+@query("training_metrics_fixed_scores", "E-1 E-2 E-4 T-7", FIXED_ROWS + f""", rk AS (SELECT phase, {q.avgrank('target', 'phase')} AS a, {q.avgrank('score', 'phase')} AS b FROM scored WHERE target IS NOT NULL AND score IS NOT NULL)
+ SELECT 0::INTEGER AS fold, phase, {q.r('rmse')} AS rmse, {q.r('ic')} AS ic FROM (SELECT phase, sqrt(avg(pow(target - score, 2))) AS rmse FROM scored GROUP BY 1) JOIN (SELECT phase, corr(a, b) AS ic FROM rk GROUP BY 1) USING (phase)""")
+def _(spark, d):
+    return S.rounded(J.phase_metrics(J.training_rows(training_samples(spark, d), FIXED_PLAN), "target"))
+
+
+_FSTATS = ", ".join(f"{q.r(f'avg({c})')} AS {c}_mean, {q.r(f'stddev_samp({c})')} AS {c}_std, " + ", ".join(f"{q.r(f'quantile_cont({c}, {p})')} AS {c}_q{int(p * 100)}" for p in E.QUANTILES) for c in J.FUTURE)
+
+
+@query("training_score_bins", "E-5 E-7 A-8", FIXED_ROWS + f""", tst AS MATERIALIZED (SELECT * FROM scored WHERE phase = 'test'),
+ edges AS (SELECT list_distinct(quantile_cont(score, [{', '.join(str(i / 10) for i in range(11))}])) AS e FROM tst),
+ binned AS (SELECT t.*, greatest(len(list_filter(e, lambda v: v < score)), 1)::INTEGER AS bin FROM tst t, edges WHERE score IS NOT NULL)
+ SELECT bin, count(*) AS sample_count, {q.r('avg(target)')} AS target_mean, {_FSTATS} FROM binned GROUP BY bin""")
+def _(spark, d):
+    return S.rounded(J.score_bins(J.training_rows(training_samples(spark, d), FIXED_PLAN), "target", FIXED_PLAN))
+
+
+# -- domains -------------------------------------------------------------------------------
 @query("domain_filter", "C-6 C-9", TGT_BASE + f", {UNI_CTES} SELECT t.scode, t.date, {q.r('hi60 / entry')} AS Future_High, {q.r('lo60 / entry')} AS Future_Low, {q.r('cl60 / entry')} AS Future_Close FROM {TGT_LAST} t JOIN uni USING (scode, date) WHERE is_candidate_str")
 def _(spark, d):
     from stratapanel.operators import targets
@@ -169,7 +234,7 @@ def _(spark, d):
 
 
 # -- preprocessing and weights -------------------------------------------------------------
-DIMS = 8
+DIMS = 64
 EMB = "emb AS MATERIALIZED (SELECT vec_id, label, " + ", ".join(f"CASE WHEN (vec_id + {i}) % 9 <> 0 THEN embedding[{i + 1}]::DOUBLE END AS f{i}" for i in range(DIMS)) + " FROM embeddings)"
 FS = [f"f{i}" for i in range(DIMS)]
 
@@ -204,6 +269,16 @@ def _(spark, d):
     return S.rounded(P.standard_scale(e, P.fit_scaler(e, FS), FS).select("vec_id", *FS))
 
 
+@query("standard_scale_merged", "P-4", "WITH " + EMB + f" SELECT vec_id, {', '.join(q.r(f'({f} - (SELECT avg({f}) FROM emb)) / (SELECT stddev_pop({f}) FROM emb)') + f' AS {f}' for f in FS)} FROM emb")
+def _(spark, d):
+    # fitted on one half, written, and gone on with on the other half
+    e = emb(spark, d)
+    out = staged_path(spark, "scaler") + "/state"
+    P.scaler_state(e.where("vec_id % 3 = 0"), FS).write.parquet(out)
+    state = P.merge_states(spark.read.parquet(out), P.scaler_state(e.where("vec_id % 3 <> 0"), FS))
+    return S.rounded(P.standard_scale(e, P.scaler_of(state, FS), FS).select("vec_id", *FS))
+
+
 @query("sequence_windows", "P-5", q.with_(q.BARS) + f""", w AS (SELECT scode, date, {' , '.join(f'coalesce(lag(volume, {k}) OVER ({q.W}), 0) AS v{k}' for k in range(6))} FROM bars)
  SELECT scode, date, ({' + '.join(f'v{k} * {k + 1}' for k in range(6))})::DOUBLE AS weighted, 6::INTEGER AS width FROM w""")
 def _(spark, d):

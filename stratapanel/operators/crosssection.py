@@ -31,12 +31,12 @@ def sector_z(df: DataFrame, names: list[str], keys: list[str] = SECTOR, bound: f
 
 
 def fill_group_median(df: DataFrame, names: list[str], keys: list[str] = SECTOR) -> DataFrame:
-    """Null values take the exact median of their group."""
-    source = df.select(*dict.fromkeys([*keys, *names]))
-    for c in names:
-        med = order_statistics(source, c, keys, [0.5]).select(*keys, F.col("q").alias("_median"))
-        df = join_back(df, med, keys).withColumn(c, F.coalesce(F.col(c), F.col("_median"))).drop("_median")
-    return df
+    """Null values take the exact median of their group. Columns are stacked, so all medians come from one rank table and one join."""
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(keys, names, "_name", "_v")
+    q = order_statistics(long, "_v", [*keys, "_name"], [0.5])
+    wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("q"))).alias(f"_median_{c}") for c in names])
+    out = join_back(df, wide, keys)
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_median_{c}").cast(df.schema[c].dataType)) for c in names}).drop(*[f"_median_{c}" for c in names])
 
 
 # Columns the rank transform leaves alone

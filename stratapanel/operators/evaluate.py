@@ -38,11 +38,35 @@ def auc(df: DataFrame, label: str, score: str, by: list[str], spacing: int = SPA
 
 def fold_metrics(df: DataFrame, target: str, score: str, by: list[str] = ("fold", "phase"), label: str | None = None,
                  spacing: int = SPACING) -> DataFrame:
-    """rmse, ic (and auc) per fold and phase."""
+    """rmse, ic (and auc) per fold and phase.
+
+    The score is ranked once: its table carries, per distinct score, the rows with a target, the sum of their target ranks,
+    and the labelled and positive rows; ``ic`` (over rows with target and score) and ``auc`` (over rows with label and score)
+    both follow from its running sums.
+    """
     by = list(by)
-    out = df.groupBy(*by).agg(rmse(F.col(target), F.col(score)).alias("rmse"))
-    out = join_back(out, rank_ic(df, target, score, by, spacing), by)
-    return join_back(out, auc(df, label, score, by, spacing), by) if label else out
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = F.col(target).isNotNull() & F.col(score).isNotNull()
+    known = F.col(label).isNotNull() & F.col(score).isNotNull() if label else F.lit(False)
+    d = df.select(*by, F.when(both, F.col(target)).alias("_t"), F.col(target).alias("_y"), F.col(score).alias("_s"),
+                  (F.when(known, F.col(label) == 1) if label else F.lit(None).cast("boolean")).alias("_l"))
+    d = average_ranks(d, ["_t"], by, spacing)
+    # squares of the target's ranks are summed per row, so no second table is needed
+    r = F.col("_t__rank")
+    extra = {"k": F.sum(F.when(r.isNotNull(), one).otherwise(zero)), "rt": F.sum(r), "rt2": F.sum(r * r),
+             "l": F.sum(F.when(F.col("_l").isNotNull(), one).otherwise(zero)), "p": F.sum(F.when(F.col("_l"), one).otherwise(zero))}
+    t = rank_table(d, "_s", by, spacing, extra, ["k", "l"])
+    c = F.col
+    rs, rl = c("below_k") + (c("k") + 1) / F.lit(2.0), c("below_l") + (c("l") + 1) / F.lit(2.0)
+    g = t.groupBy(*by).agg(
+        F.sum("k").alias("k"), F.sum("rt").alias("rt"), F.sum("rt2").alias("rt2"), F.sum(rs * c("k")).alias("rs"), F.sum(rs * rs * c("k")).alias("rs2"),
+        F.sum(rs * c("rt")).alias("rst"), F.sum("p").alias("p"), F.sum("l").alias("l"), F.sum(rl * c("p")).alias("rl"))
+    n, p, q = c("k").cast("double"), c("p").cast("double"), (c("l") - c("p")).cast("double")
+    cov, vs, vt = c("rst") - c("rs") * c("rt") / n, c("rs2") - c("rs") * c("rs") / n, c("rt2") - c("rt") * c("rt") / n
+    out = [F.when((n > 0) & (vs > 0) & (vt > 0), cov / F.sqrt(vs * vt)).alias("ic")]
+    if label:
+        out.append(div(c("rl") - p * (p + 1) / F.lit(2.0), p * q).alias("auc"))
+    return join_back(df.groupBy(*by).agg(rmse(F.col(target), F.col(score)).alias("rmse")), g.select(*by, *out), by)
 
 
 def mean_valid_metric(metrics: DataFrame, name: str, phase: str = "valid") -> DataFrame:

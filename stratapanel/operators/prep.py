@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
@@ -60,6 +60,32 @@ def fit_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[a for c in columns for a in (F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std"))])
 
 
+def scaler_state(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, mean, m2) of the rows at hand: what a fit needs to go on from, m2 being the squared deviations' sum."""
+    cells = df.agg(*[a for c in columns for a in (F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__mean"), F.var_pop(c).alias(f"{c}__var"))])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("n"), F.col(f"{c}__mean").alias("mean"),
+                              (F.col(f"{c}__var") * F.col(f"{c}__n")).alias("m2")) for c in columns])
+    return cells.select(F.inline(rows))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """One state of the rows of all: a fit on a new quarter goes on from the written state of the earlier ones."""
+    both = states[0]
+    for s in states[1:]:
+        both = both.unionByName(s)
+    w = Window.partitionBy("column")   # one row per state
+    both = both.withColumns({"_n": F.sum("n").over(w), "_mean": div(F.sum(F.col("n") * F.col("mean")).over(w), F.sum(F.when(F.col("mean").isNotNull(), F.col("n"))).over(w))})
+    shift = F.col("mean") - F.col("_mean")
+    return both.groupBy("column").agg(F.max("_n").alias("n"), F.max("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * shift * shift).alias("m2"))
+
+
+def scaler_of(state: DataFrame, columns: list[str]) -> DataFrame:
+    """The scaler (one row of means and population deviations) of a state."""
+    def pick(c, x):
+        return F.max(F.when(F.col("column") == c, x))
+    return state.agg(*[a for c in columns for a in (pick(c, F.col("mean")).alias(f"{c}__mean"), pick(c, F.sqrt(div("m2", "n"))).alias(f"{c}__std"))])
+
+
 def standard_scale(df: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / std; a column without spread is only centred."""
     d = df.join(F.broadcast(scaler), how="left")   # one row

@@ -1,12 +1,11 @@
-"""Exact ranks (average ties) and order statistics, one plan for groups of any size.
-
-Equal values are combined first, so a value held by a third of all rows becomes one
-row. The distinct values of a group are cut into cells by their place between the
-group's least and greatest value, as many as one per ``spacing`` values; a cell that
-still holds more is cut again by its own bounds. Cells are ordered like the values
-and follow from small aggregates alone: no sampling, no list of splitters, the same
-in every execution. Each cell is ranked by its own task and the counts of the cells
-before it are added. Groups below ``spacing`` are one cell.
+"""Exact ranks (average ties) and order statistics, one plan for groups of any size and values of any distribution.
+
+Equal values are combined first, so a value held by a third of all rows becomes one row. Distinct values are counted by the
+leading bits of the double, sign and exponent: one histogram row per group and octave, with its least and greatest value. An
+octave beyond ``spacing`` values is refined into equal parts between its own bounds, four times as many as full windows, and
+what lies below an octave and below a part is added to what lies below a value inside its part. Outliers and heavy tails fall
+into other octaves, clusters narrow their octave's bounds. No window holds a group; windows over histograms hold the octaves
+of a group or the parts of an octave. No sampling, no list of splitters, nothing is counted while a plan is built.
 """
 
 from __future__ import annotations
@@ -16,47 +15,68 @@ from pyspark.sql import functions as F
 
 from .groups import join_back
 
-SPACING = 250_000   # distinct values per cell, on average
+SPACING = 250_000   # distinct values of an octave that stay together
+PARTS = 4           # parts of an octave per ``spacing`` values
 SALTS = 1024
 
 
-def with_cell(t: DataFrame, value: str, keys: list[str], out: str, spacing: int) -> DataFrame:
-    """Add the cell of each row's value among those of ``keys``; only groups beyond ``spacing`` are cut."""
-    x = F.col(value).cast("double") / F.lit(2.0)   # halves: the span of two doubles may be no double
-    bounds = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.min(x).alias("_lo"), F.max(x).alias("_hi")).where(F.col("_d") > spacing)
-    place = F.least(F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.ceil(F.col("_d") / F.lit(spacing))), F.ceil(F.col("_d") / F.lit(spacing)) - 1)
-    cell = F.when(F.col("_hi") > F.col("_lo"), place).otherwise(F.lit(0))
-    return join_back(t, bounds, keys).withColumn(out, F.coalesce(cell, F.lit(0)).cast("long")).drop("_d", "_lo", "_hi")
+def octave(x: Column) -> Column:
+    """Sign and exponent of a double as an integer that never falls while the value grows; NaN is last."""
+    size = F.floor(F.least(F.log2(F.abs(F.nullif(x, F.lit(0.0)))), F.lit(2000.0))).cast("int") + F.lit(1100)
+    return F.when(F.isnan(x), 9999).when(x > 0, size).when(x < 0, -size).otherwise(0)
+
+
+def with_part(t: DataFrame, value: str, keys: list[str], sums: list[str], spacing: int) -> DataFrame:
+    """Add the octave ``_o`` and its part ``_c`` of each distinct value, what lies below the octave (``_up_<name>``) and the
+    group's whole (``_n_<name>``), for each of ``sums``."""
+    x = F.col(value).cast("double")
+    t = t.withColumn("_o", octave(x))
+    h = t.groupBy(*keys, "_o").agg(F.count(F.lit(1)).alias("_d"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), *[F.sum(s).alias(s) for s in sums])
+    wg = Window.partitionBy(*keys)
+    upto = wg.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    h = h.select(*keys, "_o", "_d", "_lo", "_hi", *[F.coalesce(F.sum(s).over(upto), F.lit(0)).alias(f"_up_{s}") for s in sums],
+                 *[F.sum(s).over(wg).alias(f"_n_{s}") for s in sums])
+    parts = F.ceil(F.col("_d") / F.lit(spacing)) * PARTS
+    place = F.least(F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), parts - 1)
+    cut = (F.col("_d") > spacing) & (F.col("_hi") > F.col("_lo")) & (F.abs("_o") < 2124)
+    return join_back(t, h, [*keys, "_o"], "inner").withColumn("_c", F.when(cut, place).otherwise(F.lit(0).cast("long"))).drop("_lo", "_hi")
 
 
 def rank_table(df: DataFrame, value: str, by: list[str], spacing: int = SPACING,
-               extra: dict[str, Column] | None = None) -> DataFrame:
+               extra: dict[str, Column] | None = None, weights: list[str] = ()) -> DataFrame:
     """One row per distinct non-null (by, value): ``ties``, ``rank`` (average), ``below``, ``n``.
 
-    ``extra`` aggregates (sum, max, ...) are carried per distinct value. Text is one cell.
+    ``extra`` aggregates (sum, max, ...) are carried per distinct value; for those named in ``weights``, ``below_<name>`` and
+    ``n_<name>`` add them up over smaller values and over the group. Text is ranked by one window.
     """
     extra = extra or {}
+    sums = ["ties", *weights]
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("ties"), *[a.alias(n) for n, a in extra.items()])
     grp = by or ["_all"]
     if not by:
         counts = counts.withColumn("_all", F.lit(0))
+
+    def inside(keys: list[str]) -> dict[str, Column]:
+        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return {f"_b_{s}": F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums}
+
     if dict(counts.dtypes)[value] == "string":
-        cut = counts.withColumns({"_b": F.lit(0), "_c": F.lit(0)})
+        ranked = counts.withColumns(inside(grp) | {f"_n_{s}": F.sum(s).over(Window.partitionBy(*grp)) for s in sums})
     else:
-        cut = with_cell(with_cell(counts, value, grp, "_b", spacing), value, [*grp, "_b"], "_c", spacing)
-    cells = cut.groupBy(*grp, "_b", "_c").agg(F.sum("ties").alias("_t"))
-    wg = Window.partitionBy(*grp)
-    offsets = cells.select(
-        *grp, "_b", "_c",
-        F.coalesce(F.sum("_t").over(wg.orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_t").over(wg).alias("n"))
-    wb = Window.partitionBy(*grp, "_b", "_c").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = cut.withColumn("_in", F.coalesce(F.sum("ties").over(wb), F.lit(0)))
-    ranked = join_back(inside, offsets, [*grp, "_b", "_c"], "inner")
-    below = F.col("_off") + F.col("_in")
-    return ranked.select(*by, value, "ties", *extra, below.alias("below"),
-                         (below + (F.col("ties") + F.lit(1)) / F.lit(2.0)).alias("rank"), "n")
+        cell = [*grp, "_o", "_c"]
+        cut = with_part(counts, value, grp, sums, spacing)
+        # parts of refined octaves: at most 2 PARTS rows per ``spacing`` distinct values
+        parts = cut.where(F.col("_d") > spacing).groupBy(*cell).agg(*[F.sum(s).alias(s) for s in sums])
+        before = Window.partitionBy(*grp, "_o").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select(*cell, *[F.sum(s).over(before).alias(f"_part_{s}") for s in sums])
+        # dealt by part, else the parts of an octave would stay in the task that joined it
+        ranked = cut.repartition(*cell).withColumns(inside(cell))
+        ranked = join_back(ranked, F.broadcast(parts), cell).withColumns(
+            {f"_b_{s}": F.col(f"_b_{s}") + F.col(f"_up_{s}") + F.coalesce(f"_part_{s}", F.lit(0)) for s in sums})
+    below = F.col("_b_ties")
+    return ranked.select(*by, value, "ties", *extra, below.alias("below"), (below + (F.col("ties") + F.lit(1)) / F.lit(2.0)).alias("rank"), F.col("_n_ties").alias("n"),
+                         *[F.col(f"_{k}_{w}").alias(f"{t}_{w}") for w in weights for k, t in (("b", "below"), ("n", "n"))])
 
 
 def average_ranks(df: DataFrame, names: list[str], by: list[str], spacing: int = SPACING) -> DataFrame:

@@ -48,3 +48,11 @@ def jdbc_reader(spark: SparkSession, url: str, properties: dict[str, str],
             return spark.read.jdbc(url, table, predicates=parts, properties=properties)
         return spark.read.jdbc(url, table, properties=properties)
     return read
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], types: str = "", mode: str = "overwrite") -> None:
+    """Table of a database; ``types`` names column types of the database where its own choice does not suit (key columns)."""
+    out = df.write.mode(mode)
+    if types:
+        out = out.option("createTableColumnTypes", types)
+    out.jdbc(url, table, properties=properties)

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from stratapanel.operators import evaluate as E
 from stratapanel.operators import ranking as K
 from stratapanel.operators.asof import Side, asof_join, asof_joins, densify
 from stratapanel.operators.crosssection import fill_group_median, gauss_rank_features, sector_z
@@ -94,11 +95,45 @@ def test_order_statistics_are_linear_quantiles(spark):
         assert np.isclose(r.q, pdf[pdf.g == r.g]["x"].quantile(probs[int(r.i)]))
 
 
+def test_windows_stay_small_on_any_distribution(spark):
+    rng = np.random.default_rng(7)
+    for x in (np.r_[rng.random(20_000), 1e6, 1e12], rng.lognormal(0, 4, 20_000), rng.random(20_000) + 1e9, -rng.lognormal(0, 30, 20_000), np.r_[rng.random(9000) + 7, rng.random(9000) * 1e-9]):
+        df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(x)), "x": x})).withColumns({"g": F.lit(1), "ties": F.lit(1)})
+        cut = K.with_part(df, "x", ["g"], ["ties"], 100)
+        assert cut.groupBy("_o", "_c").count().agg(F.max("count")).first()[0] <= 200
+        got = K.average_ranks(df, ["x"], [], 100)
+        assert np.allclose(got.select("i", "x__rank").toPandas().sort_values("i")["x__rank"], pd.Series(x).rank())
+
+
+def test_octaves_follow_values(spark):
+    rng = np.random.default_rng(1)
+    x = np.unique(np.r_[rng.normal(size=500), 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1022, 1024), 0), 1.7976931348623157e308, np.inf, -np.inf, 0.0, -rng.lognormal(0, 50, 500)])
+    got = np.array([r.k for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double").select("i", K.octave(F.col("x")).alias("k")).orderBy("i").collect()])
+    assert (np.diff(got) >= 0).all() and (got == 0).sum() == 1 and len(np.unique(got)) > 2000
+
+
 def test_split_rank_never_sorts_a_whole_group(spark):
     _, df = skewed(spark)
-    t = K.rank_table(df, "x", ["g"], spacing=20)
-    plan = t._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition(g" in plan and "_b#" in plan   # ranking partitions by (group, bucket)
+    plan = K.rank_table(df, "x", ["g"], spacing=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_c#" in plan and "RepartitionByExpression [g" in plan   # ranked by (group, octave, part)
+
+
+def test_fold_metrics_equal_pandas(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    pdf = pd.DataFrame({"fold": rng.integers(0, 3, n), "phase": rng.choice(["train", "valid"], n), "s": np.round(rng.normal(size=n), 1), "t": np.round(rng.normal(size=n), 1),
+                        "l": rng.integers(0, 2, n).astype(float)})
+    pdf["t"] = pdf.t + pdf.s
+    for c, share in (("s", 0.05), ("t", 0.1), ("l", 0.2)):
+        pdf.loc[rng.random(n) < share, c] = np.nan
+    df = spark.createDataFrame(pdf).withColumns({c: F.nanvl(c, F.lit(None)) for c in "stl"})
+    for spacing in (10, 100_000):
+        for r in E.fold_metrics(df, "t", "s", label="l", spacing=spacing).collect():
+            g = pdf[(pdf.fold == r.fold) & (pdf.phase == r.phase)]
+            ok, lab = g.dropna(subset=["s", "t"]), g.dropna(subset=["s", "l"])
+            k, p = lab.s.rank(), (lab.l == 1)
+            auc = (k[p].sum() - p.sum() * (p.sum() + 1) / 2) / (p.sum() * (~p).sum())
+            assert np.isclose(r.ic, ok.s.rank().corr(ok.t.rank())) and np.isclose(r.auc, auc) and np.isclose(r.rmse, ((ok.t - ok.s) ** 2).mean() ** 0.5)
 
 
 def test_z_score_of_single_and_flat_groups(spark):

@@ -128,3 +128,76 @@ def test_importance_stability_uses_folds_only(spark):
     t = spark.createDataFrame([(0, "a", 1.0), (1, "a", 3.0), (0, "b", 5.0), (1, "b", 5.0)], "fold int, feature string, importance double")
     got = {r.feature: (r.average, r.stability) for r in models.importance_stability(t, [0, 1]).collect()}
     assert got["a"][0] == 2.0 and got["a"][1] == pytest.approx(2 / 2 ** 0.5) and got["b"] == (5.0, None)
+
+
+def test_training_job_runs_stage_by_stage(spark):
+    """Candidates, event ends, thinning, split: against the same steps one by one on a small panel."""
+    import datetime as dt
+    from stratapanel.operators import domain as D
+    from stratapanel.plans import training as J
+    start = dt.date(2024, 1, 1)
+    rows = [(s, start + dt.timedelta(days=i), i % 3 > 0, float(i), float(i % 7)) for s in ("A", "B") for i in range(90)]
+    df = spark.createDataFrame(rows, "scode string, date date, is_candidate_tac boolean, score double, target double")
+    samples = J.training_samples(df, D.TAC, df.select("date").distinct())
+    days = sorted(r.date for r in samples.where("scode = 'A'").collect())
+    want, last = [], None
+    for i in range(90):
+        if i % 3 and i + 5 <= 89 and (last is None or i - last >= 5):
+            want.append(start + dt.timedelta(days=i))
+            last = i
+    assert days == want
+    got = {(r.fold, r.phase): r["count"] for r in J.training_rows(samples, J.SplitPlan(n_splits=3, pct_embargo=0.0)).groupBy("fold", "phase").count().collect()}
+    assert set(got) == {(k, p) for k in range(3) for p in ("train", "valid")} and sum(got[k, "valid"] for k in range(3)) == samples.count()
+    fixed = J.SplitPlan("fixed", valid_start="2024-02-01", test_start="2024-03-01", embargo_days=5)
+    phases = {r.phase: (r.a, r.b) for r in J.training_rows(samples, fixed).groupBy("phase").agg({"date": "min", "t1": "max"}).toDF("phase", "a", "b").collect()}
+    assert set(phases) == {"train", "valid", "test"} and phases["valid"][0] >= dt.date(2024, 2, 1) and phases["test"][0] >= dt.date(2024, 3, 1)
+    m = {(r.fold, r.phase): r.ic for r in J.phase_metrics(J.training_rows(samples, fixed), "target").collect()}
+    assert len(m) == 3
+
+
+def test_merged_scaler_states_equal_one_fit(spark):
+    from pyspark.sql import functions as F
+    from stratapanel.operators import prep as P
+    df = spark.range(0, 500).select("id", (F.sin("id") * 1e6 + 1e9).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") * 1.0).alias("b"), F.lit(None).cast("double").alias("c"))
+    names = ["a", "b", "c"]
+    parts = [P.scaler_state(df.where(w), names) for w in ("id < 10", "id >= 10 and id < 400", "id >= 400", "false")]
+    merged = P.scaler_of(P.merge_states(*parts), names).first()
+    whole = P.fit_scaler(df, names).first()
+    for c in names:
+        for k in ("mean", "std"):
+            x, y = merged[f"{c}__{k}"], whole[f"{c}__{k}"]
+            assert (x is None and y is None) or abs(x - y) <= 1e-9 * abs(y)
+
+
+def test_appended_quarter_equals_full_run(spark, tmp_path):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from stratapanel.functions import rolling as R
+    from stratapanel.sources import sinks
+    rows = [(s, dt.date(2023, 1, 2) + dt.timedelta(days=i), float((i * 7) % 11)) for s in ("A", "B") for i in range(400)]
+    df = spark.createDataFrame(rows, "scode string, date date, x double")
+    compute = lambda d: d.withColumn("m", R.roll(F.avg, "x", 5)).select("scode", "date", "m")
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    sinks.write_panel(df.where("date < '2023-11-15'"), raw)
+    sinks.write_panel(compute(df.where("date < '2023-11-15'")), out)
+    before = set(spark.read.parquet(out).where("quarter < '2023Q4'").inputFiles())
+    for _ in range(2):   # a repeated run changes nothing
+        sinks.append_period(df.where("date >= '2023-11-15'"), raw, out, compute, "2023-11-15", 30)
+        got = sorted(map(tuple, spark.read.parquet(out).select("scode", "date", "m").collect()), key=lambda r: (r[0], r[1]))
+        assert got == sorted(map(tuple, compute(df).collect()), key=lambda r: (r[0], r[1]))
+    old = {f for f in spark.read.parquet(out).inputFiles() if "quarter=2023Q4" not in f and "quarter=2024" not in f}
+    assert old and old <= before | old and all(f in before for f in old)
+
+
+def test_jdbc_reads_by_predicates_of_a_database(spark):
+    from pyspark.sql import functions as F
+    from catalog.reports import _database
+    from stratapanel.sources import tables
+    url, props = _database(spark)
+    df = spark.range(0, 200).select("id", F.when(F.col("id") % 50 > 0, F.date_add(F.lit("2024-01-15").cast("date"), F.col("id").cast("int"))).alias("d"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    tables.write_jdbc(df, url, "t", props, "name VARCHAR(20)")
+    parts = tables.month_predicates('"d"', "2024-02-01", "2024-05-01")
+    read = tables.jdbc_reader(spark, url, props, {"t": parts})("t")
+    assert read.rdd.getNumPartitions() == len(parts) and sorted(map(tuple, read.collect())) == sorted(map(tuple, df.collect()), key=lambda r: r[0])
+    plan = read.where("id > 100").select("name")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,100)" in plan.replace(" ", "") and read.where("id > 100").count() == 99
