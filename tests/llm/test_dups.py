@@ -158,6 +158,24 @@ def test_forest(spark):
     assert ann.search(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.05, 0.2])
+def test_forest_in_a_dense_cluster(spark, noise):
+    """Half of the rows, all distinct, in one cluster: recall of its queries and of the others against brute force."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12_000, 64))
+    x[:6000] = rng.normal(size=64) + noise * rng.normal(size=(6000, 64))
+    x = x[rng.permutation(12_000)].astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(table, F.col("vec_id") % 20 == 0).toPandas()
+    exact = x[::20].astype(np.float64) @ x.astype(np.float64).T
+    exact[np.arange(600), np.arange(600) * 20] = -np.inf
+    twentieth = np.sort(exact, 1)[:, -20]
+    hits = got.assign(hit=got.score >= twentieth[got.query_id // 20] - 1e-9).groupby("query_id").hit.sum() / 20
+    assert len(got) == 12_000 and hits.mean() >= 0.9
+    dense = exact.max(1) > np.median(exact.max(1))
+    assert hits.to_numpy()[dense].mean() >= 0.9 and hits.to_numpy()[~dense].mean() >= 0.9
+
+
 def test_cut_repeats_with_clashing_columns(spark):
     """Columns of any name pass through, ``spans`` too."""
     same = prose(5, 80)
