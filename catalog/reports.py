@@ -21,7 +21,7 @@ from stratapanel.plans import panel as P
 from stratapanel.plans import training as J
 from stratapanel.plans.staging import checkpointed, staged_path
 from stratapanel.sources import sinks, tables
-from stratapanel.sources.proxy import Proxy
+from stratapanel.sources.proxy import DailyProxy, Proxy
 
 from . import sql as q
 from .crosssection import LIMITS, UNI_CTES
@@ -62,7 +62,7 @@ def _broad():
 
 @query("time_series_panel", "S-13 C-3 C-5 J-1 J-2 J-3 J-5 C-2 " + " ".join(f"F-{i}" for i in range(10, 128)))
 def _(spark, d):
-    return P.time_series_panel(P.proxy_inputs(px(spark, d)), thresholds=LIMITS)
+    return P.time_series_panel(P.proxy_inputs(DailyProxy.stage(px(spark, d))), thresholds=LIMITS)
 
 
 _INVESTOR_DAYS = flow_sql("1995-06-01", "@").replace("DATE '@'", "(SELECT max(date) FROM bars)")
@@ -86,14 +86,14 @@ PANEL_COLS = {"Dist_SMA25": 6, "momentum_12_1": 6, "Future_High_Str": 6, "Beta_6
 @query("time_series_panel_values", "S-13 J-1 J-2 J-3 J-5 C-3 C-5", PANEL_CTES + " SELECT scode, date, sector33_code, published_date, " + ", ".join(f"{q.r(c, n)} AS {c}" for c, n in PANEL_COLS.items()) + " FROM ts")
 def _(spark, d):
     # the whole panel plan, reported on a few columns of every source
-    df = P.time_series_panel(P.proxy_inputs(px(spark, d)), thresholds=LIMITS)
+    df = P.time_series_panel(P.proxy_inputs(DailyProxy.stage(px(spark, d))), thresholds=LIMITS)
     return S.rounded(df.select("scode", "date", "sector33_code", "published_date", *PANEL_COLS), PANEL_COLS)
 
 
 def _staged_master(spark, d):
     # stage boundary: the time-series panel is written once, the cross-section reads it
     out = staged_path(spark, "panel") + "/ts"
-    sinks.write_panel(P.time_series_panel(P.proxy_inputs(px(spark, d)), thresholds=LIMITS), out)
+    sinks.write_panel(P.time_series_panel(P.proxy_inputs(DailyProxy.stage(px(spark, d))), thresholds=LIMITS), out)
     return MP.master_panel(spark.read.parquet(out).drop("quarter"), LIMITS, _broad())
 
 

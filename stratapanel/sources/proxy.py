@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import div, snap
+from ..plans.staging import staged_path
 
 TRADE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
@@ -45,6 +46,18 @@ class Proxy:
             F.sum("l_quantity").alias("volume"),
             F.sum("l_extendedprice").alias("volume_p"))
 
+    def daily(self) -> DataFrame:
+        """All that the inputs need of the trades, per stock and day: one pass over the fact table."""
+        p, key, v, qty, flag = F.col("p"), F.col("seq"), F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_returnflag")
+        line = F.col("l_linestatus")
+        return self.trades().groupBy("scode", "date").agg(
+            F.min_by(p * (F.lit(1) - F.col("l_discount") / 2), key).alias("open"), F.max(p * (F.lit(1) + F.col("l_tax"))).alias("high"),
+            F.min(p * (F.lit(1) - F.col("l_discount"))).alias("low"), F.max_by(p * (F.lit(1) + F.col("l_tax") / 2), key).alias("close"),
+            F.sum("l_quantity").alias("volume"), F.sum(v).alias("volume_p"), F.sum(p).alias("p_sum"), F.count(p).alias("p_n"),
+            F.sum(v * (F.col("l_discount") - F.lit(0.02))).alias("profit"), F.sum("l_tax").alias("tax_sum"), F.count("l_tax").alias("tax_n"),
+            F.sum(F.when(flag == "A", qty)).alias("long"), F.sum(F.when(flag == "R", qty)).alias("short"), F.sum(F.when(flag == "N", v)).alias("a"),
+            F.sum(F.when((flag == "A") & (line == "F"), v)).alias("b"), F.sum(F.when((flag == "R") & (line == "O"), v)).alias("c"))
+
     def symbols(self) -> DataFrame:
         return self.table("supplier").select(
             F.col("s_suppkey").alias("scode"), F.col("s_nationkey").cast("string").alias("sector33_code"))
@@ -83,7 +96,11 @@ class Proxy:
             F.sum(F.col("l_extendedprice") * (F.col("l_discount") - F.lit(0.02))).alias("operating_profit"),
             (F.sum("l_extendedprice") * F.lit(3.0)).alias("total_assets"),
             F.avg("l_tax").alias("_tax"), shares.alias("shares_outstanding"))
-        third = F.month("m") % 3 == 0
+        return self.published(g)
+
+    @staticmethod
+    def published(g: DataFrame) -> DataFrame:
+        """Monthly sums as publications."""
         g = g.select(
             F.date_add(F.last_day("m"), 10).alias("published_date"), "scode", "sales", "operating_profit",
             (F.col("operating_profit") * F.lit(0.6)).alias("net_income"), "total_assets",
@@ -113,6 +130,9 @@ class Proxy:
             F.sum(F.when(F.col("l_returnflag") == "N", v)).alias("a"),
             F.sum(F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"), v)).alias("b"),
             F.sum(F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), v)).alias("c"))
+        return self.by_sector(per_stock)
+
+    def by_sector(self, per_stock: DataFrame) -> DataFrame:
         return per_stock.join(self.symbols(), "scode").groupBy("date", F.col("sector33_code").alias("S33")).agg(
             F.sum("a").alias("SellExShortVa"), F.sum("b").alias("ShrtWithResVa"), F.sum("c").alias("ShrtNoResVa"))
 
@@ -184,3 +204,39 @@ class Proxy:
     def shorts(self) -> DataFrame:
         from .loaders import short_selling_ratio
         return short_selling_ratio(self.raw, "1900-01-01")
+
+
+class DailyProxy(Proxy):
+    """The same inputs from a written stock-day table, for jobs that need several of them: the fact table is read once."""
+
+    def __init__(self, spark: SparkSession, root: str, path: str):
+        super().__init__(spark, root)
+        self.path = path
+
+    @classmethod
+    def stage(cls, p: Proxy) -> DailyProxy:
+        path = staged_path(p.spark, "daily")
+        p.daily().write.parquet(path)
+        return cls(p.spark, p.root, path)
+
+    def daily(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def bars(self) -> DataFrame:
+        return self.daily().select("scode", "date", "open", "high", "low", "close", "volume", "volume_p")
+
+    def index_topix(self) -> DataFrame:
+        return self.daily().groupBy("date").agg(div(F.sum("p_sum"), F.sum("p_n")).alias("close"))
+
+    def financials_raw(self) -> DataFrame:
+        month = F.date_trunc("month", F.col("date")).cast("date")
+        return self.published(self.daily().groupBy("scode", month.alias("m")).agg(
+            F.sum("volume_p").alias("sales"), F.sum("profit").alias("operating_profit"), (F.sum("volume_p") * F.lit(3.0)).alias("total_assets"),
+            div(F.sum("tax_sum"), F.sum("tax_n")).alias("_tax"), (F.sum("volume") * F.lit(100.0)).alias("shares_outstanding")))
+
+    def margin_weekly(self) -> DataFrame:
+        week = F.date_add(F.date_trunc("week", F.col("date")).cast("date"), 4)
+        return self.daily().groupBy(week.alias("date"), "scode").agg(F.sum("long").alias("LongVol"), F.sum("short").alias("ShrtVol"))
+
+    def short_ratio(self) -> DataFrame:
+        return self.by_sector(self.daily().select("scode", "date", "a", "b", "c"))

@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,25 @@ def test_smoothing_stands_over_gaps(spark):
     from stratapanel.functions import recursion as rec
     df = rec.smooth(series_df(spark, [10.0, 10.0, 10.0, None, 10.0, 10.0]), [rec.ema("y", "x", 3)], "scode", "date")
     assert values(df, "y") == [None, None, 10.0, None, 10.0, 10.0]
+
+
+def test_panel_reads_the_fact_table_once(spark):
+    """All inputs of the whole job come from one written stock-day table; the plan has no scan of the fact table left."""
+    import os
+
+    import pytest
+    from stratapanel.plans import panel as P
+    from stratapanel.sources.proxy import DailyProxy, Proxy
+    root = "/root/testdata/sf0.001"
+    if not os.path.isdir(root):
+        pytest.skip("no test tables")
+    plain = Proxy(spark, root)
+    staged = DailyProxy.stage(plain)
+    assert plain.daily()._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    plan = P.time_series_panel(P.proxy_inputs(staged), min_rows=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and "l_extendedprice" not in plan
+    for name in ("index_topix", "financials_raw", "margin_weekly", "short_ratio", "bars"):
+        a, b = (getattr(p, name)() for p in (plain, staged))
+        keys = [c for c, t in a.dtypes if t != "double"]
+        a, b = (x.toPandas().sort_values(keys).reset_index(drop=True) for x in (a, b))
+        pd.testing.assert_frame_equal(a, b[list(a.columns)], rtol=1e-9)
