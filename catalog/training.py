@@ -288,6 +288,17 @@ def _(spark, d):
     return s.select("scode", "date", F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("weighted"), F.size("sequence").alias("width"))
 
 
+_LAGS = " + ".join(f"coalesce(lag({c}, {k}) OVER ({q.W}), 0)::FLOAT::DOUBLE * {(60 - k) * 2 + i}" for k in range(60) for i, c in enumerate(("close", "volume")))
+
+
+@query("sequence_blocks_60", "P-5", q.with_(q.BARS) + f"SELECT scode, date, {q.r(_LAGS, 2)} AS weighted, 120::INTEGER AS width FROM bars")
+def _(spark, d):
+    """60-row windows of two features cut out of blocks; every place of every window counts in the sum."""
+    w = P.windows_of(P.sequence_blocks(px(spark, d).bars(), ["close", "volume"], 60, 256), 2, 60)
+    terms = F.transform("window", lambda x, i: x.cast("double") * (i + F.lit(2)))
+    return S.rounded(w.select("scode", "date", F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("weighted"), F.size("window").alias("width")), {"weighted": 2})
+
+
 @query("sequence_windows_60", "P-5")
 def _(spark, d):
     return P.sequence_windows(px(spark, d).bars(), ["close", "volume"], 60).select("scode", "date", "sequence")

@@ -105,6 +105,33 @@ def sequence_windows(df: DataFrame, features: list[str], width: int = 60, by: st
     return df.withColumn(out, F.concat(F.array_repeat(zero, F.lit(width) - F.size("_got")), F.col("_got"))).drop("_got")
 
 
+def sequence_blocks(df: DataFrame, features: list[str], width: int = 60, block: int = 1024, by: str = "scode", ts: str = "date") -> DataFrame:
+    """The windows of ``sequence_windows`` without repeating rows: (by, block, dates, values) with the features of up to ``block``
+    rows and of the ``width - 1`` rows before them, flat and in order.
+
+    A row is copied into the next block only where that one's windows reach back to it, so the exchange carries each row
+    little more than once instead of ``width`` times, and no task holds more than a block. The first block starts with zero rows.
+    """
+    back = width - 1
+    row = F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in features])
+    d = df.select(by, ts, row.alias("_x"), (F.row_number().over(R.series(by, ts)) - 1).cast("long").alias("_i"))
+    own, last = F.floor(F.col("_i") / block), F.floor((F.col("_i") + back) / block)
+    size = F.count(F.lit(1)).over(Window.partitionBy(by))
+    d = d.withColumn("_n", size).withColumn("block", F.explode(F.sequence(own, F.least(last, F.floor((F.col("_n") - 1) / block)))))
+    g = d.groupBy(by, "block").agg(F.sort_array(F.collect_list(F.struct("_i", ts, "_x"))).alias("_rows"))   # at most block + width - 1
+    zero = F.array_repeat(F.lit(0.0).cast("float"), back * len(features))
+    flat = F.flatten(F.transform("_rows", lambda r: r["_x"]))
+    inside = F.filter("_rows", lambda r: r["_i"] >= F.col("block") * block)
+    pad = F.when(F.col("block") * block < back, F.slice(zero, 1, ((F.lit(back) - F.col("block") * block) * len(features)).cast("int"))).otherwise(F.array().cast("array<float>"))
+    return g.select(by, "block", F.transform(inside, lambda r: r[ts]).alias("dates"), F.concat(pad, flat).alias("values"))
+
+
+def windows_of(blocks: DataFrame, features: int, width: int = 60, by: str = "scode", ts: str = "date") -> DataFrame:
+    """(by, ts, window): the flat window of each row, cut out of its block where it is used."""
+    d = blocks.select(by, "values", F.posexplode("dates").alias("_k", ts))
+    return d.select(by, ts, F.slice("values", F.col("_k") * features + 1, width * features).alias("window"))
+
+
 def time_decay_weight(df: DataFrame, rate: float = 0.9999, by: list[str] = (), ts: str = "date",
                       out: str = "weight") -> DataFrame:
     """rate ^ days before the newest date (of the fold)."""

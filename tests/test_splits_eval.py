@@ -201,3 +201,16 @@ def test_jdbc_reads_by_predicates_of_a_database(spark):
     assert read.rdd.getNumPartitions() == len(parts) and sorted(map(tuple, read.collect())) == sorted(map(tuple, df.collect()), key=lambda r: r[0])
     plan = read.where("id > 100").select("name")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,100)" in plan.replace(" ", "") and read.where("id > 100").count() == 99
+
+
+def test_blocks_hold_the_same_windows(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from stratapanel.operators import prep as P
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=i), None if i % 9 == 4 else float(i + 1), float(-i)) for s, n in (("A", 25), ("B", 3), ("C", 8)) for i in range(n)]
+    df = spark.createDataFrame(rows, "scode string, date date, x double, y double")
+    want = {(r.scode, r.date): [v for row in r.sequence for v in row] for r in P.sequence_windows(df, ["x", "y"], 6).collect()}
+    for block in (4, 8, 100):
+        b = P.sequence_blocks(df, ["x", "y"], 6, block)
+        assert {(r.scode, r.date): r.window for r in P.windows_of(b, 2, 6).collect()} == want
+        assert b.agg(F.max(F.size("values"))).first()[0] <= 2 * (block + 5)
