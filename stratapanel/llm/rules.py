@@ -111,7 +111,7 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 6) -> DataFrame
         return sums.mapInPandas(task("rules", "estimate", share=share), MODEL)
 
     middle = [F.percentile_approx(x, 0.5, 10_000).alias(f"m_{x}") for x in NAMES]
-    centre = rows.groupBy("grp").agg(*middle)
+    centre = staged(rows.groupBy("grp").agg(*middle), "centres")   # written tables of a row a group: Spark knows their size
     apart = rows.join(centre, "grp").groupBy("grp").agg(*[F.first(f"m_{x}").alias(f"m_{x}") for x in NAMES],
                                                       *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 10_000).alias(f"s_{x}") for x in NAMES])
     zero = F.lit(0.0)
@@ -126,6 +126,7 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 6) -> DataFrame
         w = Window.partitionBy("grp", "start")
         edge = (bins.withColumn("upto", F.sum("c").over(w.orderBy("k"))).withColumn("n", F.sum("c").over(w))
                 .where(F.col("upto") >= share * F.col("n")).groupBy("grp", "start").agg(F.min("k").alias("edge")))
+        edge = staged(edge, "edges")   # of known size too, so the rows of a common group are not dealt by it
         model = staged(made(moments(near.join(edge, ["grp", "start"]).where("k <= edge").select("grp", "start", *NAMES), True)), "mcd")
     return model.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("m")).select("grp", "m.*")
 
