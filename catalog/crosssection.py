@@ -192,7 +192,37 @@ def _(spark, d):
     return _zf(spark, d)
 
 
+# every scored column, each from a series of its own
+Z_ALL = [n for n in C.Z_COLUMNS if n not in ("log_pcfr", "div_yield", "RSI_14")]
+Z_FORMULAS = {n: [pct("close", i + 1), f"close / {roll('avg', 'close', i + 3)} - 1", f"ln(volume_p + {i})"][i % 3] for i, n in enumerate(Z_ALL)}
+
+
+def _z_series(i):
+    return [R.pct_change("close", i + 1), S.div("close", R.roll(F.avg, "close", i + 3)) - 1, F.ln(F.col("volume_p") + i)][i % 3]
+
+
+@query("sector_z_all_columns", "X-8", q.with_(q.BARS, q.SYMBOLS) + f", z0 AS MATERIALIZED (SELECT b.scode, date, sector33_code, {', '.join(f'{s} AS {n}' for n, s in Z_FORMULAS.items())} FROM bars b LEFT JOIN symbols USING (scode)) "
+       f"SELECT scode, date, {', '.join(q.r(n) + f' AS {n}' for n in Z_ALL if n in C.Z_KEPT)}, {', '.join(q.r(z_sql(n, 'date, sector33_code')) + f' AS {n}_sector_z' for n in Z_ALL)} FROM z0")
+def _(spark, d):
+    p = Proxy(spark, d)
+    df = p.bars().join(p.symbols(), "scode", "left").withColumns({n: _z_series(i) for i, n in enumerate(Z_ALL)})
+    return S.rounded(C.z_features(df.select("scode", "date", "sector33_code", *Z_ALL)).drop("sector33_code"))
+
+
 MASK = "volume >= 20 AND close >= 1500"
+G_ALL = {f"g{i}": s for i, s in enumerate(list(Z_FORMULAS.values())[:12])}
+
+
+@query("gauss_rank_many_columns", "X-9 W-21", q.with_(q.BARS) + f""", g0 AS MATERIALIZED (SELECT scode, date, volume, close, {', '.join(f'{s} AS {n}' for n, s in G_ALL.items())} FROM bars),
+ g1 AS (SELECT scode, date, {', '.join(f'CASE WHEN {MASK} THEN {n} END AS {n}' for n in G_ALL)} FROM g0), g2 AS (SELECT scode, date, {', '.join(q.pctrank(n, 'date') + f' AS {n}' for n in G_ALL)} FROM g1),
+ g3 AS (SELECT scode, date, {', '.join(q.clip(n, 1e-6, 1 - 1e-6) + f' AS {n}' for n in G_ALL)} FROM g2), g4 AS (SELECT scode, date, {', '.join(q.probit(n) + f' AS {n}' for n in G_ALL)} FROM g3)
+ SELECT scode, date, {', '.join(q.r(f"coalesce({q.ffill(n)}, 0)") + f' AS {n}' for n in G_ALL)} FROM g4""")
+def _(spark, d):
+    df = Proxy(spark, d).bars().withColumns({n: _z_series(i) for i, n in enumerate(G_ALL)})
+    mask = S.is_true((F.col("volume") >= 20) & (F.col("close") >= 1500))
+    return S.rounded(C.gauss_rank_features(df, list(G_ALL), mask).select("scode", "date", *G_ALL))
+
+
 GR_SQL = q.with_(q.BARS) + f""", g0 AS MATERIALIZED (SELECT scode, date, volume, close, {pct('close', 20)} AS a, volume_p AS b FROM bars),
  g1 AS (SELECT *, CASE WHEN {MASK} THEN a END AS ma, CASE WHEN {MASK} THEN b END AS mb FROM g0),
  g2 AS (SELECT *, {q.pctrank('ma', 'date')} AS pa, {q.pctrank('mb', 'date')} AS pb FROM g1), g3 AS (SELECT *, {q.clip('pa', 1e-6, 1 - 1e-6)} AS ca, {q.clip('pb', 1e-6, 1 - 1e-6)} AS cb FROM g2),
