@@ -44,7 +44,7 @@ SPECIAL = {**dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION
            **dict.fromkeys('"“”„«»', QUOTE), **dict.fromkeys(".!?;…", STOP), "\n": LINE}
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;…\n\"“”„«»]")
 SHORT, LONG = 3, 12        # letters of a stem
-HELD = 300_000             # stems that a task holds before it passes them on
+HELD = 150_000             # stems that a task holds before it passes them on
 SEED_DOCS = 4.0            # toxic documents that a word of the fixed list brings along
 START = np.array([-3.5, 1.5, 0.5, 0.5])   # coefficients before any label: constant, log of the sum, worst clause, log of the density
 COUNTS = pa.schema([("stem", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
@@ -199,7 +199,7 @@ class Lexicon(dict):
                 if g > best:
                     best, found = g, v
         out = (INSULT, *map(float, found)) if found else None
-        if len(self) > 500_000:   # forget met words, not learned ones
+        if len(self) > 200_000:   # forget met words, not learned ones
             for w in [w for w in self if w not in SPECIAL and w not in INSULTS]:
                 del self[w]
         self[word] = out
