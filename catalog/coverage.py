@@ -9,7 +9,6 @@ from . import load
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 ELSEWHERE = {
-    "S-16": "`sources.tables.jdbc_reader`, `month_predicates` (unit test; no database in the gate)",
     "J-10": "not needed: scores stay in the row (`operators.models.predict`)",
 }
 
