@@ -11,8 +11,12 @@ search in the decoded blocks of a level; what is missing backs off with its cont
 
 The ``vocabulary`` most frequent words (a fixed bound of what is broadcast) travel by number, all others by their hash, so
 every word stays itself as u, v and w. What a bucket does not know is how often such a w occurs in all: a prediction is linear
-in that, so its two terms go on to the bucket of w, where the vocabulary's counts close it. A word that makes up over 1 / ``HOT`` of all tokens would be too much for a
-bucket: its occurrences are spread by w, and the model uses only the one word there; so does a document's start.
+in that, so its two terms go on to the bucket of w, where the vocabulary's counts close it.
+
+A common word v (over 1 / ``HOT`` of all tokens, or over ``most`` occurrences) would be too much for a bucket: its occurrences
+are spread by (v, u), where the trigrams below that context are whole. A prediction is linear in the shorter one, p(w | v), so
+its two terms go on to the bucket of the pair (v, w), which counts the pair; how many different w follow v is counted over all
+pairs before. The model is the same as for other words. A document's start is such a word without a u before it.
 
 Null text is empty: one end token. Null and repeated ids keep their rows. Without training rows every count is 0.
 """
@@ -31,14 +35,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import staged, task, texts, trim
 from .ngram_join import from_six, mixed, record, runs, six
 
-FLUSH, DOCS, HOT, ASKED, MU, DISCOUNT, FLOOR = 1_000_000, 32_000, 256, 400_000, 1000.0, 0.75, -12.0
+FLUSH, DOCS, HOT, ASKED, DISCOUNT, FLOOR = 1_000_000, 32_000, 256, 400_000, 0.75, -12.0
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
+NONE = 255  # the code of a probability of 0
 ID = np.uint64((1 << 21) - 1)
 COUNTS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("ends", pa.int64())])
 COUNTS_SQL = "bucket int, words binary, counts binary, n long, ends long"
 EVENTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("doc_id", pa.int64()), ("idx", pa.int32()), ("held_out", pa.bool_()), ("n", pa.int64()),
                     ("words", pa.binary()), ("counts", pa.binary()), ("body", pa.binary()), ("rare", pa.binary())])
 EVENTS_SQL = "bucket int, chunk long, doc_id long, idx int, held_out boolean, n long, words binary, counts binary, body binary, rare binary"
+PAIRS = pa.schema([("bucket", pa.int32()), ("listed", pa.binary()), ("rare", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
                  ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -151,8 +157,8 @@ def occurrences(batches, buckets: int, head: bytes, hot: bytes):
         train = np.repeat(np.array([not d[1] for d in docs]), lengths).astype(np.uint64)
         event = before << np.uint64(37) | after << np.uint64(16) | train << np.uint64(15) | doc
         bucket = buckets_of(mixed(v), buckets)
-        far = np.isin(v, spread) | (v == START_HASH)
-        bucket[far] = buckets_of(mixed(v[far] + mixed(np.where(after[far] == UNKNOWN, w_hash[far], after[far] + np.uint64(1)))), buckets)
+        for far, other, other_hash in ((np.isin(v, spread), before, u_hash), (v == START_HASH, after, w_hash)):
+            bucket[far] = buckets_of(mixed(v[far] + mixed(np.where(other[far] == UNKNOWN, other_hash[far], other[far] + np.uint64(1)))), buckets)
         order = np.lexsort((event, v, bucket))
         v, event, bucket = v[order], event[order], bucket[order]
         no_u, no_w = np.flatnonzero(before[order] == UNKNOWN), np.flatnonzero(after[order] == UNKNOWN)
@@ -226,9 +232,10 @@ def position(level: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 class Trie:
     """The n-grams of a bucket's words v (0 ... words - 1) from training occurrences (v, u, w); u and w number into ``prior``,
-    which is 0 where only the bucket of w knows it."""
+    which is 0 where only the bucket of w knows it. Of a word in ``open_words`` the bucket has whole contexts (v, u) only, so
+    the shorter prediction is left out of its longer ones."""
 
-    def __init__(self, words: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, prior: np.ndarray):
+    def __init__(self, words: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, prior: np.ndarray, open_words: np.ndarray | None = None):
         self.file = tempfile.TemporaryFile()
         self.span = span = np.int64(len(prior))
         pairs, pair_of, pair_n = np.unique(v * span + w, return_inverse=True, return_counts=True)
@@ -240,6 +247,8 @@ class Trie:
         kinds = np.bincount(pv, minlength=words)
         back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
         p2 = (pair_n - DISCOUNT) / total[pv] + back[pv] * prior[pw] if len(pairs) else np.zeros(0)
+        if open_words is not None:
+            p2[open_words[pv]] = 0
         begin = np.r_[0, np.cumsum(kinds)]
         lv = longer // span
         offset = np.r_[0, np.cumsum(kinds[lv])]  # where the ranks below a longer context begin
@@ -256,30 +265,36 @@ class Trie:
 
     def score(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, log_prior: np.ndarray) -> np.ndarray:
         """Logs of the predictions (v, u, w), a block of questions at a time."""
-        levels = [x.decode() for x in (self.pairs, self.longer, self.tri, self.begin, self.offset)]
+        p2, p3, back, back3 = self.codes
         out = np.empty(len(v), np.float32)
-        for i in range(0, len(v), ASKED):
-            out[i:i + ASKED] = self.block(levels, *(x[i:i + ASKED] for x in (v, u, w)), log_prior)
+        for part, at, ctx, third in self.places(v, u, w):
+            logs = opened(back[v[part]]) + log_prior[w[part]]
+            logs[at >= 0] = opened(p2[at[at >= 0]])
+            shorter = (ctx >= 0) & (third < 0)
+            logs[shorter] += opened(back3[ctx[shorter]])
+            logs[third >= 0] = opened(p3[third[third >= 0]])
+            out[part] = logs
         return out
 
-    def block(self, levels, v, u, w, log_prior) -> np.ndarray:
-        p2, p3, back, back3 = self.codes
-        pairs, longer, tri, begin, offset = levels
-        span = self.span
-        at = position(pairs, v * span + w)
-        found = at >= 0
-        out = opened(back[v]) + log_prior[w]
-        out[found] = opened(p2[at[found]])
-        ctx = position(longer, v * span + u)
-        has = ctx >= 0
-        inner = np.flatnonzero(found & has)
-        rank = at[inner] - begin[v[inner]]
-        third = position(tri, offset[ctx[inner]] + rank)
-        got = np.zeros(len(v), bool)
-        got[inner[third >= 0]] = True
-        out[has & ~got] += opened(back3[ctx[has & ~got]])
-        out[got] = opened(p3[third[third >= 0]])
-        return out
+    def parts(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the terms a, b of the predictions a + b p(w | v) of open words; ``NONE`` where a is 0."""
+        _, p3, _, back3 = self.codes
+        a, b = np.full(len(v), NONE, np.uint8), np.zeros(len(v), np.uint8)
+        for part, _, ctx, third in self.places(v, u, w):
+            b[part][ctx >= 0] = back3[ctx[ctx >= 0]]
+            a[part][third >= 0] = p3[third[third >= 0]]
+        return a, b
+
+    def places(self, v: np.ndarray, u: np.ndarray, w: np.ndarray):
+        """Blocks of questions, and where their pairs, contexts and trigrams stand in the levels, or -1."""
+        pairs, longer, tri, begin, offset = (x.decode() for x in (self.pairs, self.longer, self.tri, self.begin, self.offset))
+        for i in range(0, len(v), ASKED):
+            part = slice(i, min(i + ASKED, len(v)))
+            at, ctx = position(pairs, v[part] * self.span + w[part]), position(longer, v[part] * self.span + u[part])
+            inner = np.flatnonzero((at >= 0) & (ctx >= 0))
+            third = np.full(len(at), -1)
+            third[inner] = position(tri, offset[ctx[inner]] + at[inner] - begin[v[part][inner]])
+            yield part, at, ctx, third
 
     def weights(self, v: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Logs of the weight of a word's own probability in the predictions after (v, u)."""
@@ -304,27 +319,104 @@ def deferred(h: np.ndarray, held: np.ndarray, weight: np.ndarray, chunk: np.ndar
                      body=[held[s].astype("<f4").tobytes() + weight[s].astype("<f4").tobytes() for s in spans])
 
 
-def closed(batches, share: float):
-    """Of each bucket: the vocabulary's counts (idx -1) close the predictions that were handed on; sums go to the chunks."""
+def handed_on(v: np.ndarray, w: np.ndarray, w_hash: np.ndarray, train: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: np.ndarray, doc: np.ndarray, buckets: int):
+    """Rows of predictions a + b p(w | v) after common words v for the buckets of their pairs: those of w where it has no number
+    (``w_hash`` is read there only). Each row has its chunks with their lengths and, byte by byte, pair, training, a, b, document."""
+    pack = zstandard.ZstdCompressor(level=1)
+    v, w = v.astype(np.uint64), w.astype(np.uint64)
+    bucket = buckets_of(np.where(w == UNKNOWN, w_hash, mixed(v + mixed(w + np.uint64(1)))), buckets)
+    key = train.astype(np.uint64) << np.uint64(42) | v << np.uint64(21) | w
+    order = np.lexsort((key, chunk, bucket))
+    bucket, key, chunk, w_hash = bucket[order], key[order].astype("<u8"), chunk[order], w_hash[order]
+    rest = np.column_stack([a[order], b[order], doc[order].astype("<u2").view(np.uint8).reshape(-1, 2)])
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
+    for i in range(0, len(edges) - 1, 64):
+        spans = [slice(x, y) for x, y in zip(edges[i:i + 64], edges[i + 1:i + 65])]
+        chunks = [np.unique(chunk[s], return_counts=True) for s in spans]
+        yield record(EVENTS, bucket=[bucket[s.start] for s in spans], idx=[-2] * len(spans), n=[len(c) for c, _ in chunks],
+                     counts=[c.astype("<i8").tobytes() + m.astype("<u4").tobytes() for c, m in chunks],
+                     body=[pack.compress(np.column_stack([key[s].view(np.uint8).reshape(-1, 8)[:, :6], rest[s]]).T.tobytes()) for s in spans],
+                     rare=[w_hash[s][key[s] & ID == UNKNOWN].tobytes() for s in spans])
+
+
+def handed(body: bytes) -> tuple[np.ndarray, ...]:
+    """(v, w, training, a, b, document) of such a row."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(10, -1)
+    key = from_six(np.ascontiguousarray(planes[:6].T).tobytes())
+    doc = np.ascontiguousarray(planes[8:].T).view("<u2").ravel()
+    return (key >> np.uint64(21) & ID).astype(np.int64), (key & ID).astype(np.int64), key >> np.uint64(42) == 1, planes[6], planes[7], doc
+
+
+def met(batches):
+    """The different training pairs (v, w) of each row handed on: numbered ones as sorted steps, others as v and the hash of w."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for r in batch.to_pylist():
+            v, w, train, *_ = handed(r["body"])
+            listed = np.unique((v << 21 | w)[train & (w != UNKNOWN)]).astype("<u8")
+            steps = np.diff(listed, prepend=np.uint64(0))
+            rare = np.unique(np.column_stack([v[w == UNKNOWN].astype("<u8"), np.frombuffer(r["rare"], "<u8")])[train[w == UNKNOWN]], axis=0)
+            yield record(PAIRS, bucket=[r["bucket"]], listed=[pack.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())], rare=[rare.tobytes()])
+
+
+def kinds_met(batches):
+    """How many different w each v has in a bucket of pairs."""
+    unpack = zstandard.ZstdDecompressor()
+    for _, rows in runs(batches, "bucket"):
+        steps = [np.ascontiguousarray(np.frombuffer(unpack.decompress(r["listed"]), np.uint8).reshape(8, -1).T).view("<u8").ravel() for r in rows]
+        listed = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in steps])) >> np.uint64(21)
+        rare = np.unique(np.concatenate([np.frombuffer(r["rare"], "<u8").reshape(-1, 2) for r in rows]), axis=0)[:, 0]
+        v, k = np.unique(np.r_[listed, rare].astype(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(k.astype(np.int64))], names=["v", "k"])
+
+
+def paired(rows: list[dict], count, prior: np.ndarray, common: np.ndarray, totals: np.ndarray, kinds: np.ndarray, share: float):
+    """Chunks, documents and logs of the predictions handed on to a bucket; ``count`` gives those of words without a number."""
+    v, w, train, a, b, doc = map(np.concatenate, zip(*(handed(r["body"]) for r in rows)))
+    unlisted, of = np.unique(np.frombuffer(b"".join(r["rare"] for r in rows), np.uint64), return_inverse=True)
+    w[w == UNKNOWN] = len(prior) + of
+    p1 = np.r_[prior, (count(unlisted) + 1) / share]
+    pairs, at = np.unique(np.searchsorted(common, v) * len(p1) + w, return_inverse=True)
+    n = np.bincount(at, train, len(pairs))
+    pv, p = pairs // len(p1), p1[pairs % len(p1)]
+    p2 = np.where(totals[pv] > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds[pv] * p) / np.maximum(totals[pv], 1), p)
+    logs = np.log10(np.where(a == NONE, 0.0, 10 ** opened(a)) + 10 ** opened(b) * p2[at])
+    chunks = [np.repeat(np.frombuffer(r["counts"][:8 * r["n"]], "<i8"), np.frombuffer(r["counts"][8 * r["n"]:], "<u4")) for r in rows]
+    return np.concatenate(chunks), doc, logs
+
+
+def closed(batches, share: float, prior: bytes, common: bytes, totals: bytes, kinds: bytes):
+    """Of each bucket: the vocabulary's counts (idx -1) close the predictions that were handed on, for a word w (idx null) or a
+    pair (idx -2); sums go to the chunks."""
+    prior, common, totals, kinds = np.frombuffer(prior, np.float64), *(np.frombuffer(x, np.int64) for x in (common, totals, kinds))
     for bucket, rows in runs(batches, "bucket"):
         names = [np.frombuffer(r["words"], np.uint64) for r in rows if r["idx"] == -1]
         counts = [np.frombuffer(r["counts"], "<u8") for r in rows if r["idx"] == -1]
+        pairs = [r for r in rows if r["idx"] == -2]
         rows = [r for r in rows if r["idx"] is None]
-        if not rows:
-            continue
-        h = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
-        count = np.zeros(len(h))
-        if names and len(names[0]):  # a bucket's words stand in one row, sorted
+
+        def count(h):  # a bucket's words stand in one row, sorted
+            if not names or not len(names[0]):
+                return np.zeros(len(h))
             at = np.minimum(np.searchsorted(names[0], h), len(names[0]) - 1)
-            count = np.where(names[0][at] == h, counts[0][at], 0).astype(np.float64)
-        n = [len(r["words"]) // 8 for r in rows]
-        chunk = np.concatenate([np.frombuffer(r["counts"][:8 * m], "<i8") for r, m in zip(rows, n)])
-        doc = np.concatenate([np.frombuffer(r["counts"][8 * m:], "<u2") for r, m in zip(rows, n)])
-        held = np.concatenate([np.frombuffer(r["body"][:4 * m], "<f4") for r, m in zip(rows, n)]).astype(np.float64)
-        weight = np.concatenate([np.frombuffer(r["body"][4 * m:], "<f4") for r, m in zip(rows, n)])
+            return np.where(names[0][at] == h, counts[0][at], 0).astype(np.float64)
+
+        found = [paired(pairs, count, prior, common, totals, kinds, share)] if pairs else []
+        if rows:
+            n = [len(r["words"]) // 8 for r in rows]
+            held = np.concatenate([np.frombuffer(r["body"][:4 * m], "<f4") for r, m in zip(rows, n)]).astype(np.float64)
+            weight = np.concatenate([np.frombuffer(r["body"][4 * m:], "<f4") for r, m in zip(rows, n)])
+            found.append((np.concatenate([np.frombuffer(r["counts"][:8 * m], "<i8") for r, m in zip(rows, n)]),
+                          np.concatenate([np.frombuffer(r["counts"][8 * m:], "<u2") for r, m in zip(rows, n)]),
+                          np.log10(held + weight * ((count(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])) + 1) / share))))
+            del held, weight
+        pairs.clear()
         rows.clear()
-        logs = np.log10(held + weight * ((count + 1) / share))
-        order = np.lexsort((doc, chunk))
+        if not found:
+            continue
+        chunk, doc, logs = map(np.concatenate, zip(*found))
+        found.clear()
+        order = np.lexsort((logs, doc, chunk))  # sums don't depend on the order of arrival
         chunk, doc, logs = chunk[order], doc[order], logs[order]
         edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
         for i in range(0, len(edges) - 1, 64):
@@ -334,13 +426,15 @@ def closed(batches, share: float):
                 out.append((chunk[a], ids.astype("<u2").tobytes(), bytes(4 * len(ids)), bytes(8 * len(ids)) + np.bincount(of, logs[a:b]).astype("<f4").tobytes()))
             to, ids, got, sums = zip(*out)
             yield record(EVENTS, bucket=[bucket] * len(to), chunk=to, words=ids, counts=got, body=sums)
+        del chunk, doc, logs, order
+        trim()
 
 
-def summed(batches, prior: bytes, hot: bytes, hot_counts: bytes, starts: int, buckets: int):
+def summed(batches, prior: bytes, hot: bytes, hot_ids: bytes, hot_counts: bytes, starts: int, buckets: int):
     """Of each bucket: counts, trie and scores; sums for each chunk's documents go back, predictions of a word without a number
-    on to its bucket. Rows of documents pass."""
+    or after a common word on to their buckets. Rows of documents pass."""
     numbers = len(prior) // 8
-    spread, spread_n = np.frombuffer(hot, np.uint64), np.frombuffer(hot_counts, np.int64)
+    spread, spread_id, spread_n = np.frombuffer(hot, np.uint64), np.frombuffer(hot_ids, np.int64), np.frombuffer(hot_counts, np.int64)
     unpack = zstandard.ZstdDecompressor()
     for bucket, held in runs(batches, "bucket"):
         docs = [r for r in held if r["words"] is None]
@@ -373,29 +467,37 @@ def summed(batches, prior: bytes, hot: bytes, hot_counts: bytes, starts: int, bu
         del event, word, times
         # words that are spread over buckets have their counts from the vocabulary; the others are whole here
         count = np.bincount(v[train], minlength=len(names)).astype(np.int64)
-        far = np.isin(names, spread) | (names == START_HASH)
+        first, far = names == START_HASH, np.isin(names, spread)
+        number = np.where(first, START, 0)
         if far.any():
-            at = np.minimum(np.searchsorted(spread, names), max(0, len(spread) - 1))
-            count[far] = np.where(names[far] == START_HASH, starts, spread_n[at[far]] if len(spread) else 0)
-        base = np.where(names == START_HASH, 0.0, np.log10(count + 1.0))
-        known = ((count > 0) & (names != START_HASH)).astype(np.float64)
+            at = np.searchsorted(spread, names[far])
+            count[far], number[far] = spread_n[at], spread_id[at]
+        count[first] = starts
+        base = np.where(first, 0.0, np.log10(count + 1.0))
+        known = ((count > 0) & ~first).astype(np.float64)
         score = np.zeros(len(v), np.float32)
-        fit = np.flatnonzero(~far[v] & train)
-        trie = Trie(len(names), v[fit].astype(np.int64), u[fit], w[fit], p1)
+        fit = np.flatnonzero(~first[v] & train)
+        trie = Trie(len(names), v[fit].astype(np.int64), u[fit], w[fit], p1, far)
         del fit
+        far |= first
         ask = np.flatnonzero(~far[v])
         score[ask] = trie.score(v[ask].astype(np.int64), u[ask], w[ask], log1)
+        del ask
+        chunk_of, ends = np.array(chunks), np.cumsum(n)
         wide = np.flatnonzero(far[v])
-        with np.errstate(divide="ignore"):
-            if len(wide):
-                key = v[wide] * np.int64(len(p1)) + w[wide]
-                kinds, of = np.unique(key, return_inverse=True)
-                c = np.bincount(of, train[wide].astype(np.float64), len(kinds))
-                score[wide] = np.log10((c[of] + MU * p1[w[wide]]) / (count[v[wide]] + MU))
+        if len(wide):
+            a, b = trie.parts(v[wide].astype(np.int64), u[wide], w[wide])  # a start has no context
+            rare = w[wide] >= numbers
+            w_hash = np.zeros(len(wide), np.uint64)
+            w_hash[rare] = unlisted[w[wide[rare]] - numbers]
+            yield from handed_on(number[v[wide]], np.where(rare, UNKNOWN, w[wide]), w_hash, train[wide], a, b,
+                                 chunk_of[np.searchsorted(ends, wide, "right")], doc[wide], buckets)
+            del a, b, rare, w_hash
+        del wide
+        no_w = no_w[~far[v[no_w]]]
         if len(no_w):
-            near, weight = ~far[v[no_w]], MU / (count[v[no_w]] + MU)
-            weight[near] = 10 ** trie.weights(v[no_w[near]].astype(np.int64), u[no_w[near]])
-            yield from deferred(unlisted[w[no_w] - numbers], 10.0 ** score[no_w], weight, np.repeat(np.array(chunks), n)[no_w], doc[no_w], buckets)
+            weight = 10 ** trie.weights(v[no_w].astype(np.int64), u[no_w])
+            yield from deferred(unlisted[w[no_w] - numbers], 10.0 ** score[no_w], weight, chunk_of[np.searchsorted(ends, no_w, "right")], doc[no_w], buckets)
             score[no_w] = 0
         trie.close()
         at, out = 0, []
@@ -429,9 +531,9 @@ def assembled(batches, tokens: int, kinds: int, ends: int):
                      train_tokens=[tokens] * len(docs), base_score=sums[1] + np.log10(ends + 1.0) - n * share, score=sums[0])
 
 
-def score(docs: DataFrame, held_out: Column, vocabulary: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, vocabulary: int = 1_500_000, most: int = 4_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``; learns from the rows
-    that are not held out."""
+    that are not held out. Words of over ``most`` occurrences are spread over buckets; results don't depend on it."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = docs.select("doc_id", held_out.alias("held_out"), "text")
@@ -457,15 +559,22 @@ def score(docs: DataFrame, held_out: Column, vocabulary: int = 1_500_000) -> Dat
     prior[[UNKNOWN, START]] = 0  # words without a number have their own
     prior[END] = (ends + 1) / (tokens + kinds + 1)
     prior[FIRST:] = (count + 1) / (tokens + kinds + 1)
-    wide = count * HOT > max(tokens, HOT * 4)
+    wide = count > max(min(tokens / HOT, most), 4)
+    hot_ids = np.flatnonzero(wide) + FIRST
     hot = head[wide].tobytes()
     events = table.mapInArrow(task("lm_score", "occurrences", buckets=n, head=head.tobytes(), hot=hot), EVENTS_SQL)
     sums = staged(events.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        task("lm_score", "summed", prior=prior.tobytes(), hot=hot, hot_counts=count[wide].tobytes(), starts=ends, buckets=n), EVENTS_SQL), "sums")
+        task("lm_score", "summed", prior=prior.tobytes(), hot=hot, hot_ids=hot_ids.tobytes(), hot_counts=count[wide].tobytes(), starts=ends, buckets=n),
+        EVENTS_SQL), "sums")
+    met_pairs = sums.where("idx = -2").select("bucket", "body", "rare").mapInArrow(task("lm_score", "met"), "bucket int, listed binary, rare binary")
+    followers = met_pairs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(task("lm_score", "kinds_met"), "v long, k long")
+    followers = dict(followers.groupBy("v").agg(F.sum("k")).collect())  # a row for each common word
+    common = np.r_[START, hot_ids]
     known = counted.where("words is not null").select(*[F.col(f.name) if f.name in ("bucket", "words", "counts") else
                                                         (F.lit(-1) if f.name == "idx" else F.lit(None)).cast(f.dataType).alias(f.name) for f in sums.schema])
     late = sums.where("chunk is null").union(known).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        task("lm_score", "closed", share=float(tokens + kinds + 1)), EVENTS_SQL)
+        task("lm_score", "closed", share=float(tokens + kinds + 1), prior=prior.tobytes(), common=common.tobytes(), totals=np.r_[ends, count[wide]].tobytes(),
+             kinds=np.array([followers.get(int(v), 0) for v in common]).tobytes()), EVENTS_SQL)
     sums = sums.where("chunk is not null").union(late)
     return sums.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(
         task("lm_score", "assembled", tokens=tokens, kinds=kinds, ends=ends),

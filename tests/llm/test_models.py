@@ -172,6 +172,50 @@ def test_scores_do_not_depend_on_the_vocabulary(spark, docs):
             assert s[:-1] == r[:-1] and abs(s.score - r.score) < 0.05 * r.n_tokens + 0.01  # a code's step
 
 
+def plain_scores(rows, held):
+    """log10 probabilities of all texts by a plain interpolated trigram model; a text's first word has no context but the start."""
+    d, start, end = lm_score.DISCOUNT, "<start>", "<end>"
+    steps = {}
+    for i, (doc_id, t) in enumerate(rows):
+        words = [start, *(w.decode("utf-8") for w in (t or "").encode().lower().split()), end]
+        steps[i] = [(words[j - 1] if j else start, words[j], words[j + 1]) for j in range(len(words) - 1)]
+    train = [x for i, (doc_id, _) in enumerate(rows) if not held(doc_id) for x in steps[i]]
+    one, n = collections.Counter(w for _, _, w in train), len(train)
+    two, after = collections.Counter((v, w) for _, v, w in train), collections.Counter(v for _, v, _ in train)
+    tri, ctx = collections.Counter(x for x in train if x[1] != start), collections.Counter((u, v) for u, v, _ in train if v != start)
+    kinds2, kinds3 = collections.Counter(v for v, _ in two), collections.Counter((u, v) for u, v, _ in tri)
+    out = []
+    for i in range(len(rows)):
+        total = 0.0
+        for u, v, w in steps[i]:
+            p = (one[w] + 1) / (n + len(one) + 1)
+            if after[v]:
+                p = max(two[v, w] - d, 0) / after[v] + d * kinds2[v] / after[v] * p
+            if ctx[u, v]:
+                p = max(tri[u, v, w] - d, 0) / ctx[u, v] + d * kinds3[u, v] / ctx[u, v] * p
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("vocabulary, most, hot", [(1_500_000, 4_000_000, 256), (1_500_000, 6, 256), (12, 6, 3), (12, 4_000_000, 0)])
+def test_scores_equal_a_plain_trigram_model(spark, docs, vocabulary, most, hot, monkeypatch):
+    monkeypatch.setattr(lm_score, "HOT", hot or 0.1)  # 0.1: no word is common
+    rng = random.Random(16)
+    words = ["the"] * 210 + [f"w{i}" for i in range(20)] + [f"w{i}" for i in range(400)]  # a third of all words is one
+    rows = [(100 + i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(200)]
+    rows += [(1, None), (2, ""), (3, "the"), (None, "the the the the w1 the"), (5, "the w1 the"), (5, "the w1 the"), (6, "new words after the new the w399")]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    want = collections.defaultdict(list)
+    for (i, t), s in zip(rows, plain_scores(rows, held)):
+        want[i, len((t or "").split()) + 1].append(s)
+    got = lm_score.score(docs(rows), fold(7) == 2, vocabulary=vocabulary, most=most).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        s = want[r.doc_id, r.n_tokens].pop()
+        assert abs(r.score - s) < 0.1 * r.n_tokens ** 0.5 + 0.05, (r, s)  # codes of a step of 12 / 255
+
+
 def test_trie_equals_plain_counts():
     rng = np.random.default_rng(2)
     n, words, ids = 4000, 12, 30
