@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import staged, task, texts, trim
 from .ngram_join import from_six, mixed, record, runs, six
 
-FLUSH, DOCS, HOT, ASKED, DISCOUNT, FLOOR = 1_000_000, 32_000, 256, 400_000, 0.75, -12.0
+FLUSH, DOCS, HOT, ASKED, BLOCK, DISCOUNT, FLOOR = 1_000_000, 32_000, 256, 400_000, 8192, 0.75, -12.0
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 NONE = 255  # the code of a probability of 0
 ID = np.uint64((1 << 21) - 1)
@@ -189,7 +189,8 @@ def occurrences(batches, buckets: int, head: bytes, hot: bytes):
 
 # --- the trie ------------------------------------------------------------------------------------------------------
 class EliasFano:
-    """A non-decreasing sequence: low bytes plain, high parts in unary, in a file that is mapped into memory."""
+    """A non-decreasing sequence: low bytes plain, high parts in unary, in a file that is mapped into memory. Of every ``BLOCK``
+    values the first and its bit are kept as samples; questions are sorted, and a block is decoded while it answers its own."""
 
     def __init__(self, values: np.ndarray, file):
         self.n = n = len(values)
@@ -199,21 +200,52 @@ class EliasFano:
         high = (values.astype(np.uint64) >> np.uint64(8 * self.low)).astype(np.int64) if self.low < 8 else np.zeros(n, np.int64)
         bits = np.zeros((int(high[-1]) if n else 0) + n + 1, bool)
         bits[high + np.arange(n)] = True
-        self.at, self.bits, self.file = file.seek(0, os.SEEK_END), len(bits), file
+        self.first = values[::BLOCK].astype(np.int64)
+        self.bit = np.r_[(high + np.arange(n))[::BLOCK], len(bits)]
+        self.at, self.file, self.data = file.seek(0, os.SEEK_END), file, None
         file.write(raw.tobytes())
         file.write(np.packbits(bits).tobytes())
 
-    def decode(self) -> np.ndarray:
-        """All values; a level is one block here, since a bucket's share of it is small."""
-        self.file.flush()
-        if not self.n:
-            return np.zeros(0, np.int64)
-        data = np.memmap(self.file, np.uint8, "r", self.at, self.n * self.low + (self.bits + 7) // 8)
-        high = np.flatnonzero(np.unpackbits(data[self.n * self.low:], count=self.bits)) - np.arange(self.n)
-        raw = np.zeros((self.n, 8), np.uint8)
-        raw[:, :self.low] = data[:self.n * self.low].reshape(self.n, self.low)
+    def block(self, k: int) -> np.ndarray:
+        """The values from k * BLOCK on."""
+        if self.data is None:
+            self.file.flush()
+            self.data = np.asarray(np.memmap(self.file, np.uint8, "r", self.at, self.n * self.low + (int(self.bit[-1]) + 7) // 8))
+        a, b = k * BLOCK, min(self.n, (k + 1) * BLOCK)
+        x, y = int(self.bit[k]), int(self.bit[k + 1])
+        bits = np.unpackbits(self.data[self.n * self.low + x // 8:self.n * self.low + (y + 7) // 8])[x % 8:x % 8 + y - x]
+        high = np.flatnonzero(bits) + (x - np.arange(a, b))
+        raw = np.zeros((b - a, 8), np.uint8)
+        raw[:, :self.low] = self.data[a * self.low:b * self.low].reshape(b - a, self.low)
         return raw.view("<u8").ravel().astype(np.int64) + (high << 8 * self.low if self.low < 8 else 0)
 
+    def decode(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(self.block(k) for k in range(len(self.first)))])
+
+    def visits(self, asked: np.ndarray, marks: np.ndarray):
+        """Blocks with the places in ``asked`` of the questions from their mark up to the next one."""
+        order = np.argsort(asked)
+        edges = np.r_[np.searchsorted(asked[order], marks), len(asked)]
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            yield k, self.block(k), order[edges[k]:edges[k + 1]]
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """Where each asked value stands, -1 where it doesn't: its successor's place, if equal."""
+        out = np.full(len(asked), -1)
+        for k, level, places in self.visits(asked, self.first):
+            value = asked[places]
+            at = np.searchsorted(level, value)
+            at[at == len(level)] = 0
+            out[places] = np.where(level[at] == value, at + k * BLOCK, -1)
+        return out
+
+    def get(self, index: np.ndarray) -> np.ndarray:
+        """The values at ``index``."""
+        out = np.empty(len(index), np.int64)
+        for k, level, places in self.visits(index, np.arange(0, self.n, BLOCK)):
+            out[places] = level[index[places] - k * BLOCK]
+        return out
+
 
 def quantised(logs: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(logs / FLOOR, 0, 1) * 255).astype(np.uint8)
@@ -223,13 +255,6 @@ def opened(codes: np.ndarray) -> np.ndarray:
     return codes.astype(np.float64) * (FLOOR / 255)
 
 
-def position(level: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Where each asked value stands in a level, -1 where it doesn't: its successor's place, if equal."""
-    at = np.searchsorted(level, asked)
-    at[at == len(level)] = 0
-    return np.where(level[at] == asked, at, -1) if len(level) else np.full(len(asked), -1)
-
-
 class Trie:
     """The n-grams of a bucket's words v (0 ... words - 1) from training occurrences (v, u, w); u and w number into ``prior``,
     which is 0 where only the bucket of w knows it. Of a word in ``open_words`` the bucket has whole contexts (v, u) only, so
@@ -287,19 +312,18 @@ class Trie:
 
     def places(self, v: np.ndarray, u: np.ndarray, w: np.ndarray):
         """Blocks of questions, and where their pairs, contexts and trigrams stand in the levels, or -1."""
-        pairs, longer, tri, begin, offset = (x.decode() for x in (self.pairs, self.longer, self.tri, self.begin, self.offset))
         for i in range(0, len(v), ASKED):
             part = slice(i, min(i + ASKED, len(v)))
-            at, ctx = position(pairs, v[part] * self.span + w[part]), position(longer, v[part] * self.span + u[part])
+            at, ctx = self.pairs.find(v[part] * self.span + w[part]), self.longer.find(v[part] * self.span + u[part])
             inner = np.flatnonzero((at >= 0) & (ctx >= 0))
             third = np.full(len(at), -1)
-            third[inner] = position(tri, offset[ctx[inner]] + at[inner] - begin[v[part][inner]])
+            third[inner] = self.tri.find(self.offset.get(ctx[inner]) + at[inner] - self.begin.get(v[part][inner]))
             yield part, at, ctx, third
 
     def weights(self, v: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Logs of the weight of a word's own probability in the predictions after (v, u)."""
         _, _, back, back3 = self.codes
-        ctx = position(self.longer.decode(), v * self.span + u)
+        ctx = self.longer.find(v * self.span + u)
         return opened(back[v]) + np.where(ctx >= 0, opened(back3[ctx]) if len(back3) else 0.0, 0.0)
 
     def close(self) -> None:

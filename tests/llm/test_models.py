@@ -237,13 +237,24 @@ def test_trie_equals_plain_counts():
 
 
 @pytest.mark.parametrize("top", [0, 5, 1 << 14, 1 << 40])
-def test_elias_fano(top):
+def test_elias_fano(top, monkeypatch):
     import tempfile
     rng = np.random.default_rng(1)
-    for n in (0, 1, 2, 1000):
+    monkeypatch.setattr(lm_score, "BLOCK", 64)
+    for n in (0, 1, 2, 64, 65, 1000):
         x = np.sort(rng.integers(0, top + 1, n))
         with tempfile.TemporaryFile() as f:
-            assert (lm_score.EliasFano(x, f).decode() == x).all()
+            f.write(b"before")
+            level = lm_score.EliasFano(x, f)
+            assert (level.decode() == x).all()
+            at = rng.integers(0, n, 300) if n else np.zeros(0, np.int64)
+            assert (level.get(at) == x[at]).all()
+        single = np.unique(x)
+        with tempfile.TemporaryFile() as f:
+            level = lm_score.EliasFano(single, f)
+            asked = np.r_[single, single + 1, rng.integers(0, top + 2, 50), -1, top + 1]
+            place = {int(y): i for i, y in enumerate(single)}
+            assert level.find(asked).tolist() == [place.get(int(y), -1) for y in asked]
 
 
 def test_model_beats_base_held_out(spark, sf):
