@@ -562,7 +562,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary: int = 1_500_000, most:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = docs.select("doc_id", held_out.alias("held_out"), "text")
     counted = table.select("held_out", "text").mapInArrow(task("lm_score", "words_of", buckets=n), COUNTS_SQL)
-    counted = staged(counted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(task("lm_score", "words_added"), COUNTS_SQL), "words")
+    counted = staged(counted.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(task("lm_score", "words_added"), COUNTS_SQL), "words")
     totals = counted.agg(F.sum("n"), F.sum("ends")).first()
     ends = totals[1] or 0
     tokens = (totals[0] or 0) + ends
@@ -587,16 +587,16 @@ def score(docs: DataFrame, held_out: Column, vocabulary: int = 1_500_000, most:
     hot_ids = np.flatnonzero(wide) + FIRST
     hot = head[wide].tobytes()
     events = table.mapInArrow(task("lm_score", "occurrences", buckets=n, head=head.tobytes(), hot=hot), EVENTS_SQL)
-    sums = staged(events.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    sums = staged(events.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(
         task("lm_score", "summed", prior=prior.tobytes(), hot=hot, hot_ids=hot_ids.tobytes(), hot_counts=count[wide].tobytes(), starts=ends, buckets=n),
         EVENTS_SQL), "sums")
     met_pairs = sums.where("idx = -2").select("bucket", "body", "rare").mapInArrow(task("lm_score", "met"), "bucket int, listed binary, rare binary")
-    followers = met_pairs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(task("lm_score", "kinds_met"), "v long, k long")
+    followers = met_pairs.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(task("lm_score", "kinds_met"), "v long, k long")
     followers = dict(followers.groupBy("v").agg(F.sum("k")).collect())  # a row for each common word
     common = np.r_[START, hot_ids]
     known = counted.where("words is not null").select(*[F.col(f.name) if f.name in ("bucket", "words", "counts") else
                                                         (F.lit(-1) if f.name == "idx" else F.lit(None)).cast(f.dataType).alias(f.name) for f in sums.schema])
-    late = sums.where("chunk is null").union(known).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    late = sums.where("chunk is null").union(known).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(
         task("lm_score", "closed", share=float(tokens + kinds + 1), prior=prior.tobytes(), common=common.tobytes(), totals=np.r_[ends, count[wide]].tobytes(),
              kinds=np.array([followers.get(int(v), 0) for v in common]).tobytes()), EVENTS_SQL)
     sums = sums.where("chunk is not null").union(late)
