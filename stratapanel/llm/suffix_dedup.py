@@ -4,6 +4,8 @@ Every string of ``depth`` bytes is assigned to the window minimum of the hashes
 minima, so all starts of a string meet in the shard of its minimum, wherever they stand. Neighbouring starts of one minimum
 form a run; its context (the run's bytes and the depth behind its last start) is what a shard needs. Contexts whose minimum
 occurs once in the corpus hold nothing repeated (runs that hold it twice count as two) and go no further; equal contexts travel once, with their multiplicity.
+A repeated string has the minimum at one place in all its copies, so it shares with them half of its other bytes before that
+gram, or half behind it: a context that shares neither half with another of its minimum is dropped before the sort, too.
 
 A shard's contexts are laid end to end, and their suffixes and common prefixes come from ``induced.suffixes``: queues of
 suffix tuples and prefixes, on disk beyond a limit, through recursive induction. A start is repeated if its context has
@@ -27,8 +29,9 @@ from .common import staged, task
 from .induced import suffixes
 
 GRAM, FLUSH, SHARD = 16, 2 << 20, 3 << 20
-RUNS = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("len", pa.int64()), ("m", pa.int64()), ("inner", pa.int64())])
-RUNS_SQL = "key long, ctx long, did long, th long, start long, len long, m long, inner long"
+RUNS = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("len", pa.int64()), ("m", pa.int64()), ("inner", pa.int64()),
+                 ("lh", pa.int32()), ("rh", pa.int32())])
+RUNS_SQL = "key long, ctx long, did long, th long, start long, len long, m long, inner long, lh int, rh int"
 SPANS = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -59,6 +62,31 @@ def window_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[:len(h) - w + 1], m[w - span:w - span + len(h) - w + 1])
 
 
+def halves(h: np.ndarray, key: np.ndarray, at: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bytes before and behind the first gram of each run's minimum, of half a string each; 0 where a run's
+    context does not hold them. Of no use for runs that hold their minimum twice."""
+    half = (depth - GRAM) // 2
+    if half < GRAM:   # too short to tell: all runs of a minimum may share
+        return np.ones(len(at), np.int32), np.ones(len(at), np.int32)
+    wide, gram = np.arange(depth - GRAM + 1), np.empty(len(at), np.int64)
+    for i in range(0, len(at), 2048):
+        a = stop[i:i + 2048] - 1
+        spots = np.minimum(a[:, None] + wide, len(h) - 1)
+        gram[i:i + 2048] = a + (h[spots] == key[i:i + 2048, None]).argmax(1)
+    steps = [*range(0, half - GRAM, GRAM), half - GRAM]
+
+    def mixed(first, ok):
+        out = np.zeros(len(at), np.int32)
+        place, mix = first[ok], np.zeros(int(ok.sum()), np.uint64)
+        for k in steps:
+            mix = (mix ^ h[place + k]) * _B
+            mix ^= mix >> np.uint64(31)
+        out[ok] = (mix >> np.uint64(33)).astype(np.int32) | 1
+        return out
+
+    return mixed(gram - half, gram - half >= at), mixed(gram + GRAM, gram + GRAM + half <= stop - 1 + depth)
+
+
 def run_rows(docs: list[tuple[int, int, bytes]], depth: int):
     """Runs of the documents, equal contexts of this block together; those beyond the first of a context come with m = 0."""
     data = np.frombuffer(b"".join(t for _, _, t in docs), np.uint8)
@@ -85,6 +113,7 @@ def run_rows(docs: list[tuple[int, int, bytes]], depth: int):
     # a run that goes on behind its first minimum holds another, and may repeat a string within itself
     hits = np.r_[0, np.cumsum(h[:len(low)] == low)]
     inner = (hits[stop - 1] > hits[at]).astype(np.int64)
+    lh, rh = halves(h, low[at], at, stop, depth)
     order = np.lexsort((ctx, key))
     k, c = key[order], ctx[order]
     lead = np.ones(len(k), bool)
@@ -94,7 +123,7 @@ def run_rows(docs: list[tuple[int, int, bytes]], depth: int):
     m[lead] = count
     did, th = np.array([d for d, _, _ in docs], np.int64), np.array([t for _, t, _ in docs], np.int64)
     at, stop, doc = at[order], stop[order], doc[order]
-    return [k, c, did[doc], th[doc], at - begins[doc], stop - at, m, inner[order]]
+    return [k, c, did[doc], th[doc], at - begins[doc], stop - at, m, inner[order], lh[order], rh[order]]
 
 
 def runs(batches, depth: int):
@@ -122,7 +151,8 @@ def runs(batches, depth: int):
 
 def shared(batches):
     """Rows come by key and context. Gives, of keys that occur more than once: a row with m > 0 (its multiplicity) for each
-    distinct context, and rows with m = 0 for further copies, which are repeated whole. Holds a block and one open key."""
+    distinct context that may hold repeats, and rows with m = 0 for further copies, which are repeated whole. Holds a block and
+    one open key."""
     held = None
 
     def out(c):
@@ -131,7 +161,15 @@ def shared(batches):
         new_ctx = new_key | np.r_[True, ctx[1:] != ctx[:-1]]
         gk, gc = np.cumsum(new_key) - 1, np.cumsum(new_ctx) - 1
         total, copies = np.bincount(gk, m + c[7]), np.bincount(gc, m)
-        keep = total[gk] > 1
+        may = (copies > 1) | (np.bincount(gk, c[7])[gk[new_ctx]] > 0)   # copies, or a run that may repeat a string within itself
+        of = gk[new_ctx]
+        for half in (c[8][new_ctx], c[9][new_ctx]):
+            some = np.flatnonzero((half != 0) & (total[of] > 1))
+            some = some[np.lexsort((half[some], of[some]))]
+            same = (of[some][1:] == of[some][:-1]) & (half[some][1:] == half[some][:-1])
+            may[some[1:][same]] = True
+            may[some[:-1][same]] = True
+        keep = may[gc] & (total[gk] > 1)
         c[6] = np.where(new_ctx, copies[gc], 0).astype(np.int64)
         rows = [x[keep] for x in c]
         for i in range(0, len(rows[0]), 20_000):
@@ -148,10 +186,10 @@ def shared(batches):
             # a key of very many rows: fold the copies of what is held so far, give the further ones at once
             new = np.r_[True, c[1][1:] != c[1][:-1]]
             copies = np.bincount(np.cumsum(new) - 1, c[6]).astype(np.int64)
-            rest = [x[~new] for x in c[:6]] + [np.zeros(int((~new).sum()), np.int64), c[7][~new]]
+            rest = [x[~new] for x in c[:6]] + [np.zeros(int((~new).sum()), np.int64), *[x[~new] for x in c[7:]]]
             for i in range(0, len(rest[0]), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 20_000]) for x in rest], schema=RUNS)
-            c = [x[new] for x in c[:6]] + [copies, c[7][new]]
+            c = [x[new] for x in c[:6]] + [copies, *[x[new] for x in c[7:]]]
         elif cut:
             yield from out([x[:cut] for x in c])
             c = [x[cut:] for x in c]

@@ -183,3 +183,29 @@ def test_cut_repeats_with_clashing_columns(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, spans string, a int")
     got = {r.doc_id: tuple(r) for r in suffix_dedup.cut_repeats(table, depth=60).collect()}
     assert got == {1: (1, "ab", "x", 7), 2: (2, "cd", "y", 8), 3: (3, None, None, None), 4: (4, "", "z", 9)}
+
+
+def test_contexts_that_share_a_phrase_only_are_not_sorted():
+    """Texts with one common phrase of 60 bytes hold no repeated string of 200; one pair of them shares 200 bytes around it."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    phrase = b"the same sixty bytes in each of the texts, and nothing besides"
+    made = [rng.integers(97, 123, 400, dtype=np.uint8).tobytes() for _ in range(200)]
+    docs = [(i, 0, t[:200] + phrase + t[200:]) for i, t in enumerate(made)]
+    docs.append((200, 0, made[0][:20] + docs[7][2][130:330] + made[1][:20]))
+    columns = suffix_dedup.run_rows(docs, 200)
+    order = np.lexsort((columns[1], columns[0]))
+    rows = pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], schema=suffix_dedup.RUNS)
+    kept = pa.Table.from_batches(list(suffix_dedup.shared([rows])), suffix_dedup.RUNS)
+    plain = [c.copy() for c in columns]
+    plain[8][:] = 1   # as if all shared a half
+    all_rows = pa.RecordBatch.from_arrays([pa.array(c[order]) for c in plain], schema=suffix_dedup.RUNS)
+    whole = pa.Table.from_batches(list(suffix_dedup.shared([all_rows])), suffix_dedup.RUNS)
+
+    def starts(table):
+        body = [(docs[d][2][a:a + n + 199], n, m) for d, a, n, m in zip(*(table.column(c).to_pylist() for c in ("did", "start", "len", "m"))) if m]
+        at = [(d, a) for d, a, m in zip(*(table.column(c).to_pylist() for c in ("did", "start", "m"))) if m]
+        return {(d, a + i) for (d, a), f in zip(at, suffix_dedup.repeats(body, 200)) for x, y in f for i in range(x, y)}
+
+    assert len(kept) < len(whole)
+    assert starts(kept) == starts(whole) == {(7, 130), (200, 20)}
