@@ -6,8 +6,8 @@ multiset of lengths that fits a sequence. Multiplicative weights solve it: lengt
 programming finds the best configurations at those prices, each length asks for its share of them, and lengths that got more
 than their share become cheaper. Prices divided by the best configuration's are feasible in the dual, so each round gives a
 lower bound on the number of sequences. Configurations of the mixture that are worth their price are taken as whole sequences,
-the rest is priced anew, and what is left in the end is packed best-fit decreasing. Best-fit decreasing alone is taken where it
-is within ``GAP`` of the bound. Pieces then learn their place by their rank within their length, computed in salted parts so that a length that most documents share
+the rest is priced anew, and what is left in the end is packed best-fit decreasing. The program is solved for every histogram;
+its rest is priced anew only until the whole is within ``GAP`` of the bound. Pieces then learn their place by their rank within their length, computed in salted parts so that a length that most documents share
 is not one task. A null text is one piece holding just the final id 0. Repeated and null ids keep their rows apart.
 """
 
@@ -26,6 +26,7 @@ from .common import flushed, staged, task, texts
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 SALTS = 64
+GAP = 0.001   # share over the lower bound at which a packing is good enough to stop
 
 
 def pieces(batches, path: str, size: int):
@@ -145,10 +146,12 @@ def weighed(size: int, lengths: np.ndarray, counts: np.ndarray, weights: np.ndar
 
 
 def rounded(histogram: dict[int, int], size: int, first: int = 60, later: int = 15, phases: int = 24) -> tuple[list[tuple[Counter, int]], float]:
-    """(configurations with their times, lower bound): the program solved, whole sequences taken, the rest solved again."""
+    """(configurations with their times, lower bound): the program solved, whole sequences taken, the rest solved again until the
+    sequences taken and the rest's best fit come within ``GAP`` of the bound; the phase with the fewest sequences counts."""
     lengths = np.array(sorted(histogram))
     left = np.array([histogram[int(n)] for n in lengths], np.int64)
     weights, slack, out, bound = np.zeros(len(lengths)), 0.002, Counter(), 0.0
+    found, fewest = [], math.inf
     for phase in range(phases):
         at = np.flatnonzero(left)
         if not len(at) or slack > 0.1:
@@ -168,8 +171,13 @@ def rounded(histogram: dict[int, int], size: int, first: int = 60, later: int =
         if ((left[at] - now) * n).sum() < 0.15 * (left[at] * n).sum():   # little was worth its price: ask for less
             slack *= 1.7
         left[at] = now
-    tail = best_fit({int(n): int(c) for n, c in zip(lengths, left)}, size)
-    return repeated([(Counter(dict(c)), t) for c, t in out.items()] + tail), bound
+        tail = best_fit({int(n): int(c) for n, c in zip(lengths, left)}, size)
+        n_now = sum(out.values()) + made(tail)
+        if n_now < fewest:
+            found, fewest = repeated([(Counter(dict(c)), t) for c, t in out.items()] + tail), n_now
+        if n_now <= math.ceil(bound * (1 + GAP) - 1e-9):
+            break
+    return found, bound
 
 
 def repeated(configs: list[tuple[Counter, int]]) -> list[tuple[Counter, int]]:
@@ -218,7 +226,8 @@ def covered(histogram: dict[int, int], size: int, rounds: int = 160, step: float
     return repeated(out + best_fit(left, size))
 
 
-GAP = 0.001   # share over the lower bound at which a packing is good enough to stop
+def made(configs: list[tuple[Counter, int]]) -> int:
+    return sum(k for _, k in configs)
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[Counter, int]]:
@@ -233,18 +242,9 @@ def bounded_plan(histogram: dict[int, int], size: int) -> tuple[list[tuple[Count
     whole = [(Counter({size: 1}), full)] if full else []
     if not left:
         return whole, float(full)
-    found = repeated(best_fit(left, size))
-    bound = sum(n * c for n, c in left.items()) / size   # the dual at prices in proportion to length
-
-    def made(configs):
-        return sum(k for _, k in configs)
-
-    if made(found) > math.ceil(bound * (1 + GAP) - 1e-9):
-        by_program, low = rounded(left, size)
-        bound = max(bound, low)
-        found = min(found, by_program, key=made)
-        if made(found) > math.ceil(bound * 1.01):
-            found = min(found, covered(left, size), key=made)
+    found, bound = rounded(left, size)
+    if made(found) > math.ceil(bound * 1.01):
+        found = min(found, covered(left, size), key=made)
     return whole + found, full + bound
 
 

@@ -156,3 +156,14 @@ def test_bound_is_below_every_packing():
         configs, bound = packing.bounded_plan(histogram, 2048)
         assert bound <= sum(k for _, k in configs) <= sum(k for _, k in packing.best_fit(histogram, 2048)) and bound >= sum(n * c for n, c in histogram.items()) / 2048 - 1e-6
     assert packing.bounded_plan({}, 2048) == ([], 0.0) and packing.bounded_plan({2048: 3}, 2048)[1] == 3
+
+
+def test_program_is_solved_where_best_fit_meets_the_bound(monkeypatch):
+    solved = []
+    weighed = packing.weighed
+    monkeypatch.setattr(packing, "weighed", lambda *a, **k: solved.append(1) or weighed(*a, **k))
+    histogram = {1024: 40, 512: 8, 100: 30}
+    assert sum(k for _, k in packing.best_fit(histogram, 2048)) == 24
+    configs, bound = packing.bounded_plan(histogram, 2048)
+    assert solved and sum(k for _, k in configs) == 24 and bound > 23
+    assert {n: sum(c[n] * k for c, k in configs) for n in histogram} == histogram
