@@ -172,3 +172,15 @@ def test_samples_are_reproducible(spark):
     assert a == b and len(set(a)) == 100
     keys = sample_keys(df, "k", 5, seed=3)
     assert keys.select("k").distinct().count() == 5 and keys.count() == 500
+
+
+def test_refined_octaves_are_not_broadcast(spark):
+    """Parts grow with the rows where ``spacing`` is small: they travel by exchange, whatever their number."""
+    from stratapanel.operators.ranking import rank_table
+    df = spark.range(400).select((F.col("id") % 3).alias("g"), (F.lit(1.0) + F.col("id") / F.lit(400.0)).alias("v"))
+    ranked = rank_table(df, "v", ["g"], spacing=8)
+    assert "strategy=broadcast" not in ranked._jdf.queryExecution().analyzed().toString()
+    want = {}
+    for g, v in sorted((r.g, r.v) for r in df.collect()):
+        want[g, v] = sum(1 for k in want if k[0] == g) + 1.0
+    assert {(r.g, r.v): r["rank"] for r in ranked.collect()} == want
