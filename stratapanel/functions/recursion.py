@@ -9,10 +9,12 @@ Positions count the non-null inputs of a series, so a row without an input neith
 moves nor decays anything: the state stands over a gap and the next input goes on
 from it. Rows without an input have no output.
 
-d^(-i) would overflow on long series, so positions are cut into blocks of ``BLOCK``
-inputs: the running sum restarts in each block and the last value of the previous
-block is added with its decay. Older blocks carry a weight below d^BLOCK
-(under 1e-40 for every smoother here), which double precision cannot see.
+d^(-i) would overflow on long series, so a series is cut into blocks of ``BLOCK``
+rows, the same for all inputs: the running sum restarts in each block, and what the
+earlier blocks leave is a short fold over their ends (inputs of the block, sum at its
+end), one entry a block. Blocks of rows, and not of inputs, let every window of all
+smoothers share one order (key, block, time): the rows are sorted once for the row
+numbers and once for all the smoothing, however many inputs there are.
 
 Seed rule: the first output is the plain mean of the first n non-null inputs;
 earlier outputs are null.
@@ -38,40 +40,49 @@ def wilder(out: str, x: str, n: int) -> tuple[str, str, int, float]:
     return out, x, n, 1.0 / n
 
 
+def with_blocks(df: DataFrame, key: str, ts: str, block: int = BLOCK) -> DataFrame:
+    """Add ``_blk``, the block of a row in its series, and ``_last``, whether the row ends it."""
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(ts))
+    return df.withColumn("_rn", rn).withColumns(
+        {"_blk": F.floor((F.col("_rn") - F.lit(1)) / F.lit(block)).cast("int"), "_last": F.col("_rn") % F.lit(block) == 0}).drop("_rn")
+
+
 def smooth(df: DataFrame, specs: Iterable[tuple[str, str, int, float]], key: str, ts: str,
            block: int = BLOCK) -> DataFrame:
     """Add one smoothed column per (output, input, n, alpha)."""
+    return smooth_blocks(with_blocks(df, key, ts, block), specs, key, ts).drop("_blk", "_last")
+
+
+def smooth_blocks(df: DataFrame, specs: Iterable[tuple[str, str, int, float]], key: str, ts: str) -> DataFrame:
+    """``smooth`` for rows that have their blocks."""
     specs = list(specs)
-    line = Window.partitionBy(key).orderBy(ts)
+    line = Window.partitionBy(key).orderBy("_blk", ts)
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(key, "_blk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     xs = list(dict.fromkeys(x for _, x, _, _ in specs))
     df = df.withColumns({f"_k_{x}": F.count(x).over(upto) for x in xs} | {f"_a_{x}": F.avg(x).over(upto) for x in xs})
-    place = {}
-    for x in xs:   # block and place of the input last seen
-        k = F.greatest(F.col(f"_k_{x}") - F.lit(1), F.lit(0))
-        place |= {f"_b_{x}": F.floor(k / F.lit(block)).cast("int"), f"_j_{x}": (k % F.lit(block)).cast("double")}
-    df = df.withColumns(place)
-    scaled = {}
+    df = df.withColumns({f"_j_{x}": F.count(x).over(inside).cast("double") for x in xs})   # inputs of the block so far
+
+    def decay(x: str, alpha: float, sign: int = 1) -> Column:
+        return F.pow(F.lit(1.0 - alpha), F.lit(float(sign)) * F.col(f"_j_{x}"))
+
+    def carried(out: str, x: str, alpha: float) -> Column:   # the state at the end of the block before
+        return F.aggregate("_ends", F.lit(0.0), lambda e, b: e * F.pow(F.lit(1.0 - alpha), b[f"_j_{x}"]) + b[f"_s_{out}"])
+
+    sums = {}
     for out, x, n, alpha in specs:
         k = F.col(f"_k_{x}")
         z = F.when(k > n, F.lit(alpha) * F.col(x)).when(k == n, F.col(f"_a_{x}"))
-        scaled[f"_z_{out}"] = F.when(F.col(x).isNotNull(), z) * F.pow(F.lit(1.0 - alpha), -F.col(f"_j_{x}"))
-    df = df.withColumns(scaled)
-    sums = {}
-    for out, x, _, alpha in specs:
-        inside = Window.partitionBy(key, f"_b_{x}").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-        sums[f"_s_{out}"] = F.coalesce(F.sum(f"_z_{out}").over(inside), F.lit(0.0)) * F.pow(F.lit(1.0 - alpha), F.col(f"_j_{x}"))
+        z = F.when(F.col(x).isNotNull(), z) * decay(x, alpha, -1)
+        sums[f"_s_{out}"] = F.coalesce(F.sum(z).over(inside), F.lit(0.0)) * decay(x, alpha)
     df = df.withColumns(sums)
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    ends = {f"_e_{o}": F.last(F.when((F.col(f"_j_{x}") == block - 1) & F.col(x).isNotNull(), F.col(f"_s_{o}")), ignorenulls=True).over(before)
-            for o, x, _, _ in specs}
-    df = df.withColumns(ends)
+    end = F.struct(*[F.col(f"_j_{x}") for x in xs], *[F.col(s) for s in sums])
+    df = df.withColumn("_ends", F.collect_list(F.when(F.col("_last"), end)).over(line.rowsBetween(Window.unboundedPreceding, -1)))
     result = {}
     for out, x, n, alpha in specs:
-        y = F.col(f"_s_{out}") + F.coalesce(F.col(f"_e_{out}") * F.pow(F.lit(1.0 - alpha), F.col(f"_j_{x}") + F.lit(1.0)), F.lit(0.0))
+        y = F.col(f"_s_{out}") + F.when(F.col("_blk") > 0, carried(out, x, alpha)).otherwise(F.lit(0.0)) * decay(x, alpha)
         result[out] = F.when((F.col(f"_k_{x}") >= n) & F.col(x).isNotNull(), y)
-    helpers = [*[f"_{h}_{x}" for x in xs for h in "kabj"], *scaled, *sums, *ends]
-    return df.withColumns(result).drop(*helpers)
+    return df.withColumns(result).drop(*[f"_{h}_{x}" for x in xs for h in "kaj"], *sums, "_ends")
 
 
 def directional_inputs(high: Column, low: Column, close: Column, prev_high: Column,
@@ -92,19 +103,20 @@ def directional_inputs(high: Column, low: Column, close: Column, prev_high: Colu
 def with_indicators(bars: DataFrame, key: str = "scode", ts: str = "date", block: int = BLOCK) -> DataFrame:
     """``bars`` plus _macd, _signal, _rsi9, _rsi14, _atr5, _atr14, _atr20 and _adx14.
 
-    Bars may lack prices; see the module's note on gaps. All windows share the partitioning by ``key``.
+    Bars may lack prices; see the module's note on gaps. All windows share the partitioning by ``key``
+    and, but for the row numbers, one order.
     """
     c = F.col
-    w = Window.partitionBy(key).orderBy(ts)
+    w = Window.partitionBy(key).orderBy("_blk", ts)
     prev = {f"_prev_{x}": F.lag(x).over(w) for x in ("high", "low", "close")}
-    df = bars.withColumns(prev)
+    df = with_blocks(bars, key, ts, block).withColumns(prev)
     moves = directional_inputs(c("high"), c("low"), c("close"), *[c(p) for p in prev])
     df = df.withColumns(moves)
-    df = smooth(df, [
+    df = smooth_blocks(df, [
         ema("_e12", "close", 12), ema("_e26", "close", 26),
         wilder("_atr5", "_tr", 5), wilder("_atr14", "_tr", 14), wilder("_atr20", "_tr", 20),
         wilder("_g9", "_gain", 9), wilder("_l9", "_loss", 9), wilder("_g14", "_gain", 14), wilder("_l14", "_loss", 14),
-        wilder("_p14", "_pdm", 14), wilder("_m14", "_mdm", 14)], key, ts, block)
+        wilder("_p14", "_pdm", 14), wilder("_m14", "_mdm", 14)], key, ts)
     hundred = F.lit(100.0)
     df = df.withColumns({
         "_macd": c("_e12") - c("_e26"),
@@ -112,5 +124,5 @@ def with_indicators(bars: DataFrame, key: str = "scode", ts: str = "date", block
         "_rsi14": hundred * div("_g14", c("_g14") + c("_l14")),
         "_dx": hundred * div(F.abs(c("_p14") - c("_m14")), c("_p14") + c("_m14")),
     })
-    df = smooth(df, [ema("_signal", "_macd", 9), wilder("_adx14", "_dx", 14)], key, ts, block)
-    return df.drop(*prev, *moves, "_e12", "_e26", "_g9", "_l9", "_g14", "_l14", "_p14", "_m14", "_dx")
+    df = smooth_blocks(df, [ema("_signal", "_macd", 9), wilder("_adx14", "_dx", 14)], key, ts)
+    return df.drop("_blk", "_last", *prev, *moves, "_e12", "_e26", "_g9", "_l9", "_g14", "_l14", "_p14", "_m14", "_dx")

@@ -77,6 +77,21 @@ def test_smoothing_equals_recursion(spark, block):
     assert np.allclose(np.array(got[4:], float), np.array(want[4:], float), rtol=1e-12)
 
 
+def test_smoothing_sorts_no_more_than_twice(spark):
+    """One order for the row numbers and one for all smoothers: memory of a task does not grow with the number of inputs."""
+    bars = spark.range(100).selectExpr("id % 3 AS scode", "date_add(DATE '2024-01-01', CAST(id AS INT)) AS date", "id + 2.0D AS high", "id + 0.5D AS low", "id + 1.0D AS close")
+    plan = rec.with_indicators(bars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_smoothing_carries_over_blocks_with_few_inputs(spark):
+    """Blocks of five rows that hold one input, or none at all: the state of the first block still counts in the last."""
+    v = [100.0, 100.0, 100.0] + [None] * 13 + [0.0] + [None] * 6 + [0.0, 0.0]
+    df = rec.smooth(series_df(spark, v), [("y", "x", 3, 0.1), ("z", "x", 2, 0.5)], "scode", "date", 5)
+    assert [round(y, 9) for y in values(df, "y") if y is not None] == [100.0, 90.0, 81.0, 72.9]
+    assert [z for z in values(df, "z") if z is not None] == [100.0, 100.0, 50.0, 25.0, 12.5]
+
+
 def test_probit_matches_standard_library(spark):
     from statistics import NormalDist
     ps = [1e-12, 1e-6, 0.01, 0.05, 0.3, 0.5, 0.77, 0.99, 1 - 1e-6]
