@@ -15,7 +15,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE = 300_000  # words kept by a worker; beyond it the cache starts anew, results do not depend on it
+CACHE = 300_000  # words of a generation kept by a worker; results do not depend on it
 LEAF = 512       # characters of a leaf of the tree
 
 
@@ -128,6 +128,14 @@ def byte_level(piece: bytes) -> str:
     return piece.decode("latin-1").translate(BYTE_CHARS)
 
 
+_BYTES = {chr(c): b for b, c in BYTE_CHARS.items()}
+
+
+def raw_bytes(piece: str) -> bytes:
+    """The bytes of a byte-level piece."""
+    return bytes(map(_BYTES.__getitem__, piece))
+
+
 # How the two public files cut a text into pieces.
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_SPLIT_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -136,15 +144,48 @@ LATIN = re.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+\Z")
 BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-class WordEncoder(dict):
-    """White-space separated word (bytes) -> ids (little-endian), for files whose pieces never hold white space."""
+class Generations(dict):
+    """Ids of byte strings: a full generation becomes the old one, and what is met again moves on from there, so frequent
+    strings outlive any number of rare ones. Strings of 64 bytes and more are not kept."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.ids(key)
+        if len(key) < 64:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class Pieces(Generations):
+    """Piece -> ids (little-endian)."""
+
+    def __init__(self, bpe: Merges, code: str):
+        super().__init__()
+        self.bpe, self.code = bpe, code
+
+    def ids(self, piece: bytes) -> bytes:
+        return array(self.code, self.bpe.merge(byte_level(piece))).tobytes()
+
+
+class WordEncoder(Generations):
+    """White-space separated word (bytes) -> ids (little-endian), for files whose pieces never hold white space.
+
+    Pieces are looked up by their bytes, so a new word made of known pieces needs no text of its own."""
 
     def __init__(self, path: str):
         super().__init__()
         self.bpe = merges(path)
         self.dtype = np.dtype("<u2" if self.bpe.width == 2 else "<u4")
         self.code = "H" if self.bpe.width == 2 else "I"
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self.bpe, self.code)
 
     def cut(self, word: bytes) -> list[str]:
         """Byte-level pieces of a word."""
@@ -159,24 +200,16 @@ class WordEncoder(dict):
         lib = self.bpe.lib
         return [p for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))]
 
-    def piece(self, p: str) -> bytes:
-        ids = self.pieces.get(p)
-        if ids is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            ids = array(self.code, self.bpe.merge(p)).tobytes()
-            if len(p) < 64:
-                self.pieces[p] = ids
-        return ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        cut = self.cut(word)
-        ids = self.piece(cut[0]) if len(cut) == 1 else b"".join(map(self.piece, cut))
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+    def ids(self, word: bytes) -> bytes:
+        if word.isalpha():   # of bytes: ASCII letters only
+            return self.pieces[word.lower()]
+        if word.isascii():
+            return b"".join(map(self.pieces.__getitem__, WORD_SPLIT_ASCII.findall(word.lower())))
+        text = word.decode()
+        if LATIN.match(text):
+            text = text.lower()
+            return b"".join([self.pieces[p.encode()] for p in ([text] if text.isalpha() else WORD_SPLIT.findall(text))])
+        return b"".join([self.pieces[raw_bytes(p)] for p in self.cut(word)])
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole text; the file's special strings count as their tokens."""

@@ -167,3 +167,18 @@ def test_program_is_solved_where_best_fit_meets_the_bound(monkeypatch):
     configs, bound = packing.bounded_plan(histogram, 2048)
     assert solved and sum(k for _, k in configs) == 24 and bound > 23
     assert {n: sum(c[n] * k for c, k in configs) for n in histogram} == histogram
+
+
+def test_frequent_words_outlive_rare_ones(monkeypatch):
+    """A word of every text is merged once however many rare words pass between; ids are the library's."""
+    import public_tokenizers
+    from stratapanel.llm import bpe
+    monkeypatch.setattr(bpe, "CACHE", 8)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, merged = bpe.WordEncoder(path), []
+    plain = e.bpe.merge
+    monkeypatch.setattr(bpe.Merges, "merge", lambda self, p: merged.append(p) or plain(p))
+    words = [w for i in range(300) for w in ("Commonplace,", f"rare{'abcdefghij'[i % 10] * (i // 10 + 1)}")]
+    got = np.frombuffer(e.encode(" ".join(words).encode()), e.dtype).tolist()
+    assert merged.count("commonplace") == 1
+    assert got == e.bpe.lib.encode(" ".join(words), add_special_tokens=False).ids
