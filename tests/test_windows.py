@@ -105,3 +105,22 @@ def test_clip_and_div_keep_null(spark):
     df = spark.createDataFrame([(None, 0.0), (9.0, 0.0), (-9.0, 2.0)], "a double, b double")
     rows = df.select(S.clip("a", -1.0, 1.0).alias("c"), S.div("a", "b").alias("d")).collect()
     assert [r.c for r in rows] == [None, 1.0, -1.0] and [r.d for r in rows] == [None, None, -4.5]
+
+
+def test_rci_needs_no_frame_for_each_distance(spark):
+    """Frames do not grow in number with the period, and gaps and ties stay exact."""
+    v = [5, None, 3, 3, 8, 1, 1, None, 1, 4, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9, 3, 2, 3, 8, 4]
+    df = R.with_rci(series_df(spark, v), "x", {"a": 5, "b": 9, "c": 52})
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("specifiedwindowframe") <= 16
+    for name, n in (("a", 5), ("b", 9)):
+        want = []
+        for i in range(len(v)):
+            f = v[max(0, i - n + 1):i + 1]
+            if len(f) < n or None in f:
+                want.append(None)
+                continue
+            rank = [sum(y < x for y in f) + (sum(y == x for y in f) + 1) / 2 for x in f]
+            want.append(100 * (1 - 6 * sum((k + 1 - r) ** 2 for k, r in enumerate(rank)) / (n * (n * n - 1))))
+        got = values(df, name)
+        assert [g is None for g in got] == [w is None for w in want]
+        assert all(abs(g - w) < 1e-9 for g, w in zip(got, want) if w is not None)
