@@ -141,3 +141,11 @@ def test_panel_reads_the_fact_table_once(spark):
         keys = [c for c, t in a.dtypes if t != "double"]
         a, b = (x.toPandas().sort_values(keys).reset_index(drop=True) for x in (a, b))
         pd.testing.assert_frame_equal(a, b[list(a.columns)], rtol=1e-9)
+
+
+def test_target_windows_carry_features_as_one_struct(spark):
+    df = P.time_series_panel(P.proxy_inputs(Proxy(spark, ROOT)), min_rows=1)
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().apply(0)
+    assert len(df.columns) > 150 and node.output().size() < 80
