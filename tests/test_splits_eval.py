@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,20 @@ def test_training_job_runs_stage_by_stage(spark):
     assert len(m) == 3
 
 
+def test_candidates_are_written_once(spark):
+    """Calendar, thinning and split read the written candidates, not the master's own plan again."""
+    from stratapanel.operators import domain as D
+    from stratapanel.plans import training as J
+    master = spark.range(400).select((F.col("id") % 2).alias("scode"), F.date_add(F.lit(day(0)), (F.col("id") / 2).cast("int")).alias("date"),
+                                     (F.col("id") % 3 > 0).alias("is_candidate_tac"))
+    sessions = spark.createDataFrame([(day(i),) for i in range(-60, 200)], "date date")
+    samples = J.training_samples(master, D.TAC, sessions)
+    rows = J.training_rows(samples, J.SplitPlan(n_splits=3, pct_embargo=0.0))
+    assert "Range (" in master._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.select("scode", "date").distinct().count() == samples.count()
+
+
 def test_merged_scaler_states_equal_one_fit(spark):
     from pyspark.sql import functions as F
     from stratapanel.operators import prep as P
