@@ -170,6 +170,23 @@ def test_candidates_are_written_once(spark):
     assert rows.select("scode", "date").distinct().count() == samples.count()
 
 
+@pytest.mark.parametrize("spacing", [8, 40, 100_000])
+def test_few_quantiles_equal_pandas_without_exchanging_rows(spark, spacing):
+    from stratapanel.operators.ranking import few_order_statistics
+    rng = np.random.default_rng(11)
+    x = np.r_[rng.normal(size=700), np.full(400, 1.25), 1 + rng.random(300) * 1e-9, [0.0, -0.0, 1e300, -1e300, 5e-324], np.full(60, np.nan)]
+    pdf = pd.DataFrame({"g": np.arange(len(x)) % 3, "x": x})
+    df = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None)))
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    q = few_order_statistics(df, "x", ["g"], probs, spacing)
+    got = {(r.g, r.i): r.q for r in q.collect()}
+    assert len(got) == 15
+    for (g, i), v in got.items():
+        assert v == pytest.approx(pdf[pdf.g == g]["x"].quantile(probs[i]), rel=1e-12)
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and plan.count("strategy=broadcast") >= 2
+
+
 def test_merged_scaler_states_equal_one_fit(spark):
     from pyspark.sql import functions as F
     from stratapanel.operators import prep as P
