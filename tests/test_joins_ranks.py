@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from stratapanel.operators import evaluate as E
@@ -184,3 +185,16 @@ def test_refined_octaves_are_not_broadcast(spark):
     for g, v in sorted((r.g, r.v) for r in df.collect()):
         want[g, v] = sum(1 for k in want if k[0] == g) + 1.0
     assert {(r.g, r.v): r["rank"] for r in ranked.collect()} == want
+
+
+def test_correlation_reads_written_ranks(spark, monkeypatch):
+    """The correlation passes over its rows more than once: what it gets is a written table, not the ranking's plan."""
+    from stratapanel.operators import audit
+    seen = []
+    corr = audit.Correlation.corr
+    monkeypatch.setattr(audit.Correlation, "corr", lambda v, *a: (seen.append(v), corr(v, *a))[1])
+    df = spark.range(300).select("id", (F.col("id") % 17).alias("a"), (F.col("id") % 17 * 2 + F.col("id") % 2).alias("b"), F.when(F.col("id") % 5 > 0, -F.col("id")).alias("c"))
+    got = [(r.Feature_A, r.Feature_B, r.Correlation) for r in audit.high_corr_pairs(df, ["a", "b", "c"], ["id"], 0.9).collect()]
+    pdf = df.toPandas()
+    assert got == [("a", "b", pytest.approx(pdf.a.rank().corr(pdf.b.rank())))]
+    assert "ranks-" in "".join(seen[0].inputFiles()) and "Window" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
