@@ -6,28 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
-from ..functions.scalars import clip, div, probit
-from .groups import join_back, with_group_aggs
+from ..functions.scalars import clip, div, probit, zero_to_null
+from .groups import join_back
 from .ranking import SPACING, average_ranks, order_statistics, pct_rank
 
 SECTOR = ["date", "sector33_code"]
 
 
-def sector_z(df: DataFrame, names: list[str], keys: list[str] = SECTOR, bound: float = 3.0) -> DataFrame:
+def sector_z(df: DataFrame, names: list[str], keys: list[str] = SECTOR, bound: float = 3.0, source: DataFrame | None = None) -> DataFrame:
     """Add ``<name>_sector_z``: (x - mean) / sample std inside the group, clipped.
 
-    A group of one row or without spread gives 0 for every row, null ones too.
+    A group of one row or without spread gives 0 for every row, null ones too. ``source``: the same
+    rows for the statistics. Those of days and sectors are broadcast.
     """
     aggs = {"_n": F.count(F.lit(1))}
     for c in names:
         aggs |= {f"_m_{c}": F.avg(c), f"_s_{c}": F.stddev_samp(c)}
-    df = with_group_aggs(df, keys, aggs)
-    out = {}
+    stats = (df if source is None else source).groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggs.items()])
+    # settled once a group, not at each row: the mean, the deviation, and 0 as the score of a group without spread
+    group = []
     for c in names:
         flat = (F.col("_n") <= 1) | F.coalesce(F.col(f"_s_{c}") == 0.0, F.lit(False))
-        z = div(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))
-        out[f"{c}_sector_z"] = F.when(flat, F.lit(0.0)).otherwise(clip(z, -bound, bound))
-    return df.withColumns(out).drop(*aggs)
+        group.append(F.struct(F.col(f"_m_{c}").cast("double").alias("m"), zero_to_null(f"_s_{c}").alias("s"), F.when(flat, F.lit(0.0)).alias("z")))
+    df = join_back(df, stats.select(*keys, F.array(*group).alias("_g")), keys, few=keys == SECTOR)
+    # one lambda for all columns: the code of a row does not grow with them
+    scores = F.zip_with(F.array(*[F.col(c).cast("double") for c in names]), "_g",
+                        lambda x, g: F.coalesce(g["z"], clip((x - g["m"]) / g["s"], -bound, bound)))
+    df = df.withColumn("_z", scores)
+    return df.withColumns({f"{c}_sector_z": F.col("_z")[i] for i, c in enumerate(names)}).drop("_g", "_z")
 
 
 def fill_group_median(df: DataFrame, names: list[str], keys: list[str] = SECTOR) -> DataFrame:

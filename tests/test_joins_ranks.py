@@ -198,3 +198,18 @@ def test_correlation_reads_written_ranks(spark, monkeypatch):
     pdf = df.toPandas()
     assert got == [("a", "b", pytest.approx(pdf.a.rank().corr(pdf.b.rank())))]
     assert "ranks-" in "".join(seen[0].inputFiles()) and "Window" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sector_scores_leave_wide_rows_in_place(spark):
+    """Statistics of days and sectors are broadcast: the rows that take them are not exchanged, and their code does not grow by column."""
+    names = [f"x{i}" for i in range(12)]
+    df = spark.range(60).select((F.col("id") % 3).alias("date"), (F.col("id") % 2).cast("string").alias("sector33_code"),
+                                *[(F.col("id") * (i + 1) % 7).cast("double").alias(n) for i, n in enumerate(names)])
+    out = sector_z(df, names)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in text and text.count("zip_with") == 1
+    pdf = df.toPandas()
+    for n in ("x0", "x11"):
+        g = pdf.groupby(["date", "sector33_code"])[n]
+        want = ((pdf[n] - g.transform("mean")) / g.transform("std")).clip(-3, 3)
+        assert np.allclose(sorted(r[0] for r in out.select(f"{n}_sector_z").collect()), sorted(want))
