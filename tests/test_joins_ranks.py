@@ -213,3 +213,21 @@ def test_sector_scores_leave_wide_rows_in_place(spark):
         g = pdf.groupby(["date", "sector33_code"])[n]
         want = ((pdf[n] - g.transform("mean")) / g.transform("std")).clip(-3, 3)
         assert np.allclose(sorted(r[0] for r in out.select(f"{n}_sector_z").collect()), sorted(want))
+
+
+def test_day_scores_in_place_equal_split_ones(spark):
+    """The rows of a day travel once, unstacked, and no join brings scores back; values, ties and gaps as by split ranks."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"scode": np.repeat(np.arange(40), 9), "date": [day(i) for i in range(9)] * 40, "ok": rng.random(360) < 0.8})
+    for n in "abc":
+        pdf[n] = np.where(rng.random(360) < 0.2, np.nan, np.round(rng.normal(size=360), 1) + 0.0)
+    df = spark.createDataFrame(pdf).withColumns({n: F.nanvl(n, F.lit(None)) for n in "abc"})
+    out = gauss_rank_features(df, list("abc"), F.col("ok"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1 and out.columns == df.columns
+    got, want = (x.toPandas().sort_values(["scode", "date"]).reset_index(drop=True) for x in (out, gauss_rank_features(df, list("abc"), F.col("ok"), spacing=3)))
+    pd.testing.assert_frame_equal(got, want)
+    p = pdf.where(pdf.ok).groupby(pdf.date)["a"].rank(pct=True)
+    from statistics import NormalDist
+    score = p.clip(1e-6, 1 - 1e-6).map(NormalDist().inv_cdf, na_action="ignore").groupby(pdf.scode).ffill().fillna(0.0)
+    assert np.allclose(got["a"], score)
