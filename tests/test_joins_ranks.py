@@ -231,3 +231,18 @@ def test_day_scores_in_place_equal_split_ones(spark):
     from statistics import NormalDist
     score = p.clip(1e-6, 1 - 1e-6).map(NormalDist().inv_cdf, na_action="ignore").groupby(pdf.scode).ffill().fillna(0.0)
     assert np.allclose(got["a"], score)
+
+
+def test_day_targets_in_one_exchange_equal_split_ones(spark):
+    from stratapanel.operators.targets import cross_sectional_targets
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"scode": np.repeat(np.arange(30), 20), "date": [day(i) for i in range(20)] * 30, "sector33_code": np.repeat(["a", "b", None], 200)})
+    for n in ("sector_return", "Market_Return", "target_ret_5", "target_ret_60"):
+        pdf[n] = np.where(rng.random(600) < 0.1, np.nan, np.round(rng.normal(size=600), 1) + 0.0)
+    df = spark.createDataFrame(pdf).withColumns({n: F.nanvl(n, F.lit(None)) for n in pdf.columns[3:]})
+    out = cross_sectional_targets(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+    a, b = (x.toPandas().sort_values(["scode", "date"]).reset_index(drop=True) for x in (out, cross_sectional_targets(df, spacing=3)))
+    pd.testing.assert_frame_equal(a, b[list(a.columns)])
+    assert np.allclose(a["target_tac_rank"], pdf.groupby("date")["target_ret_5"].rank(pct=True), equal_nan=True)
