@@ -224,7 +224,7 @@ def test_day_scores_in_place_equal_split_ones(spark):
     df = spark.createDataFrame(pdf).withColumns({n: F.nanvl(n, F.lit(None)) for n in "abc"})
     out = gauss_rank_features(df, list("abc"), F.col("ok"))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1 and out.columns == df.columns
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 2 and out.columns == df.columns   # by day, by stock
     got, want = (x.toPandas().sort_values(["scode", "date"]).reset_index(drop=True) for x in (out, gauss_rank_features(df, list("abc"), F.col("ok"), spacing=3)))
     pd.testing.assert_frame_equal(got, want)
     p = pdf.where(pdf.ok).groupby(pdf.date)["a"].rank(pct=True)

@@ -149,3 +149,23 @@ def test_target_windows_carry_features_as_one_struct(spark):
     while node.nodeName() != "Window":
         node = node.children().apply(0)
     assert len(df.columns) > 150 and node.output().size() < 80
+
+
+def test_master_moves_wide_rows_neither_for_series_nor_for_statistics(spark):
+    """What a stock's rows give joins the panel's own exchange; the cross-section joins broadcast tables of days and sectors only."""
+    from stratapanel.plans import master as MP
+    ts = P.time_series_panel(P.proxy_inputs(Proxy(spark, ROOT)), min_rows=1)
+    series = MP.series_columns(ts)
+    exchanges = [x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for x in (ts, series)]
+    assert exchanges[0] == exchanges[1]
+    out = MP.cross_section(spark.createDataFrame([], series.schema))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == plan.count("strategy=broadcast") > 0
+    assert "Quarter" in out.columns and {"Return_20d", "volatility_60_sector_z", "sector_rel_strength_60", *MP.META, *MP.TARGETS} <= set(out.columns)
+
+
+def test_median_of_days_and_sectors(spark):
+    from stratapanel.operators.crosssection import fill_group_median
+    rows = [(0, "a", 1.0, None), (0, "a", 2.0, None), (0, "a", None, None), (0, None, 5.0, 1.0), (0, None, None, 2.0), (1, "a", None, 3.0)]
+    df = spark.createDataFrame(rows, "date int, sector33_code string, x double, y double").coalesce(1)
+    assert [(r.x, r.y) for r in fill_group_median(df, ["x", "y"]).collect()] == [(1.0, None), (2.0, None), (1.5, None), (5.0, 1.0), (5.0, 2.0), (None, 3.0)]
