@@ -246,3 +246,13 @@ def test_day_targets_in_one_exchange_equal_split_ones(spark):
     a, b = (x.toPandas().sort_values(["scode", "date"]).reset_index(drop=True) for x in (out, cross_sectional_targets(df, spacing=3)))
     pd.testing.assert_frame_equal(a, b[list(a.columns)])
     assert np.allclose(a["target_tac_rank"], pdf.groupby("date")["target_ret_5"].rank(pct=True), equal_nan=True)
+
+
+def test_rank_table_exchanges_values_once(spark, tmp_path):
+    """Counts of values are used for the octaves, for their parts and for the ranks: one exchange by value, reused."""
+    spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") % 700 * 1.5).alias("x")).write.parquet(f"{tmp_path}/t")
+    out = K.rank_table(spark.read.parquet(f"{tmp_path}/t"), "x", ["g"])
+    assert out.count() == len({(i % 3, i % 700) for i in range(3000)})
+    text = out._jdf.queryExecution().executedPlan().toString()
+    made = [line for line in text.splitlines() if "normalizenanandzero" in line]
+    assert made and all("partial_count(1)" in line for line in made)   # all alike, so Spark reuses the first
